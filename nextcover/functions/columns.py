@@ -46,6 +46,13 @@ def finite(c: str | Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Aggregate correlation over rows with both values; null where one of them is constant."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def log_amount(c: str | Column) -> Column:
     """log(1 + x) with negatives clipped to zero."""
     return F.log1p(F.greatest(col(c), F.lit(0)).cast("double"))

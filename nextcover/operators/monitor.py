@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextcover.functions.columns import month_index, shift_month, yyyymm
+from nextcover.functions.columns import flag, month_index, shift_month, yyyymm
 from nextcover.operators.policies import first_second_join, holdings, new_holdings
 from nextcover.operators.quantiles import column_quantiles
 
@@ -72,7 +72,8 @@ def drift(previous: DataFrame, current: DataFrame, columns: list[str], buckets:
 
     def bucketed(df: DataFrame, name: str) -> DataFrame:
         placed = df.select(*[
-            F.when(F.col(c).isNotNull(), F.size(F.filter(row[c], lambda e, c=c: e < F.col(c)))).alias(c) for c in columns])
+            F.when(F.col(c).isNotNull(), sum((flag(F.col(c) > F.get(row[c], k)) for k in range(buckets - 1)), F.lit(0))).alias(c)
+            for c in columns])
         long = placed.unpivot([], columns, "column", "bucket").filter(F.col("bucket").isNotNull())
         counts = long.groupBy("column", "bucket").agg(F.count(F.lit(1)).alias("n"))
         # one row per column and bucket

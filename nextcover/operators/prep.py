@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nextcover.functions.columns import correlation
 from nextcover.operators.ordered import with_order
 from nextcover.operators.quantiles import column_quantiles
 
@@ -272,8 +273,7 @@ def select_features(df: DataFrame, label: str, candidates: list[str], encoder: D
     if text:
         df = encode(df, encoder if encoder is not None else fit_encoder(df, text), text, suffix="_code")
     source = {c: f"{c}_code" if c in text else c for c in candidates}
-    y = F.col(label).cast("double")
-    row = df.agg(*[F.corr(F.col(s).cast("double"), y).alias(c) for c, s in source.items()])
+    row = df.agg(*[correlation(s, label).alias(c) for c, s in source.items()])
     scored = row.unpivot([], candidates, "feature", "corr").withColumns({
         "correlation": F.coalesce(F.abs(F.nanvl(F.col("corr"), F.lit(0.0))), F.lit(0.0)),
         "direction": F.when(F.col("corr") > 0, "positive").otherwise("negative"),

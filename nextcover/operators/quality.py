@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextcover.functions.columns import log_amount
+from nextcover.functions.columns import correlation, log_amount
 from nextcover.operators.ordered import first_by
 from nextcover.operators.quantiles import column_quantiles, unpivoted
 from nextcover.operators.scoring import SCORE_COLUMNS
@@ -96,7 +96,7 @@ def skew_report(df: DataFrame, columns: list[str]) -> DataFrame:
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairwise correlations in long form, from one aggregate."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[correlation(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     entries = F.array(*[
         F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"p{i}").alias("corr"))
         for i, (a, b) in enumerate(pairs)])

@@ -95,7 +95,7 @@ def score_deciles(df: DataFrame, columns: list[str] | None = None, descending: b
     for c in columns:
         e, x = row[c], F.col(c)
         distinct = F.size(F.array_distinct(e)) == DECILES + 1
-        by_edge = F.size(F.filter(F.slice(e, 2, DECILES - 1), lambda v, x=x: v < x)) + 1
+        by_edge = sum((flag(x > F.get(e, k)) for k in range(1, DECILES)), F.lit(1))
         low, high = F.get(e, 0), F.get(e, DECILES)
         width = F.nullif((high - low) / DECILES, F.lit(0.0))
         by_width = F.coalesce(F.greatest(F.ceil((x - low) / width), F.lit(1)), F.lit(1))

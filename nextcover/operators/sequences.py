@@ -147,13 +147,17 @@ def _from_end(h: Column, k: int) -> Column:
     return F.coalesce(F.try_element_at(h, F.lit(-k)), F.lit(0))
 
 
+def _occurrences(h: Column, code: int) -> Column:
+    return F.size(F.filter(h, lambda x: x == code))
+
+
 def history_features(df: DataFrame, num_classes: int, history: str = "history") -> DataFrame:
     """Length, last two ids, distinct ids, switches and the count of every id."""
     h = F.col(history)
     return df.withColumns({
         "seq_len": F.size(h), "last_1": _from_end(h, 1), "last_2": _from_end(h, 2),
         "unique_prior": F.size(F.array_distinct(h)), "num_switches": _switches(h),
-        **{f"freq_{i}": F.size(F.filter(h, lambda x, i=i: x == i)) for i in range(1, num_classes + 1)},
+        **{f"freq_{i}": _occurrences(h, i) for i in range(1, num_classes + 1)},
     })
 
 
