@@ -8,12 +8,10 @@ An alternative is ``(field, kind, values)`` with kind ``in`` or ``like``, or a t
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nextcover.functions.columns import col, flag
+from nextcover.functions.columns import flag
 
 # ---- fixed values: categories, codes and patterns that results depend on ----
 CATEGORIES = [
@@ -129,42 +127,42 @@ SUB_TARGETS = {
 }
 # ---- end of fixed values ----
 
-DEFAULT_FIELDS = {
-    "lob": "prod_lob", "level1": "sub_product_level_1", "level2": "sub_product_level_2",
-    "product": "product",
-}
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "\\'") + "'"
 
 
-def _matches(alternative, fields: dict) -> Column | None:
+def _condition(alternative, fields: dict) -> str | None:
     if alternative[0] == "all":
-        parts = [_matches(a, fields) for a in alternative[1:]]
-        return None if any(p is None for p in parts) else reduce(Column.__and__, parts)
+        parts = [_condition(a, fields) for a in alternative[1:]]
+        return None if None in parts else "(" + " AND ".join(parts) + ")"
     field, kind, values = alternative
-    if fields.get(field) is None:
+    name = fields.get(field)
+    if name is None:
         return None
-    c = col(fields[field])
     if kind == "in":
-        return c.isin(values)
-    return reduce(Column.__or__, [c.like(v) for v in values])
+        return f"{name} IN (" + ", ".join(_quoted(v) for v in values) + ")"
+    return "(" + " OR ".join(f"{name} LIKE {_quoted(v)}" for v in values) + ")"
 
 
-def any_of(alternatives, fields: dict) -> Column | None:
-    parts = [m for m in (_matches(a, fields) for a in alternatives) if m is not None]
-    return reduce(Column.__or__, parts) if parts else None
+def any_of(alternatives, fields: dict) -> str:
+    """SQL condition that holds when one of the alternatives does; "" when none can."""
+    return " OR ".join(c for c in (_condition(a, fields) for a in alternatives) if c)
 
 
-def first_match(rules, fields: dict, default=None) -> Column:
-    """Label of the first rule that matches. Fields that are absent cannot match."""
-    out = None
-    for label, *alternatives in rules:
-        hit = any_of(alternatives, fields)
-        if hit is not None:
-            out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise(F.lit(default))
+def first_match(rules, fields: dict, default: str | None = None) -> str:
+    """SQL for the label of the first rule that matches. Absent fields cannot match.
+
+    A rule table becomes one expression text, so building it is one call whatever its length.
+    """
+    whens = [
+        f"WHEN {any_of(alternatives, fields)} THEN {_quoted(label)}"
+        for label, *alternatives in rules if any_of(alternatives, fields)
+    ]
+    return f"CASE {' '.join(whens)} ELSE {'NULL' if default is None else _quoted(default)} END"
 
 
 def _gated(gate, rules, fields, default) -> Column:
-    return F.when(any_of(gate, fields), first_match(rules, fields, default))
+    return F.expr(f"CASE WHEN {any_of(gate, fields)} THEN {first_match(rules, fields, default)} END")
 
 
 def _fields(lob, l1, l2, product) -> dict:
@@ -172,13 +170,14 @@ def _fields(lob, l1, l2, product) -> dict:
 
 
 def product_category(lob="prod_lob", l1="sub_product_level_1", l2="sub_product_level_2",
-                     product=None, null_when: Column | None = None) -> Column:
+                     product=None, null_when: str | None = None) -> Column:
     """Category from three fields, or four when a product text is given.
 
-    ``null_when`` leaves the category null, as for a second policy that does not exist.
+    ``null_when`` is a condition that leaves the category null, as for a second policy that
+    does not exist.
     """
     label = first_match(CATEGORY_RULES, _fields(lob, l1, l2, product), "OTHER")
-    return label if null_when is None else F.when(~F.coalesce(null_when, F.lit(False)), label)
+    return F.expr(label if null_when is None else f"CASE WHEN NOT coalesce({null_when}, false) THEN {label} END")
 
 
 def retirement_sub(lob="prod_lob", l1="sub_product_level_1", l2="sub_product_level_2", product="product"):
@@ -194,15 +193,15 @@ def investment_sub(lob="prod_lob", l1="sub_product_level_1", l2="sub_product_lev
 
 
 def tax_treatment(lob="prod_lob", l1="sub_product_level_1", l2="sub_product_level_2", product="product"):
-    return first_match(TAX_RULES, _fields(lob, l1, l2, product))
+    return F.expr(first_match(TAX_RULES, _fields(lob, l1, l2, product)))
 
 
 def investment_type(lob="prod_lob", l1="sub_product_level_1", l2="sub_product_level_2", product="product"):
-    return first_match(INVESTMENT_TYPE_RULES, _fields(lob, l1, l2, product))
+    return F.expr(first_match(INVESTMENT_TYPE_RULES, _fields(lob, l1, l2, product)))
 
 
 def account_type(lob="prod_lob", l1="sub_product_level_1", l2="sub_product_level_2", product="product"):
-    return first_match(ACCOUNT_TYPE_RULES, _fields(lob, l1, l2, product))
+    return F.expr(first_match(ACCOUNT_TYPE_RULES, _fields(lob, l1, l2, product)))
 
 
 def classify(df: DataFrame, product: str | None = None) -> DataFrame:
@@ -223,13 +222,13 @@ def classify(df: DataFrame, product: str | None = None) -> DataFrame:
 def target_flags(df: DataFrame, category: str = "cross_sell_product_category") -> DataFrame:
     """One 0/1 column per sellable category."""
     return df.withColumns({
-        f"{c.lower()}_cross_sell": flag(F.col(category) == c) for c in TARGET_CATEGORIES
+        f"{c.lower()}_cross_sell": flag(f"{category} = {_quoted(c)}") for c in TARGET_CATEGORIES
     })
 
 
 def sub_target_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({
-        name: flag(F.col(c).like(v) if kind == "like" else F.col(c) == v)
+        name: flag(f"{c} {'LIKE' if kind == 'like' else '='} {_quoted(v)}")
         for name, (c, kind, v) in SUB_TARGETS.items()
     })
 
@@ -242,5 +241,5 @@ def category_counts(df: DataFrame, column: str = "product_category") -> DataFram
     """Rows per category in one row of columns, zero where a category is absent."""
     return df.agg(
         F.count(F.lit(1)).alias("total"),
-        *[F.coalesce(F.sum(flag(F.col(column) == c)), F.lit(0)).alias(c.lower()) for c in CATEGORIES],
+        *[F.coalesce(F.sum(flag(f"{column} = {_quoted(c)}")), F.lit(0)).alias(c.lower()) for c in CATEGORIES],
     )

@@ -19,8 +19,10 @@ def date_of(value) -> Column:
     return value if isinstance(value, Column) else F.lit(str(value)).cast("date")
 
 
-def flag(condition: Column) -> Column:
-    """1 where the condition holds, 0 where it is false or null."""
+def flag(condition: str | Column) -> Column:
+    """1 where the condition (a column or SQL text) holds, 0 where it is false or null."""
+    if isinstance(condition, str):
+        return F.expr(f"CASE WHEN {condition} THEN 1 ELSE 0 END")
     return F.when(condition, 1).otherwise(0)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nextcover.functions.columns import money, percent, signed
 from nextcover.operators.ordered import first_by
+from nextcover.operators.quantiles import with_fitted
 
 # ---- fixed values: texts, limits and feature groups of the explanations ----
 # feature: (text before the value, how the value is written, text after it)
@@ -107,12 +108,11 @@ def linear_contributions(df: DataFrame, model: dict, means: DataFrame, product:
     ``model`` maps feature to coefficient, ``means`` is the one-row frame of training means.
     """
     features = list(model)
-    mean = means.select(F.struct(*features)).scalar()
-    named = df.select(key, *[
-        F.struct(
-            (F.lit(float(model[f])) * (F.coalesce(F.col(f).cast("double"), mean[f]) - mean[f])).alias("contribution"),
-            F.col(f).cast("string").alias("value"),
-        ).alias(f) for f in features
+    named = with_fitted(df.select(key, *features), means.select(*features)).select(key, *[
+        F.expr(
+            f"named_struct('contribution', {float(model[f])!r}D * (coalesce(double({f}), _fit.{f}) - _fit.{f}), "
+            f"'value', string({f}))").alias(f)
+        for f in features
     ])
     long = named.unpivot([key], features, "feature", "c")
     return long.select(key, F.lit(product).alias("product"), "feature", "c.contribution", "c.value")

@@ -199,7 +199,7 @@ def condition_sql(names: str) -> str:
 def flag_group(df: DataFrame, *groups: str) -> DataFrame:
     """The 0/1 features of the named groups, or of all groups."""
     chosen = {n: c for g in (groups or FLAG_GROUPS) for n, c in FLAG_GROUPS[g].items()}
-    return df.withColumns({name: flag(F.expr(condition_sql(c))) for name, c in chosen.items()})
+    return df.withColumns({name: flag(condition_sql(c)) for name, c in chosen.items()})
 
 
 def ages(df: DataFrame, as_of) -> DataFrame:
@@ -211,7 +211,7 @@ def ages(df: DataFrame, as_of) -> DataFrame:
 
 
 def life_stage(df: DataFrame) -> DataFrame:
-    return df.withColumns({name: flag(F.expr(rule)) for name, rule in LIFE_STAGE.items()})
+    return df.withColumns({name: flag(rule) for name, rule in LIFE_STAGE.items()})
 
 
 def risk_flags(df: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def aum_segment(c: str = "acct_val_amt", unknown: str | None = None) -> Column:
 
 
 def channel_affinity(df: DataFrame) -> DataFrame:
-    return df.withColumns({n: flag(F.expr(condition_sql(c))) for n, c in CHANNEL_AFFINITY.items()})
+    return df.withColumns({n: flag(condition_sql(c)) for n, c in CHANNEL_AFFINITY.items()})
 
 
 def enhanced_features(df: DataFrame, as_of) -> DataFrame:

@@ -93,11 +93,11 @@ def class_report(df: DataFrame, label: str = "label", prediction: str = "predict
 
 
 def report_from_counts(counts: DataFrame) -> DataFrame:
-    hit = F.col("label") == F.col("prediction")
-    true = counts.groupBy(F.col("label").alias("class")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("tp"))
-    guessed = counts.groupBy(F.col("prediction").alias("class")).agg(F.sum("n").alias("predicted"))
-    both = true.join(guessed, "class", "full").fillna(0, subset=["support", "tp", "predicted"])
+    # every pair counts once for its true class and once for its predicted class
+    roles = counts.select(F.expr("""explode(array(
+        named_struct('class', label, 'support', n, 'tp', CASE WHEN label = prediction THEN n ELSE 0L END, 'predicted', 0L),
+        named_struct('class', prediction, 'support', 0L, 'tp', 0L, 'predicted', n)))""").alias("r")).select("r.*")
+    both = roles.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "tp", "predicted")])
     precision = F.coalesce(F.col("tp") / F.nullif(F.col("predicted"), F.lit(0)), F.lit(0.0))
     recall = F.coalesce(F.col("tp") / F.nullif(F.col("support"), F.lit(0)), F.lit(0.0))
     f1 = 2 * F.col("tp") / F.nullif(F.col("support") + F.col("predicted"), F.lit(0))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextcover.functions.columns import flag, month_index, shift_month, yyyymm
+from nextcover.functions.columns import month_index, shift_month, yyyymm
 from nextcover.operators.policies import first_second_join, holdings, new_holdings
-from nextcover.operators.quantiles import column_quantiles
+from nextcover.operators.quantiles import quantile_row, with_fitted
 
 # ---- fixed values ----
 CHANGE_MONTHS = [1, 3, 6, 12]
@@ -66,14 +66,11 @@ def retrain_trigger(current: DataFrame, baseline: DataFrame, threshold: int) ->
 def drift(previous: DataFrame, current: DataFrame, columns: list[str], buckets: int = DRIFT_BUCKETS) -> DataFrame:
     """Population stability index per column over buckets at the quantiles of the earlier month."""
     probabilities = [i / buckets for i in range(1, buckets)]
-    fitted = column_quantiles(previous, columns, probabilities)
-    edges = fitted.agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in columns])
-    row = edges.select(F.struct(*columns)).scalar()
+    edges = quantile_row(previous, columns, probabilities)
 
     def bucketed(df: DataFrame, name: str) -> DataFrame:
-        placed = df.select(*[
-            F.when(F.col(c).isNotNull(), sum((flag(F.col(c) > F.get(row[c], k)) for k in range(buckets - 1)), F.lit(0))).alias(c)
-            for c in columns])
+        placed = with_fitted(df.select(*columns), edges).select(*[
+            F.expr(" + ".join(f"int({c} > _fit.{c}[{k}])" for k in range(buckets - 1))).alias(c) for c in columns])
         long = placed.unpivot([], columns, "column", "bucket").filter(F.col("bucket").isNotNull())
         counts = long.groupBy("column", "bucket").agg(F.count(F.lit(1)).alias("n"))
         # one row per column and bucket

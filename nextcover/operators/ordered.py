@@ -6,8 +6,9 @@ what crosses a slice border (rows before it, the neighbour behind it) comes from
 frame with one row per hot key and slice. All other keys have a single slice, so they take
 the ordinary one-shuffle window.
 
-A key is hot when it holds more than ``HOT_SHARE`` of all rows, so there can be at most
-``1 / HOT_SHARE`` hot keys: that is the proven bound behind the broadcasts in this module.
+Hot are the ``HOT_KEYS`` largest keys among those with more than ``HOT_FLOOR`` rows. That
+number bounds the broadcast of the hot keys. A key that is not among them holds less than
+``1 / HOT_KEYS`` of all rows and is left to the ordinary window, with the same result.
 """
 
 from __future__ import annotations
@@ -15,16 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.001
+HOT_KEYS = 1000
 HOT_FLOOR = 1_000_000
 CHUNK_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
-    """Keys with more than ``floor`` rows and more than ``share`` of all rows: 1/share at most."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.filter((F.col("_rows") > floor) & (F.col("_rows") > total * share)).select(key)
+def hot_keys(df: DataFrame, key: str, floor: int = HOT_FLOOR, most: int = HOT_KEYS) -> DataFrame:
+    """The ``most`` largest keys with more than ``floor`` rows; usually none."""
+    counts = df.select(key).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.filter(F.col("_rows") > floor).orderBy(F.desc("_rows"), key).limit(most).select(key)
 
 
 def _directed(columns: list[str], descending: bool) -> list[Column]:
@@ -40,7 +40,6 @@ def with_order(
     behind: dict[str, str] | None = None,
     descending: bool = False,
     slice_by: Column | None = None,
-    share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
 ) -> DataFrame:
     """Row number and neighbour values of each row within its key.
@@ -50,7 +49,7 @@ def with_order(
     defaults to the first order column.
     """
     slice_by = F.col(order[0]) if slice_by is None else slice_by
-    hot = F.broadcast(hot_keys(df, key, share, floor).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(df, key, floor).withColumn("_hot", F.lit(True)))
     tagged = (
         df.join(hot, key, "left")
         .withColumn("_slice", F.when(F.col("_hot"), slice_by))

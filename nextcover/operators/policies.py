@@ -67,12 +67,18 @@ def last_two(df: DataFrame, party: str = "party_id", category: str = "product_ca
     ).filter(F.col("previous_policy_no").isNotNull())
 
 
+def first_two(df: DataFrame, party: str = "party_id") -> DataFrame:
+    """The client's two oldest policies, numbered in ``_rn``. Every client is trimmed to two
+    rows before the shuffle."""
+    return _ranked(df, party, 2)
+
+
 def first_second_pivot(df: DataFrame, party: str = "party_id") -> DataFrame:
     """First and second policy in one row; the second is null for single-policy clients.
 
-    The rank filter trims every client to two rows before the shuffle.
+    Takes all policies, or the rows of ``first_two`` with further columns attached.
     """
-    two = _ranked(df, party, 2)
+    two = df if "_rn" in df.columns else first_two(df, party)
     first = [F.max(F.when(F.col("_rn") == 1, F.col(c))).alias(c) for c in FIRST_FIELDS if c in df.columns]
     second = [F.max(F.when(F.col("_rn") == 2, F.col(c))).alias(f"second_{c}") for c in SECOND_FIELDS if c in df.columns]
     return two.groupBy(party).agg(*first, *second)

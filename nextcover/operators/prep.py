@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from nextcover.functions.columns import correlation
 from nextcover.operators.ordered import with_order
-from nextcover.operators.quantiles import column_quantiles
+from nextcover.operators.quantiles import column_quantiles, with_fitted
 
 # ---- fixed values ----
 DOMAIN_GROUPS = {
@@ -40,15 +40,10 @@ RARE_SHARE, RAISED_SHARE = 0.10, 0.15
 # ---- end of fixed values ----
 
 
-def _one_row(fitted: DataFrame) -> Column:
-    """The single row of a fitted frame as a struct subquery, shared by all its uses."""
-    return fitted.select(F.struct(*fitted.columns)).scalar()
-
-
 def apply_fill(df: DataFrame, fitted: DataFrame) -> DataFrame:
     """Replace nulls by the fitted value of the column."""
-    values = _one_row(fitted)
-    return df.withColumns({c: F.coalesce(F.col(c), values[c]) for c in fitted.columns})
+    filled = {c: F.expr(f"coalesce({c}, _fit.{c})") for c in fitted.columns}
+    return with_fitted(df, fitted).withColumns(filled).drop("_fit")
 
 
 def fit_medians(train: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
@@ -151,8 +146,8 @@ def target_encode(train: DataFrame, val: DataFrame, columns: list[str], label: s
     train = train.filter(F.col(label).isNotNull())
     train = train.withColumn("_fold", fold if fold is not None else F.pmod(F.xxhash64(*train.columns), F.lit(folds)))
     hits = {c: F.sum((F.col(label) == c).cast("long")) for c in classes}
-    overall = _one_row(train.agg(
-        *[F.avg((F.col(label) == c).cast("double")).alias(f"c{i}") for i, c in enumerate(classes)]))
+    overall = train.agg(*[F.avg((F.col(label) == c).cast("double")).alias(f"c{i}") for i, c in enumerate(classes)])
+    train, val = with_fitted(train, overall), with_fitted(val, overall)
     for column in columns:
         per_fold = train.filter(F.col(column).isNotNull()).groupBy(column, "_fold").agg(
             F.count(F.lit(1)).alias("_n"), *[h.alias(f"_h{i}") for i, h in enumerate(hits.values())])
@@ -164,32 +159,33 @@ def target_encode(train: DataFrame, val: DataFrame, columns: list[str], label: s
 
         def encoded(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
             shares = {
-                f"te_{column}_{c}":
-                    (F.coalesce(F.col(f"_h{i}"), F.lit(0)) + overall[f"c{i}"] * smoothing)
-                    / (F.coalesce(F.col("_n"), F.lit(0)) + smoothing)
+                f"te_{column}_{c}": F.expr(
+                    f"(coalesce(_h{i}, 0) + _fit.c{i} * {float(smoothing)!r}D) / (coalesce(_n, 0) + {float(smoothing)!r}D)")
                 for i, c in enumerate(classes)
             }
             return df.join(stats, keys, "left").withColumns(shares).drop(*sums)
 
         train = encoded(train, others, [column, "_fold"])
         val = encoded(val, everyone, [column])
-    return train.drop("_fold"), val
+    return train.drop("_fold", "_fit"), val.drop("_fit")
 
 
 def class_weights(df: DataFrame, label: str, kind: str = "balanced") -> DataFrame:
     """Weight per class: ``balanced`` n/(k*n_c), ``sqrt_cap`` its root within limits,
     ``sqrt_mean`` its root scaled back to the mean weight."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    totals = _one_row(counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")))
-    balanced = counts.withColumn("weight", totals["rows"] / (totals["classes"] * F.col("n")))
+    # one row per class from here on
+    everything = Window.partitionBy(F.lit(1))
+    classes = F.count(F.lit(1)).over(everything)
+    balanced = counts.withColumn("weight", F.sum("n").over(everything) / (classes * F.col("n")))
     if kind == "balanced":
         return balanced
     if kind == "sqrt_cap":
         return balanced.withColumn(
             "weight", F.least(F.greatest(F.sqrt("weight"), F.lit(WEIGHT_FLOOR)), F.lit(WEIGHT_CAP)))
     if kind == "sqrt_mean":
-        means = _one_row(balanced.agg(F.avg("weight").alias("w"), F.avg(F.sqrt("weight")).alias("r")))
-        return balanced.withColumn("weight", F.sqrt("weight") * means["w"] / means["r"])
+        scale = F.avg("weight").over(everything) / F.avg(F.sqrt("weight")).over(everything)
+        return balanced.withColumn("weight", F.sqrt("weight") * scale)
     raise ValueError(f"unknown kind of weight: {kind}")
 
 

@@ -14,6 +14,21 @@ from pyspark.sql import functions as F
 SLICES = 64
 
 
+def with_fitted(df: DataFrame, fitted: DataFrame, name: str = "_fit") -> DataFrame:
+    """Attach the single row of a fitted frame as a struct column.
+
+    It is a scalar subquery, evaluated once before the scan of ``df`` starts. Having it as one
+    column keeps its plan from being repeated for every use.
+    """
+    return df.withColumn(name, fitted.select(F.struct(*fitted.columns)).scalar())
+
+
+def quantile_row(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
+    """One row with the array of quantiles of every column."""
+    fitted = column_quantiles(df, columns, probabilities)
+    return fitted.agg(*[F.expr(f"max(CASE WHEN column = '{c}' THEN q END)").alias(c) for c in columns])
+
+
 def unpivoted(df: DataFrame, columns: list[str], keep: list[str] | None = None,
               name: str = "column", value: str = "value") -> DataFrame:
     """Numeric columns as (name, value) rows, nulls left out."""

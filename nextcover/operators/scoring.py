@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nextcover.functions.columns import flag
 from nextcover.operators.client360 import merge_prefer
-from nextcover.operators.quantiles import column_quantiles, unpivoted, value_ranks
+from nextcover.operators.quantiles import quantile_row, unpivoted, value_ranks, with_fitted
 
 # ---- fixed values ----
 PRODUCTS = ["investment", "retirement", "life_insurance", "network_products"]
@@ -57,10 +57,10 @@ def opportunity_flags(df: DataFrame, columns: list[str] | None = None) -> DataFr
     """Products above each level and whether there are two or more."""
     columns = columns or SCORE_COLUMNS
     counts = {
-        f"{level}_score_count": sum((flag(F.col(c) > t) for c in columns[1:]), flag(F.col(columns[0]) > t))
+        f"{level}_score_count": F.expr(" + ".join(f"coalesce(int({c} > {t}D), 0)" for c in columns))
         for level, t in OPPORTUNITY_LEVELS.items()
     }
-    flags = {f"multi_product_opportunity_{level}": flag(F.col(f"{level}_score_count") >= 2) for level in OPPORTUNITY_LEVELS}
+    flags = {f"multi_product_opportunity_{level}": flag(f"{level}_score_count >= 2") for level in OPPORTUNITY_LEVELS}
     return df.withColumns(counts).withColumns(flags).withColumn(
         "multi_product_opportunity", F.col("multi_product_opportunity_high"))
 
@@ -88,20 +88,17 @@ def score_deciles(df: DataFrame, columns: list[str] | None = None, descending: b
     from the lowest.
     """
     columns = columns or SCORE_COLUMNS
-    fitted = column_quantiles(df, columns, [i / DECILES for i in range(DECILES + 1)])
-    edges = fitted.agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in columns])
-    row = edges.select(F.struct(*columns)).scalar()
+    edges = quantile_row(df, columns, [i / DECILES for i in range(DECILES + 1)])
     out = {}
     for c in columns:
-        e, x = row[c], F.col(c)
-        distinct = F.size(F.array_distinct(e)) == DECILES + 1
-        by_edge = sum((flag(x > F.get(e, k)) for k in range(1, DECILES)), F.lit(1))
-        low, high = F.get(e, 0), F.get(e, DECILES)
-        width = F.nullif((high - low) / DECILES, F.lit(0.0))
-        by_width = F.coalesce(F.greatest(F.ceil((x - low) / width), F.lit(1)), F.lit(1))
-        decile = F.when(x.isNotNull(), F.when(distinct, by_edge).otherwise(by_width))
-        out[f"{c.removesuffix('_score')}_decile"] = (DECILES + 1 - decile if descending else decile).cast("int")
-    return df.withColumns(out)
+        e = f"_fit.{c}"
+        by_edge = "1 + " + " + ".join(f"int({c} > {e}[{k}])" for k in range(1, DECILES))
+        width = f"nullif(({e}[{DECILES}] - {e}[0]) / {DECILES}, 0D)"
+        by_width = f"coalesce(greatest(ceil(({c} - {e}[0]) / {width}), 1), 1)"
+        decile = f"CASE WHEN size(array_distinct({e})) = {DECILES + 1} THEN {by_edge} ELSE {by_width} END"
+        numbered = f"{DECILES + 1} - ({decile})" if descending else decile
+        out[f"{c.removesuffix('_score')}_decile"] = F.expr(f"int(CASE WHEN {c} IS NOT NULL THEN {numbered} END)")
+    return with_fitted(df, edges).withColumns(out).drop("_fit")
 
 
 def score_table(df: DataFrame, key: str = "party_id") -> DataFrame:

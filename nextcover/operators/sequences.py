@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextcover.operators.ordered import HOT_FLOOR, HOT_SHARE, first_by, hot_keys, with_order, with_recent
+from nextcover.operators.ordered import HOT_FLOOR, first_by, hot_keys, with_order, with_recent
 from nextcover.operators.policies import ORDER
 
 PART_ROWS = 10_000
@@ -48,14 +48,14 @@ def dedupe_consecutive(c: str | Column) -> Column:
 
 
 def collapse_repeats(df: DataFrame, party: str = "party_id", order: list[str] | None = None,
-                     value: str = "value", share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
+                     value: str = "value", floor: int = HOT_FLOOR) -> DataFrame:
     """Events without consecutive repeats, renumbered from 1.
 
     Same slicing of hot clients as ``with_order``: a slice numbers its own changes, and the
     first change of a slice is dropped when it repeats the last value of the slice before.
     """
     order = order or ORDER
-    hot = F.broadcast(hot_keys(df, party, share, floor).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(df, party, floor).withColumn("_hot", F.lit(True)))
     tagged = df.join(hot, party, "left").withColumn("_slice", F.when(F.col("_hot"), F.col(order[0]))).drop("_hot")
     inside = Window.partitionBy(party, "_slice").orderBy(*order)
     before = F.lag(value).over(inside)

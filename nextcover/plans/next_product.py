@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nextcover.functions.classify import product_category
 from nextcover.operators.clean import active, require_values
 from nextcover.operators.client360 import join_product_lookup
-from nextcover.operators.policies import first_second_pivot
+from nextcover.operators.policies import first_second_pivot, first_two
 from nextcover.operators.propensity import top_transitions, transition_probs
 from nextcover.sources.readers import latest_month
 
@@ -20,12 +20,12 @@ def first_second(policies: DataFrame, lookup: DataFrame) -> DataFrame:
     lookup and the classification see those two policies only.
     """
     current = require_values(active(latest_month(policies)), ["party_id", "policy_no", "register_date"])
-    pairs = first_second_pivot(join_product_lookup(current, lookup))
+    pairs = first_second_pivot(join_product_lookup(first_two(current), lookup))
     return pairs.withColumns({
         "product_category": product_category(product="product"),
         "second_product_category": product_category(
             "second_prod_lob", "second_sub_product_level_1", "second_sub_product_level_2", "second_product",
-            null_when=F.col("second_policy_no").isNull()),
+            null_when="second_policy_no IS NULL"),
     })
 
 

@@ -19,7 +19,7 @@ def event_index(t):
 def event_index_with_every_client_hot(t):
     """The slices of hot clients, forced for every client above three rows."""
     out = ordered.with_order(
-        classify(t.policies), "party_id", pol.ORDER, number="event_index", ahead={"product_category": "next_product"}, share=0.0, floor=3)
+        classify(t.policies), "party_id", pol.ORDER, number="event_index", ahead={"product_category": "next_product"}, floor=3)
     return out.select("party_id", "policy_no", "event_index", "next_product")
 
 

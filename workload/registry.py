@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nextcover.session import tune
 from workload.views import Tables, with_views
 
 
@@ -48,22 +49,24 @@ def comparable(df: DataFrame) -> DataFrame:
     text, arrays as comma-separated text."""
     out = []
     for f in df.schema.fields:
-        c, t = F.col(f"`{f.name}`"), f.dataType
+        c, t = f"`{f.name}`", f.dataType
         if isinstance(t, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            c = c.cast("long")
+            text = f"CAST({c} AS BIGINT)"
         elif isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
             # adding zero turns -0.0 into 0.0
-            c = rounded(c.cast("double"), 6) + F.lit(0.0)
+            text = f"round(CAST({c} AS DOUBLE) * 1e6D) / 1e6D + 0D"
         elif isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            c = c.cast("string")
+            text = f"CAST({c} AS STRING)"
         elif isinstance(t, T.ArrayType):
-            c = F.array_join(c.cast("array<string>"), ",", "null")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            text = f"array_join(CAST({c} AS ARRAY<STRING>), ',', 'null')"
+        else:
+            text = c
+        out.append(f"{text} AS {c}")
+    return df.selectExpr(*out)
 
 
 def runner(q: Query) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return comparable(q.build(Tables(spark, sf_dir)))
+        return comparable(q.build(Tables(tune(spark), sf_dir)))
 
     return run

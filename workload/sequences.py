@@ -42,7 +42,7 @@ def changes_of_category(t):
 
 @query("SEQ-2", "SELECT party_id, policy_no, value, position FROM v_changes")
 def changes_with_every_client_hot(t):
-    return sq.collapse_repeats(category_events(t), share=0.0, floor=2).select("party_id", "policy_no", "value", "position")
+    return sq.collapse_repeats(category_events(t), floor=2).select("party_id", "policy_no", "value", "position")
 
 
 @query("SEQ-2", """
