@@ -79,9 +79,13 @@ def first_second_pivot(df: DataFrame, party: str = "party_id") -> DataFrame:
     Takes all policies, or the rows of ``first_two`` with further columns attached.
     """
     two = df if "_rn" in df.columns else first_two(df, party)
-    first = [F.max(F.when(F.col("_rn") == 1, F.col(c))).alias(c) for c in FIRST_FIELDS if c in df.columns]
-    second = [F.max(F.when(F.col("_rn") == 2, F.col(c))).alias(f"second_{c}") for c in SECOND_FIELDS if c in df.columns]
-    return two.groupBy(party).agg(*first, *second)
+    first = [c for c in FIRST_FIELDS if c in df.columns]
+    second = [c for c in SECOND_FIELDS if c in df.columns]
+    # two aggregates over rows, not one per column
+    pair = two.groupBy(party).agg(
+        F.max(F.when(F.col("_rn") == 1, F.struct(*first))).alias("_a"),
+        F.max(F.when(F.col("_rn") == 2, F.struct(*second))).alias("_b"))
+    return pair.select(party, "_a.*", *[F.expr(f"_b.{c} AS second_{c}") for c in second])
 
 
 def first_second_join(df: DataFrame, party: str = "party_id", category: str = "product_category",

@@ -29,16 +29,19 @@ def read_csv_tolerant(spark: SparkSession, path: str, schema: str, bad: str = "d
     ``drop`` skips them, ``permissive`` keeps them with the raw text in ``_corrupt_record``,
     ``fail`` stops. An empty ``quote`` reads quotes as plain characters.
     """
-    modes = {"drop": "DROPMALFORMED", "permissive": "PERMISSIVE", "fail": "FAILFAST"}
-    if bad == "permissive":
+    modes = {"drop": "PERMISSIVE", "permissive": "PERMISSIVE", "fail": "FAILFAST"}
+    if bad != "fail":
         schema = f"{schema}, _corrupt_record string"
-    return (
+    lines = (
         spark.read.schema(schema)
         .options(header=header, quote=quote, mode=modes[bad], columnNameOfCorruptRecord="_corrupt_record")
-        # without this a pruned read parses fewer columns and finds fewer bad lines
-        .option("columnPruning", False)
         .csv(path)
     )
+    # Spark parses only the columns a query uses, and finds only their errors. This condition
+    # is always true and uses all of them, so that which lines are bad never depends on the query.
+    columns = [c for c in lines.columns if c != "_corrupt_record"]
+    parsed = lines.filter(F.length(F.concat_ws("", *[F.col(c).cast("string") for c in columns])) >= 0)
+    return parsed.filter("_corrupt_record IS NULL").select(*columns) if bad == "drop" else parsed
 
 
 def latest_month(df: DataFrame, month_col: str = "business_month", within: Column | None = None) -> DataFrame:
