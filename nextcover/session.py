@@ -7,9 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "16g") -> SparkSession:
+def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "16g",
+                  settings: dict[str, str] | None = None) -> SparkSession:
     """Session for tests and the benchmark. On a cluster, submit with its own settings."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("nextcover")
         .config("spark.ui.enabled", "false")
@@ -21,8 +22,10 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         # column building asks for the Python call site of every operation otherwise
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .getOrCreate()
     )
+    for name, value in (settings or {}).items():
+        builder = builder.config(name, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
 

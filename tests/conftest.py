@@ -12,11 +12,8 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from pyspark.sql import SparkSession
-
-    # the warehouse must be set before the session exists
-    SparkSession.builder.config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
-    return local_session(shuffle_partitions=4, memory="4g")
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    return local_session(shuffle_partitions=4, memory="4g", settings={"spark.sql.warehouse.dir": warehouse})
 
 
 @pytest.fixture(scope="session")
