@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nextcover.functions.columns import date_of, normalize_code, yyyymm
 from nextcover.operators.clean import restrict_to
 from nextcover.operators.ordered import latest_by
+from nextcover.operators.sizing import size_checked
 
 # ---- fixed values ----
 POSITIVE_OUTCOMES = ["Connected", "Appointment Set", "Referral Provided"]
@@ -54,7 +55,7 @@ def portfolio_counts(df: DataFrame, categories: list[str], party: str = "party_i
 
 def left_latest(df: DataFrame, other: DataFrame, key: str, order: str) -> DataFrame:
     """Left join with only the newest row per key of the right side."""
-    return df.join(latest_by(other, [key], [order]), key, "left")
+    return df.join(size_checked(latest_by(other, [key], [order])), key, "left")
 
 
 def client_360(retention: DataFrame, policies: DataFrame, agents: DataFrame, activities: DataFrame,
@@ -77,7 +78,7 @@ def client_360(retention: DataFrame, policies: DataFrame, agents: DataFrame, act
         .join(policy_summary(policies, as_of), "party_id", "left")
         .join(activity_metrics(activities, activity_as_of), "party_id", "left")
         .join(opportunity_metrics(opportunities).drop("lost_opportunities", "avg_estimated_gdc"), "party_id", "left")
-        .join(agent, "agent_code", "left")
+        .join(size_checked(agent), "agent_code", "left")
         .fillna(0, subset=counts)
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from nextcover.functions.columns import correlation
 from nextcover.operators.ordered import with_order
 from nextcover.operators.quantiles import column_quantiles, with_fitted
+from nextcover.operators.sizing import size_checked
 
 # ---- fixed values ----
 DOMAIN_GROUPS = {
@@ -91,7 +92,12 @@ def fit_encoder(train: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def encode(df: DataFrame, encoder: DataFrame, columns: list[str], unknown: int = -1, suffix: str = "_idx") -> DataFrame:
-    """Attach the code of each column's value; values not seen in training get ``unknown``."""
+    """Attach the code of each column's value; values not seen in training get ``unknown``.
+
+    The encoder is computed and counted once. While it is small the rows are not shuffled for
+    any of the columns.
+    """
+    encoder = size_checked(encoder.filter(F.col("column").isin(columns)))
     for c in columns:
         codes = encoder.filter(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
         df = (
@@ -163,7 +169,7 @@ def target_encode(train: DataFrame, val: DataFrame, columns: list[str], label: s
                     f"(coalesce(_h{i}, 0) + _fit.c{i} * {float(smoothing)!r}D) / (coalesce(_n, 0) + {float(smoothing)!r}D)")
                 for i, c in enumerate(classes)
             }
-            return df.join(stats, keys, "left").withColumns(shares).drop(*sums)
+            return df.join(size_checked(stats), keys, "left").withColumns(shares).drop(*sums)
 
         train = encoded(train, others, [column, "_fold"])
         val = encoded(val, everyone, [column])

@@ -1,0 +1,21 @@
+"""Broadcast only what was counted."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def size_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A frame of fitted values, marked for broadcast when it has at most ``rows`` rows.
+
+    The frame is kept (memory, then disk; lost parts are computed again), so the count and the
+    join share one computation. The count stops at the limit. Larger frames go into the join
+    unmarked and are shuffled, with AQE splitting skewed keys.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    small = kept.limit(rows + 1).count() <= rows
+    return F.broadcast(kept) if small else kept

@@ -14,14 +14,18 @@ from nextcover.operators.policies import NEIGHBOUR_FIELDS, ORDER, days_to_neighb
 from nextcover.sources.readers import latest_month
 
 
-def newest_with_neighbour(df: DataFrame, party: str = "party_id") -> DataFrame:
+def newest_two(df: DataFrame, party: str = "party_id") -> DataFrame:
+    """The client's two newest policies, numbered in ``_rn``; trimmed before the shuffle."""
+    return first_by(df, [party], [F.col(c).desc() for c in ORDER], 2, rank="_rn")
+
+
+def newest_with_neighbour(two: DataFrame, party: str = "party_id") -> DataFrame:
     """The newest policy of clients with two or more, with the one before it.
 
     The same rows as ``neighbour_policy`` with rank 1, from two rows per client instead of a
     window over all of them.
     """
-    two = first_by(df, [party], [F.col(c).desc() for c in ORDER], 2, rank="_rn")
-    others = [c for c in df.columns if c != party]
+    others = [c for c in two.columns if c not in (party, "_rn")]
     newest = F.max(F.when(F.col("_rn") == 1, F.struct(*others)))
     before = F.max(F.when(F.col("_rn") == 2, F.struct(*NEIGHBOUR_FIELDS)))
     pair = two.groupBy(party).agg(newest.alias("_new"), before.alias("_old")).filter(F.col("_old").isNotNull())
@@ -32,7 +36,8 @@ def newest_with_neighbour(df: DataFrame, party: str = "party_id") -> DataFrame:
 def training_base(policies: DataFrame, lookup: DataFrame, first_day: str = "2022-01-01") -> DataFrame:
     """Classified newest policy per cross-sale client with its neighbour and the targets."""
     current = latest_month(policies).filter(F.col("party_id").isNotNull() & F.col("policy_no").isNotNull())
-    classified = classify(join_product_lookup(current, lookup).distinct(), product="product")
+    # the lookup and the rules see two policies per client only
+    classified = classify(join_product_lookup(newest_two(current.distinct()), lookup), product="product")
     # keyed conditions come after the reduction: they are about the newest policy only
     base = since(newest_with_neighbour(classified), first_day).filter(
         F.col("cross_sell_product_category").isNotNull() & (F.col("cross_sell_product_category") != "OTHER"))

@@ -115,7 +115,34 @@ def padded_history(t):
     return sq.pad_history(sq.sliding_examples(changes(t))).select("party_id", "position", *[f"hist_{i}" for i in range(10)])
 
 
-@query("SEQ-12")
+TEXTS, NUMBERS = plan.SNAPSHOT_TEXTS, plan.SNAPSHOT_NUMBERS
+
+
+def _filled(c):
+    if c not in ("client_seg", "channel"):
+        return f"n.{c}"
+    return f"coalesce(n.{c}, (SELECT {c} FROM v_policies GROUP BY 1 ORDER BY count(*) DESC, {c} LIMIT 1))"
+
+
+def _code(c):
+    return (f"(SELECT k FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM (SELECT DISTINCT coalesce({c}, 'UNKNOWN') AS v FROM v_policies)) "
+            f"WHERE v = s.{c}) AS {c}_idx")
+
+
+@query("SEQ-12", """
+WITH act AS (SELECT *, lag(product_category) OVER (PARTITION BY party_id ORDER BY register_date, policy_no) AS before,
+    row_number() OVER (PARTITION BY party_id ORDER BY register_date DESC, policy_no DESC) AS newest FROM v_class3 WHERE policy_status = 'Active'),
+ids AS (SELECT value, row_number() OVER (ORDER BY value) AS id FROM (SELECT DISTINCT product_category AS value FROM v_class3)),
+ch AS (SELECT a.party_id, i.id, row_number() OVER (PARTITION BY party_id ORDER BY register_date, policy_no) AS position,
+    row_number() OVER (PARTITION BY party_id ORDER BY register_date DESC, policy_no DESC) AS back
+  FROM act a JOIN ids i ON a.product_category = i.value WHERE before IS NULL OR before <> product_category),
+hist AS (SELECT party_id, list(id ORDER BY position) AS h, max(position) AS seq_length FROM ch WHERE back <= 10 GROUP BY 1),
+s AS (SELECT x.*, """ + ", ".join(f"CAST(coalesce(n.{c}, 0) AS DOUBLE) AS {c}" for c in NUMBERS if c != "psn_age") + ", CAST(coalesce(n.psn_age, 0) AS BIGINT) AS psn_age, "
+       + ", ".join(f"{_filled(c)} AS {c}" for c in TEXTS) + """ FROM hist x LEFT JOIN (SELECT * FROM act WHERE newest = 1) n ON x.party_id = n.party_id)
+SELECT party_id, seq_length, len(h) AS seq_len, h[-1] AS last_1, coalesce(h[-2], 0) AS last_2, len(list_distinct(h)) AS unique_prior, len(h) - 1 AS num_switches, """ + ", ".join(
+    f"len(list_filter(h, lambda x: x = {i})) AS freq_{i}" for i in range(1, len(CATEGORIES) + 1)) + ", " + ", ".join(
+    rd(c) + f" AS {c}" if c != "psn_age" else c for c in NUMBERS) + ", " + ", ".join(TEXTS) + ", " + ", ".join(
+    f"CASE WHEN len(h) >= {10 - i} THEN h[len(h) - {9 - i}] ELSE 0 END AS hist_{i}" for i in range(10)) + ", " + ", ".join(_code(c) for c in TEXTS) + " FROM s")
 def scoring_input(t):
     """Vocabulary, modes and codes fitted on all policies, applied to the active ones."""
     rows = category_events(t)
