@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# every slice between two of the 64 quantile edges is cut again into 64 parts of equal width
 SLICES = 64
+PARTS = 64
 
 
 def with_fitted(df: DataFrame, fitted: DataFrame, name: str = "_fit") -> DataFrame:
@@ -42,16 +44,23 @@ def unpivoted(df: DataFrame, columns: list[str], keep: list[str] | None = None,
 
 def value_ranks(df: DataFrame, groups: list[str], value: str, slices: int = SLICES) -> DataFrame:
     """Per distinct value of each group: ``n`` rows, ``before`` rows with a smaller value,
-    ``total`` rows. Groups are column names or labels, so there are few of them."""
+    ``total`` rows.
+
+    Groups are column names or class labels: there are as many as columns or classes, which
+    bounds the broadcast of their edges.
+    """
     counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    probabilities = [i / slices for i in range(1, slices)]
+    probabilities = [i / slices for i in range(slices + 1)]
     edges = df.groupBy(*groups).agg(
         F.percentile_approx(value, probabilities, 1000).alias("_edges"),
         F.count(F.lit(1)).alias("total"),
     )
-    sliced = counts.join(edges, groups).withColumn(
-        "_slice", F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    ).drop("_edges")
+    placed = counts.join(F.broadcast(edges), groups).withColumn(
+        "_slice", F.size(F.filter("_edges", lambda e: e < F.col(value))))
+    part = F.expr(
+        f"CASE WHEN _slice BETWEEN 1 AND {slices} THEN least(greatest(int(floor({PARTS} * ({value} - _edges[_slice - 1])"
+        f" / nullif(_edges[_slice] - _edges[_slice - 1], 0))), 0), {PARTS - 1}) ELSE 0 END")
+    sliced = placed.withColumn("_slice", F.col("_slice") * PARTS + F.coalesce(part, F.lit(0))).drop("_edges")
     sizes = sliced.groupBy(*groups, "_slice").agg(F.sum("n").alias("_size"))
     lower = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*groups, "_slice", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_shift"))

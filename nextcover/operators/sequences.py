@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextcover.operators.ordered import HOT_FLOOR, first_by, hot_keys, with_order, with_recent
+from nextcover.operators.ordered import HOT_FLOOR, first_by, hot_keys, slices_of, with_order, with_recent
 from nextcover.operators.policies import ORDER
 
 PART_ROWS = 10_000
@@ -56,7 +56,7 @@ def collapse_repeats(df: DataFrame, party: str = "party_id", order: list[str] |
     """
     order = order or ORDER
     hot = F.broadcast(hot_keys(df, party, floor).withColumn("_hot", F.lit(True)))
-    tagged = df.join(hot, party, "left").withColumn("_slice", F.when(F.col("_hot"), F.col(order[0]))).drop("_hot")
+    tagged = df.join(hot, party, "left").withColumn("_slice", F.when(F.col("_hot"), slices_of(df, order))).drop("_hot")
     inside = Window.partitionBy(party, "_slice").orderBy(*order)
     before = F.lag(value).over(inside)
     local = (
@@ -90,30 +90,24 @@ def sequence_lengths(numbered: DataFrame, party: str = "party_id") -> DataFrame:
 
 def min_length(numbered: DataFrame, n: int, party: str = "party_id") -> DataFrame:
     """Events of clients with at least ``n`` of them."""
+    if n <= 1:
+        return numbered
     return numbered.join(sequence_lengths(numbered, party).filter(F.col("seq_length") >= n), party, "left_semi")
 
 
-def numbered_values(df: DataFrame, column: str, order: list[Column] | None = None,
-                    first_id: int = 1, name: str = "id") -> DataFrame:
-    """Distinct values with ids in sorted order, numbered without a single-task sort."""
-    values = df.select(column).distinct().withColumn("_all", F.lit(1))
-    out = with_order(values, "_all", [column], number=name, slice_by=F.substring(column, 1, 2), floor=100_000)
-    return out.select(column, (F.col(name) + (first_id - 1)).cast("int").alias(name))
-
-
 def vocab_alpha(df: DataFrame, column: str = "value") -> DataFrame:
-    """Alphabetical ids from 1; 0 is left for padding."""
-    return numbered_values(df.filter(F.col(column).isNotNull()), column)
+    """Alphabetical ids from 1; 0 is left for padding. A product vocabulary has a handful of
+    values, so numbering the distinct ones in one window is small work."""
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    order = Window.partitionBy(F.lit(1)).orderBy(column)
+    return values.withColumn("id", F.row_number().over(order))
 
 
 def vocab_freq(df: DataFrame, column: str = "value") -> DataFrame:
     """Ids from 0 by falling frequency, ties by value."""
-    counts = (
-        df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("frequency"))
-        .withColumns({"_rank": -F.col("frequency"), "_all": F.lit(1)})
-    )
-    out = with_order(counts, "_all", ["_rank", column], number="id", floor=100_000)
-    return out.select(column, "frequency", (F.col("id") - 1).cast("int").alias("id"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("frequency"))
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("frequency"), F.asc(column))
+    return counts.withColumn("id", F.row_number().over(order) - 1)
 
 
 def to_ids(numbered: DataFrame, vocab: DataFrame, column: str = "value", unknown: int = 0) -> DataFrame:
