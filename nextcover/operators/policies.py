@@ -73,14 +73,16 @@ def first_two(df: DataFrame, party: str = "party_id") -> DataFrame:
     return _ranked(df, party, 2)
 
 
-def first_second_pivot(df: DataFrame, party: str = "party_id") -> DataFrame:
+def first_second_pivot(df: DataFrame, party: str = "party_id", first: list[str] | None = None,
+                       second: list[str] | None = None) -> DataFrame:
     """First and second policy in one row; the second is null for single-policy clients.
 
-    Takes all policies, or the rows of ``first_two`` with further columns attached.
+    Takes all policies, or the rows of ``first_two`` with further columns attached. ``first``
+    and ``second`` limit the attributes carried along, and with them what is read.
     """
     two = df if "_rn" in df.columns else first_two(df, party)
-    first = [c for c in FIRST_FIELDS if c in df.columns]
-    second = [c for c in SECOND_FIELDS if c in df.columns]
+    first = [c for c in first or FIRST_FIELDS if c in df.columns]
+    second = [c for c in second or SECOND_FIELDS if c in df.columns]
     # two aggregates over rows, not one per column
     pair = two.groupBy(party).agg(
         F.max(F.when(F.col("_rn") == 1, F.struct(*first))).alias("_a"),

@@ -13,14 +13,20 @@ from nextcover.operators.propensity import top_transitions, transition_probs
 from nextcover.sources.readers import latest_month
 
 
-def first_second(policies: DataFrame, lookup: DataFrame) -> DataFrame:
+# what the classification reads
+RULE_FIELDS = ["policy_no", "prod_lob", "sub_product_level_1", "sub_product_level_2", "product"]
+
+
+def first_second(policies: DataFrame, lookup: DataFrame, first: list[str] | None = None,
+                 second: list[str] | None = None) -> DataFrame:
     """Newest month's active policies as first and second policy per client, both classified.
 
     Clients are trimmed to two policies before the only shuffle on the client, and the product
-    lookup and the classification see those two policies only.
+    lookup and the classification see those two policies only. ``first`` and ``second`` name
+    the attributes to carry, all by default.
     """
     current = require_values(active(latest_month(policies)), ["party_id", "policy_no", "register_date"])
-    pairs = first_second_pivot(join_product_lookup(first_two(current), lookup))
+    pairs = first_second_pivot(join_product_lookup(first_two(current), lookup), first=first, second=second)
     return pairs.withColumns({
         "product_category": product_category(product="product"),
         "second_product_category": product_category(
@@ -31,5 +37,5 @@ def first_second(policies: DataFrame, lookup: DataFrame) -> DataFrame:
 
 def likely_next_products(policies: DataFrame, lookup: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` most likely second products per first product."""
-    bought = first_second(policies, lookup).filter(F.col("second_product_category").isNotNull())
+    bought = first_second(policies, lookup, RULE_FIELDS, RULE_FIELDS).filter(F.col("second_product_category").isNotNull())
     return top_transitions(transition_probs(bought), n)
