@@ -147,7 +147,8 @@ def single_policy_clients(df: DataFrame, party: str = "party_id", distinct_polic
     """The one policy of clients that hold exactly one.
 
     With one row per client at the end, a single aggregation decides and delivers it: the
-    count (or the lowest and highest policy number) and the newest row travel together.
+    count (or the lowest and highest policy number) and the newest row travel together. Select
+    the columns you need before: all that are there are carried along.
     """
     others = [c for c in df.columns if c != party]
     row = F.max(F.struct(*[F.col(c) for c in ORDER], F.struct(*others).alias("row")))

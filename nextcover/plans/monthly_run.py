@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nextcover.functions.classify import classify
-from nextcover.operators.clean import active, first_policy_view, valid_events
+from nextcover.operators.clean import FIRST_POLICY_NAMES, active, first_policy_view, valid_events
 from nextcover.operators.features import season
 from nextcover.operators.policies import single_policy_clients
 from nextcover.operators.prep import apply_fill, encode
@@ -23,7 +23,8 @@ RUN_TEXTS = ["first_product_category", "client_seg", "aum_band", "channel"]
 def scoring_population(policies: DataFrame, as_of, branch: str | None = None) -> DataFrame:
     """Single-policy clients of the newest month with the features of their first policy."""
     scope = active(policies if branch is None else policies.filter(F.col("branchoffice_code") == branch))
-    single = single_policy_clients(valid_events(classify(latest_month(scope))))
+    known = valid_events(classify(latest_month(scope))).select(*FIRST_POLICY_NAMES)
+    single = single_policy_clients(known)
     gap = F.datediff(date_of(as_of), F.col("first_register_date")) / 365.25
     return first_policy_view(single).withColumns({
         "years_to_second": gap, "season": season("first_register_date")})

@@ -11,9 +11,19 @@ from nextcover.operators.client360 import join_market, join_product_lookup
 from nextcover.operators.features import enhanced_features, flag_group
 from nextcover.operators.ordered import first_by
 from nextcover.operators.policies import NEIGHBOUR_FIELDS, ORDER, days_to_neighbour
+from nextcover.schemas import ASSET_MIX
 from nextcover.sources.readers import latest_month
 
 
+# ---- fixed values: attributes of a policy in the training base ----
+BASE_FIELDS = [
+    "party_id", "policy_no", "register_date", "prod_lob", "sub_product_level_1", "sub_product_level_2",
+    "product", "trmn_eff_date", "acct_val_amt", "face_amt", "cash_val_amt", "birth_dt", "psn_age", "channel",
+    "client_seg", "aum_band", "wc_total_assets", *ASSET_MIX, "monthly_premium_amount",
+]
+# ---- end of fixed values ----
+
+
 def newest_two(df: DataFrame, party: str = "party_id") -> DataFrame:
     """The client's two newest policies, numbered in ``_rn``; trimmed before the shuffle."""
     return first_by(df, [party], [F.col(c).desc() for c in ORDER], 2, rank="_rn")
@@ -36,8 +46,9 @@ def newest_with_neighbour(two: DataFrame, party: str = "party_id") -> DataFrame:
 def training_base(policies: DataFrame, lookup: DataFrame, first_day: str = "2022-01-01") -> DataFrame:
     """Classified newest policy per cross-sale client with its neighbour and the targets."""
     current = latest_month(policies).filter(F.col("party_id").isNotNull() & F.col("policy_no").isNotNull())
-    # the lookup and the rules see two policies per client only
-    classified = classify(join_product_lookup(newest_two(current.distinct()), lookup), product="product")
+    rows = join_product_lookup(current, lookup).select(*BASE_FIELDS).distinct()
+    # the rules see two policies per client only
+    classified = classify(newest_two(rows), product="product")
     # keyed conditions come after the reduction: they are about the newest policy only
     base = since(newest_with_neighbour(classified), first_day).filter(
         F.col("cross_sell_product_category").isNotNull() & (F.col("cross_sell_product_category") != "OTHER"))

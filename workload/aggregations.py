@@ -72,7 +72,7 @@ def market_flag_totals(t):
 SELECT party_id, policy_no, CAST(register_date AS VARCHAR) AS register_date, prod_lob, agt_no, {rd('acct_val_amt', 2)} AS acct_val_amt, product,
   second_policy_no, CAST(second_register_date AS VARCHAR) AS second_register_date, second_prod_lob, second_product FROM v_fs""")
 def first_and_second_policy(t):
-    return first_second_rows(t).select(
+    return first_second_rows(t, "register_date", "agt_no", "acct_val_amt").select(
         "party_id", "policy_no", "register_date", "prod_lob", "agt_no", rounded("acct_val_amt", 2).alias("acct_val_amt"), "product",
         "second_policy_no", "second_register_date", "second_prod_lob", "second_product")
 
@@ -130,23 +130,23 @@ def product_popularity(t):
 
 @query("AGG-17", "SELECT agt_no, product_category, count(*) AS agent_p1_cross_sell_count FROM v_bought GROUP BY 1, 2")
 def agent_propensity(t):
-    return pr.propensity_agent(first_second_rows(t).filter(F.col("second_product_category").isNotNull()))
+    return pr.propensity_agent(first_second_rows(t, "agt_no").filter(F.col("second_product_category").isNotNull()))
 
 
 @query("AGG-18", "SELECT branchoffice_code, product_category, count(*) AS branch_p1_cross_sell_count FROM v_bought GROUP BY 1, 2")
 def branch_propensity(t):
-    return pr.propensity_branch(first_second_rows(t).filter(F.col("second_product_category").isNotNull()))
+    return pr.propensity_branch(first_second_rows(t, "branchoffice_code").filter(F.col("second_product_category").isNotNull()))
 
 
 @query("AGG-19", f"""
 SELECT client_seg, count(*) AS clients, {rd('avg(CASE WHEN second_policy_no IS NOT NULL THEN 1.0 ELSE 0.0 END)')} AS cross_sell_rate FROM v_fs GROUP BY 1""")
 def cross_sell_rate_by_segment(t):
-    return pr.cross_sell_rate(first_second_rows(t), "client_seg")
+    return pr.cross_sell_rate(first_second_rows(t, "client_seg"), "client_seg")
 
 
 @query("AGG-20", "SELECT client_seg, second_product_category, count(*) AS n FROM v_fs GROUP BY 1, 2")
 def segment_by_next_product(t):
-    return pr.cross_tab(first_second_rows(t), "client_seg", "second_product_category")
+    return pr.cross_tab(first_second_rows(t, "client_seg"), "client_seg", "second_product_category")
 
 
 @query("AGG-21", f"""

@@ -28,7 +28,7 @@ def category_from_four_fields(t):
 @query("CLS-3", """
 SELECT party_id, policy_no, second_policy_no, product_category, second_product_category FROM v_fs""")
 def category_of_second_policy(t):
-    return next_product.first_second(t.policies, t.lookup).select(
+    return next_product.first_second(t.policies, t.lookup, next_product.RULE_FIELDS, next_product.RULE_FIELDS).select(
         "party_id", "policy_no", "second_policy_no", "product_category", "second_product_category")
 
 

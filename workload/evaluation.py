@@ -22,7 +22,7 @@ FEATURES = ["acct_val_amt", "wc_total_assets", "psn_age", "product_idx", "channe
 
 def model_rows(t):
     """First policies with an index label, filled and encoded."""
-    rows = valid_targets(first_second_rows(t), "second_product_category")
+    rows = valid_targets(first_second_rows(t, "acct_val_amt", "wc_total_assets", "psn_age", "channel"), "second_product_category")
     codes = prep.fit_encoder(rows, ["product_category", "channel"])
     coded = prep.encode(rows, codes, ["product_category", "channel"]).withColumnRenamed("product_category_idx", "product_idx")
     labels = prep.label_index(rows, "second_product_category")

@@ -16,8 +16,10 @@ from workload.views import AS_OF
 FIRST_DAY = "1990-01-01"
 
 
-def first_second_rows(t):
-    return next_product.first_second(t.policies, t.lookup)
+def first_second_rows(t, *attributes):
+    """First and second policies, with the named attributes of the first one."""
+    rules = next_product.RULE_FIELDS
+    return next_product.first_second(t.policies, t.lookup, [*rules, *attributes], [*rules, "register_date"])
 
 
 def training(t, flags=True):
@@ -32,7 +34,7 @@ SELECT party_id, CAST(FLOOR(date_diff('day', isrd_brth_date, DATE '2002-01-01')
   {rd("date_diff('day', isrd_brth_date, register_date) / 365.25")} AS age_at_first_policy,
   {rd("date_diff('day', isrd_brth_date, second_register_date) / 365.25")} AS age_at_second_policy FROM v_fs""")
 def client_ages(t):
-    rows = first_second_rows(t).withColumnRenamed("isrd_brth_date", "birth_dt")
+    rows = first_second_rows(t, "isrd_brth_date", "register_date").withColumnRenamed("isrd_brth_date", "birth_dt")
     return fe.ages(rows, AS_OF).select("party_id", F.col("client_age").cast("long").alias("client_age"), "age_at_first_policy", "age_at_second_policy")
 
 
@@ -79,7 +81,7 @@ def segments_affinity_season(t):
 SELECT party_id, {rd("date_diff('day', register_date, coalesce(second_register_date, DATE '2002-01-01')) / 365.25")} AS years_to_second,
   CAST(CASE WHEN second_register_date IS NULL THEN 1 ELSE 0 END AS BIGINT) AS gap_is_open FROM v_fs""")
 def years_to_second_policy(t):
-    return fe.years_to_second(first_second_rows(t), AS_OF).select("party_id", "years_to_second", "gap_is_open")
+    return fe.years_to_second(first_second_rows(t, "register_date"), AS_OF).select("party_id", "years_to_second", "gap_is_open")
 
 
 def _group_query(ids, *groups):

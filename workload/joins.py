@@ -6,8 +6,8 @@ from nextcover.functions.classify import CATEGORIES, classify
 from nextcover.operators import client360 as c360, explain, policies as pol, propensity as pr
 from nextcover.operators.features import ages, allocation_ratios
 from nextcover.operators.monitor import market_series
-from nextcover.plans import next_product
 from workload.classification import with_product
+from workload.feature_sets import first_second_rows
 from workload.registry import query, rounded
 from workload.sqltext import rd
 from workload.views import ACTIVITY_AS_OF, AS_OF
@@ -99,6 +99,7 @@ def single_policy_clients(t):
     from nextcover.operators.clean import active
 
     kept = active(classify(t.policies)).filter(F.col("policy_no").cast("long") % 8 == 0)
+    kept = kept.select("party_id", "policy_no", "register_date", "product_category")
     return pol.single_policy_clients(kept).select("party_id", "policy_no", "product_category")
 
 
@@ -116,7 +117,7 @@ LEFT JOIN (SELECT branchoffice_code, product_category, count(*) AS n FROM h GROU
   ON f.branchoffice_code = c.branchoffice_code AND f.product_category = c.product_category""")
 def propensity_features(t):
     """Lookups fitted on four fifths of the clients, attached to all."""
-    rows = next_product.first_second(t.policies, t.lookup)
+    rows = first_second_rows(t, "agt_no", "branchoffice_code")
     history = rows.filter(F.col("second_product_category").isNotNull() & (F.col("policy_no").cast("long") % 5 != 0))
     return pr.add_propensity(rows, pr.propensity_lookups(history)).select(
         "party_id", "p1_cross_sell_popularity", "p1_most_common_next_prod", "agent_p1_cross_sell_count", "branch_p1_cross_sell_count")
@@ -128,7 +129,7 @@ FROM v_fs f LEFT JOIN (SELECT product_category, """ + ", ".join(
     f"avg(CASE WHEN second_product_category = '{c}' THEN 1.0 ELSE 0.0 END) AS p{i}" for i, c in enumerate(CATEGORIES)) + """
   FROM v_bought GROUP BY 1) m ON f.product_category = m.product_category""")
 def transition_probability_features(t):
-    rows = next_product.first_second(t.policies, t.lookup)
+    rows = first_second_rows(t)
     probs = pr.transition_probs(rows.filter(F.col("second_product_category").isNotNull()))
     out = pr.add_transition_probs(rows, pr.transition_matrix(probs, CATEGORIES))
     return out.select("party_id", "product_category", *[f"prob_{c}_given_first" for c in CATEGORIES])
@@ -163,7 +164,7 @@ FROM (SELECT agt_no, avg(wc_total_assets) AS assets FROM v_bought GROUP BY 1) a
 JOIN (SELECT agt_no, second_product_category FROM v_bought GROUP BY 1, 2
   QUALIFY row_number() OVER (PARTITION BY agt_no ORDER BY count(*) DESC, second_product_category) = 1) m ON a.agt_no = m.agt_no""")
 def agent_statistics(t):
-    rows = next_product.first_second(t.policies, t.lookup).filter(F.col("second_product_category").isNotNull())
+    rows = first_second_rows(t, "agt_no", "wc_total_assets").filter(F.col("second_product_category").isNotNull())
     return pr.agent_stats(rows).withColumn("agent_avg_assets", rounded("agent_avg_assets", 2))
 
 

@@ -18,7 +18,7 @@ def is_train(c="policy_no"):
 
 
 def bought(t):
-    return first_second_rows(t).filter(F.col("second_product_category").isNotNull())
+    return first_second_rows(t, "agt_no").filter(F.col("second_product_category").isNotNull())
 
 
 TRAIN = "CAST(policy_no AS BIGINT) % 5 <> 0"
