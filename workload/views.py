@@ -164,13 +164,21 @@ class Tables:
     def opportunities(self) -> DataFrame:
         return self.view("v_opportunities")
 
+    # Spark repeats rows with explode where the SQL text joins a list of constants
     @cached_property
     def agents(self) -> DataFrame:
-        return self.view("v_agents_report")
+        months = self.raw("supplier").selectExpr("*", "explode(sequence(0, 2)) AS k")
+        return months.selectExpr(
+            "CAST(s_suppkey AS STRING) AS agent_code", "200110 + k AS yearmo", "s_name AS full_name",
+            "CAST((s_suppkey + k) % 30 AS INT) AS rpt_lgth_of_svc", "CONCAT('R', CAST((s_suppkey + k) % 4 AS STRING)) AS rank_desc")
 
     @cached_property
     def retention(self) -> DataFrame:
-        return self.view("v_retention")
+        months = self.raw("customer").selectExpr("*", "explode(sequence(0, 1)) AS k")
+        return months.selectExpr(
+            "CAST(c_custkey AS STRING) AS party_id", "200111 + k AS business_month", "CAST(c_nationkey AS STRING) AS state",
+            "c_mktsegment AS client_segment", "c_acctbal * 64 + k AS aum_sum", "CAST(c_custkey % 20 AS INT) AS client_tenure",
+            "CAST(c_custkey % 100 AS STRING) AS agent_code")
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -178,7 +186,14 @@ class Tables:
 
     @cached_property
     def contributions(self) -> DataFrame:
-        return self.view("v_contributions")
+        pairs = self.raw("customer").selectExpr("c_custkey", "explode(sequence(0, 23)) AS j").selectExpr(
+            "c_custkey", "CAST(j DIV 6 AS INT) AS p", "j % 6 AS f")
+        return pairs.selectExpr(
+            "CAST(c_custkey AS STRING) AS party_id",
+            "get(array('investment', 'retirement', 'life_insurance', 'network_products'), p) AS product",
+            "get(array('acct_val_amt', 'client_age', 'aum_segment', 'channel', 'snp_close_lead_6', 'client_tenure_years'), f) AS feature",
+            "CAST((c_custkey * 31 + p * 17 + f * 101) % 401 - 200 AS DOUBLE) / 1000 AS contribution",
+            "CAST((c_custkey * 13 + f * 7) % 97 AS STRING) AS value")
 
 
 def _duckdb_views() -> dict[str, str]:
