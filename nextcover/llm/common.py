@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,11 @@ BASE = U64(0x9E3779B97F4A7C15 | 1)
 STEP = U64(0xC2B2AE3D27D4EB4F | 1)
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="llm-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``; a local session without that setting gets
     a temporary folder, a cluster must name one that all executors share."""
@@ -32,8 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = "file://" + tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_folder()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -1,3 +1,21 @@
 """DuckDB texts of the queries that SQL can express."""
 
+from nextcover.llm.sharding import LIMIT_BYTES
+
 SQL: dict[str, str] = {}
+
+# the depth of a document's shard is the first at which its prefix's bytes fit
+SQL["op5_extendible_shards"] = f"""
+WITH sized AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+         ('0x' || substr(md5(coalesce('=' || doc_id::VARCHAR, '-')), 1, 15))::BIGINT AS hash
+  FROM documents),
+sums AS (
+  SELECT d, hash >> (60 - d) AS prefix, sum(n_bytes) AS bytes
+  FROM sized, (SELECT unnest(generate_series(0, 40))::INTEGER AS d) GROUP BY 1, 2),
+placed AS (
+  SELECT s.doc_id, s.n_bytes, s.hash, min(b.d) AS d
+  FROM sized s JOIN sums b ON b.prefix = s.hash >> (60 - b.d) AND b.bytes <= {LIMIT_BYTES} GROUP BY ALL)
+SELECT doc_id, n_bytes, d::VARCHAR || '-' || (hash >> (60 - d))::VARCHAR AS shard, d::BIGINT AS shard_depth
+FROM placed
+"""

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from nextcover.llm import oracles
 from nextcover.llm.common import small_batches
+from nextcover.llm.decontamination import contaminated
 from nextcover.llm.packing import packed
 from nextcover.llm.records import token_records
+from nextcover.llm.sharding import extendible_shards
 from nextcover.llm.toxicity import crc_of_id, toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +42,17 @@ def op4_token_records(spark, table):
     return token_records(table("documents"))
 
 
+@query
+def op5_extendible_shards(spark, table):
+    sized = table("documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return extendible_shards(sized, ["doc_id"], F.col("n_bytes")).select("doc_id", "n_bytes", "shard", F.col("shard_depth").cast("long").alias("shard_depth"))
+
+
+@query
+def op8_template_decontamination(spark, table):
+    return contaminated(table("documents"), table("benchmark"))
+
+
 @query
 def op9_best_fit_packing(spark, table):
     return packed(table("documents"))
