@@ -13,7 +13,9 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     warehouse = str(tmp_path_factory.mktemp("warehouse"))
-    return local_session(shuffle_partitions=4, memory="4g", settings={"spark.sql.warehouse.dir": warehouse})
+    shared = "file://" + str(tmp_path_factory.mktemp("shared"))
+    settings = {"spark.sql.warehouse.dir": warehouse, "spark.checkpoint.dir": shared}
+    return local_session(shuffle_partitions=4, memory="4g", settings=settings)
 
 
 @pytest.fixture(scope="session")
