@@ -19,3 +19,26 @@ placed AS (
 SELECT doc_id, n_bytes, d::VARCHAR || '-' || (hash >> (60 - d))::VARCHAR AS shard, d::BIGINT AS shard_depth
 FROM placed
 """
+
+WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+SQL["op3_jaccard_forest_join"] = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, {WORDS} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM texts, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common c JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 10 * c.n >= 8 * (a.n + b.n - c.n)),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+groups AS (SELECT x, min(y) AS least FROM reach GROUP BY 1),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY 1),
+same AS (SELECT w, min(doc_id) AS text_id FROM texts WHERE len(w) > 0 GROUP BY 1)
+SELECT t.doc_id, least(t.doc_id, coalesce(g.least, t.doc_id)) AS class_id, coalesce(s.text_id, t.doc_id) AS text_id,
+       coalesce(d.n, 0)::BIGINT AS n_links
+FROM texts t LEFT JOIN groups g ON g.x = t.doc_id LEFT JOIN degree d ON d.x = t.doc_id LEFT JOIN same s ON s.w = t.w
+"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from nextcover.llm import oracles
 from nextcover.llm.common import small_batches
 from nextcover.llm.decontamination import contaminated
+from nextcover.llm.jaccard_join import near_duplicates
 from nextcover.llm.packing import packed
 from nextcover.llm.records import token_records
 from nextcover.llm.sharding import extendible_shards
@@ -37,6 +38,11 @@ def query(build):
     return build
 
 
+@query
+def op3_jaccard_forest_join(spark, table):
+    return near_duplicates(table("documents"))
+
+
 @query
 def op4_token_records(spark, table):
     return token_records(table("documents"))
