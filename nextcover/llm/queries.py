@@ -15,6 +15,7 @@ from nextcover.llm.jaccard_join import near_duplicates
 from nextcover.llm.packing import packed
 from nextcover.llm.records import token_records
 from nextcover.llm.sharding import extendible_shards
+from nextcover.llm.suffix_dedup import deduplicated
 from nextcover.llm.toxicity import crc_of_id, toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +39,11 @@ def query(build):
     return build
 
 
+@query
+def op2_suffix_array_dedup(spark, table):
+    return deduplicated(table("documents"))
+
+
 @query
 def op3_jaccard_forest_join(spark, table):
     return near_duplicates(table("documents"))
