@@ -12,6 +12,7 @@ from nextcover.llm import oracles
 from nextcover.llm.common import small_batches
 from nextcover.llm.decontamination import contaminated
 from nextcover.llm.jaccard_join import near_duplicates
+from nextcover.llm.licenses import license_scan
 from nextcover.llm.packing import packed
 from nextcover.llm.records import token_records
 from nextcover.llm.sharding import extendible_shards
@@ -39,6 +40,11 @@ def query(build):
     return build
 
 
+@query
+def op1_license_scan(spark, table):
+    return license_scan(table("documents"))
+
+
 @query
 def op2_suffix_array_dedup(spark, table):
     return deduplicated(table("documents"))
