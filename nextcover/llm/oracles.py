@@ -42,3 +42,16 @@ SELECT t.doc_id, least(t.doc_id, coalesce(g.least, t.doc_id)) AS class_id, coale
        coalesce(d.n, 0)::BIGINT AS n_links
 FROM texts t LEFT JOIN groups g ON g.x = t.doc_id LEFT JOIN degree d ON d.x = t.doc_id LEFT JOIN same s ON s.w = t.w
 """
+
+SQL["op6_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""

@@ -14,9 +14,11 @@ from nextcover.llm.decontamination import contaminated
 from nextcover.llm.jaccard_join import near_duplicates
 from nextcover.llm.licenses import license_scan
 from nextcover.llm.packing import packed
+from nextcover.llm.quality import quality_scores
 from nextcover.llm.records import token_records
 from nextcover.llm.sharding import extendible_shards
 from nextcover.llm.suffix_dedup import deduplicated
+from nextcover.llm.topk import top_k
 from nextcover.llm.toxicity import crc_of_id, toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +68,18 @@ def op5_extendible_shards(spark, table):
     return extendible_shards(sized, ["doc_id"], F.col("n_bytes")).select("doc_id", "n_bytes", "shard", F.col("shard_depth").cast("long").alias("shard_depth"))
 
 
+@query
+def op6_exact_top_k(spark, table):
+    return top_k(table("embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5)
+
+
+@query
+def op7_quality_attention(spark, table):
+    held_out = F.pmod(crc_of_id(), F.lit(4)) == 2
+    scores = quality_scores(table("documents"), table("labels"), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op8_template_decontamination(spark, table):
     return contaminated(table("documents"), table("benchmark"))
