@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from nextcover.functions.columns import date_of, finite
 from nextcover.functions.classify import SUB_TARGETS, TARGET_CATEGORIES
-from nextcover.operators.ordered import first_by
+from nextcover.operators.ordered import first_by, with_totals
 from nextcover.schemas import require_columns
 from nextcover.sources.readers import clean_name
 
@@ -113,11 +113,11 @@ def dedupe_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def mean_age(df: DataFrame, party: str = "party_id", age: str = "psn_age") -> DataFrame:
     """Replace the age by the client's mean age.
 
-    The mean is aggregated on its own (map-side combine), then joined: a client with very
-    many rows is split by the skew join instead of filling one window task.
+    The mean is aggregated on its own (map-side combine), then joined; a client with very many
+    rows is spread over several tasks.
     """
-    means = df.groupBy(party).agg(F.avg(age).alias("_mean_age"))
-    return df.join(means, party, "left").withColumn(age, F.col("_mean_age")).drop("_mean_age")
+    means = with_totals(df, party, {"_mean_age": F.avg(age)})
+    return means.withColumn(age, F.col("_mean_age")).drop("_mean_age")
 
 
 def finite_columns(df: DataFrame, columns: list[str]) -> DataFrame:

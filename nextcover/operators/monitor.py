@@ -22,7 +22,7 @@ def prediction_outcome(predictions: DataFrame, current: DataFrame, month: int) -
 
     ``month`` is the current month; last month is the calendar month before it.
     """
-    last = predictions.filter(F.col("business_month") == shift_month(F.lit(month), -1))
+    last = predictions.filter(F.col("business_month") == shift_month(F.lit(month), -1)).distinct()  # a run may have been repeated
     held = current.join(last.select("party_id"), "party_id", "left_semi")
     buyers = holdings(held).filter(F.col("num_products") >= 2)
     compared = new_holdings(buyers.join(last, "party_id"))

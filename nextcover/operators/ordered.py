@@ -1,44 +1,59 @@
 """Ordered work inside a key (row numbers, neighbours, histories) that survives hot keys.
 
-A plain window sends all rows of a key to one task. Here the few keys that hold a large
-share of the rows are cut into slices of the ordering; every slice is its own window, and
-what crosses a slice border (rows before it, the neighbour behind it) comes from a small
-frame with one row per hot key and slice. All other keys have a single slice, so they take
-the ordinary one-shuffle window.
-
-Hot are the ``HOT_KEYS`` largest keys among those with more than ``HOT_FLOOR`` rows. That
-number bounds the broadcast of the hot keys. A key that is not among them holds less than
-``1 / HOT_KEYS`` of all rows and is left to the ordinary window, with the same result.
+A plain window sends all rows of a key to one task. Here every key that holds more than its share
+of the rows is cut into slices of the ordering; each slice is its own window, and what crosses a
+slice border (rows before it, the neighbour behind it) comes from a small frame with one row per
+hot key and slice. All other keys have a single slice and take the ordinary one-shuffle window.
+
+A key is hot when it has more rows than ``floor`` and than one ``TASK_SHARE``-th of all rows, so
+there are fewer than ``TASK_SHARE`` hot keys, whatever the data, and none is left out. Their slices
+are cut at sampled values of the whole ordering, about as many as give each slice that many rows:
+at most twice ``TASK_SHARE`` in all. Both numbers bound the broadcast. The sample is a function of
+the values (a hash), so every use of the slices agrees, on any cluster and after any loss.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-HOT_KEYS = 1000
+TASK_SHARE = 10_000
 HOT_FLOOR = 1_000_000
 CHUNK_ROWS = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, floor: int = HOT_FLOOR, most: int = HOT_KEYS) -> DataFrame:
-    """The ``most`` largest keys with more than ``floor`` rows; usually none."""
+def hot_keys(df: DataFrame, key: str, floor: int = HOT_FLOOR) -> DataFrame:
+    """Keys with more rows than one task should sort, with their rows and that limit."""
     counts = df.select(key).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.filter(F.col("_rows") > floor).orderBy(F.desc("_rows"), key).limit(most).select(key)
+    limit = F.greatest(F.lit(floor), F.coalesce(counts.agg(F.sum("_rows")).scalar(), F.lit(0)) / TASK_SHARE)
+    return counts.withColumn("_limit", limit).filter(F.col("_rows") > F.col("_limit"))
 
 
-def _directed(columns: list[str], descending: bool) -> list[Column]:
-    return [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
+def hot_slices(df: DataFrame, key: str, order: list[str], floor: int = HOT_FLOOR) -> DataFrame:
+    """Per hot key the sorted values of the ordering at which its slices begin, and every
+    ``_width``-th of them, by which a row finds its slice in two short scans."""
+    hot = F.broadcast(hot_keys(df, key, floor))
+    parts = F.ceil(F.col("_rows") / F.col("_limit"))
+    chosen = F.pmod(F.xxhash64(*order), F.greatest(F.floor(F.col("_rows") / parts), F.lit(1))) == 0
+    begins = df.select(key, *order).join(hot, key).filter(chosen).groupBy(key).agg(F.collect_list(F.struct(*order)).alias("_begins"))
+    out = hot.join(F.broadcast(begins), key, "left").select(
+        key, F.array_sort(F.coalesce("_begins", F.array().cast(begins.schema["_begins"].dataType))).alias("_begins"))
+    out = out.withColumn("_width", F.greatest(F.ceil(F.sqrt(F.size("_begins"))), F.lit(1)).cast("int"))
+    return out.withColumn("_heads", F.filter("_begins", lambda x, i: i % F.col("_width") == 0))
+
 
+def sliced(df: DataFrame, key: str, order: list[str], floor: int = HOT_FLOOR) -> DataFrame:
+    """Rows with ``_slice``: null in keys that aren't hot, else a number that rises with the order."""
+    row = F.struct(*order)
+    group = F.size(F.filter("_heads", lambda x: x <= row))
+    inside = F.size(F.filter(F.slice("_begins", (group - 1) * F.col("_width") + 1, F.col("_width")), lambda x: x <= row))
+    number = F.when(group == 0, 0).otherwise((group - 1) * F.col("_width") + inside)
+    return (df.join(F.broadcast(hot_slices(df, key, order, floor)), key, "left")
+            .withColumn("_slice", F.when(F.col("_begins").isNotNull(), number)).drop("_begins", "_width", "_heads"))
 
-def slices_of(df: DataFrame, order: list[str]) -> Column:
-    """The slice of a row: the first order column and, when the second is text, its first two
-    characters, so that a client with most of its rows on one day is still cut up. Slices rise
-    with the order."""
-    if len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.StringType):
-        return F.struct(order[0], F.substring(order[1], 1, 2).alias("head"))
-    return F.col(order[0])
+
+def _directed(columns: list[str], descending: bool) -> list[Column]:
+    return [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
 
 
 def with_order(
@@ -49,22 +64,14 @@ def with_order(
     ahead: dict[str, str] | None = None,
     behind: dict[str, str] | None = None,
     descending: bool = False,
-    slice_by: Column | None = None,
     floor: int = HOT_FLOOR,
 ) -> DataFrame:
     """Row number and neighbour values of each row within its key.
 
     ``order`` must be a total order. ``ahead`` and ``behind`` map a column to the name that
-    takes its value from the next or previous row. ``slice_by`` must rise with ``order``; see
-    ``slices_of`` for its default.
+    takes its value from the next or previous row.
     """
-    slice_by = slices_of(df, order) if slice_by is None else slice_by
-    hot = F.broadcast(hot_keys(df, key, floor).withColumn("_hot", F.lit(True)))
-    tagged = (
-        df.join(hot, key, "left")
-        .withColumn("_slice", F.when(F.col("_hot"), slice_by))
-        .drop("_hot")
-    )
+    tagged = sliced(df, key, order, floor)
     per_slice = Window.partitionBy(key, "_slice").orderBy(*_directed(order, descending))
     columns: dict[str, Column] = {}
     if number:
@@ -84,11 +91,7 @@ def with_order(
         aggs.append(lowest(whole_row)["_values"].alias("_first"))
     if behind:
         aggs.append(highest(whole_row)["_values"].alias("_last"))
-    slices = (
-        df.join(hot, key, "left_semi")
-        .groupBy(F.col(key), slice_by.alias("_slice"))
-        .agg(*aggs)
-    )
+    slices = tagged.filter(F.col("_slice").isNotNull()).groupBy(key, "_slice").agg(*aggs)
     across = Window.partitionBy(key).orderBy(*_directed(["_slice"], descending))
     borders = [F.col(key), F.col("_slice")]
     if number:
@@ -156,3 +159,28 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, ra
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The newest row of each key."""
     return first_by(df, keys, [F.col(c).desc() for c in order])
+
+
+def join_by_key(df: DataFrame, right: DataFrame, key: str, how: str = "inner", floor: int = HOT_FLOOR, salts: int = 256,
+                rows: str | None = None) -> DataFrame:
+    """Join with a frame of one row per key, in which hot keys are spread over ``salts`` tasks and
+    the other side's row of such a key is repeated for each of them. AQE can't split the join of
+    rows with an aggregate, so this does it. ``rows`` names a column of ``right`` that counts the
+    key's rows in ``df``, where there is one."""
+    if rows:
+        limit = F.greatest(F.lit(floor), F.coalesce(right.agg(F.sum(rows)).scalar(), F.lit(0)) / TASK_SHARE)
+        hot = right.filter(F.col(rows) > limit).select(key)
+    else:
+        hot = hot_keys(df, key, floor).select(key)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # fewer than TASK_SHARE keys
+    plain = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+    salted = df.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(salts))).otherwise(0)).drop("_hot")
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = right.join(hot, key, "left").withColumn("_salt", F.explode(each)).withColumn("_salt", F.col("_salt").cast("long")).drop("_hot")
+    return salted.withColumn("_salt", F.col("_salt").cast("long")).join(spread, [key, "_salt"], how).drop("_salt")
+
+
+def with_totals(df: DataFrame, key: str, totals: dict[str, Column], floor: int = HOT_FLOOR) -> DataFrame:
+    """Rows with aggregates of their key."""
+    sums = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in totals.items()])
+    return join_by_key(df, sums.filter(F.col(key).isNotNull()), key, "left", floor, rows="_rows").drop("_rows")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nextcover.functions.columns import flag, ratio
 from nextcover.operators.clean import valid_events
-from nextcover.operators.ordered import first_by, with_order
+from nextcover.operators.ordered import first_by, with_order, with_totals
 from nextcover.schemas import ASSET_MIX
 
 ORDER = ["register_date", "policy_no"]
@@ -139,26 +139,20 @@ def policy_counts(df: DataFrame, party: str = "party_id") -> DataFrame:
 
 
 def with_policy_count(df: DataFrame, party: str = "party_id") -> DataFrame:
-    """Rows with the client's number of rows: a combined count and a join, no window."""
-    return df.join(policy_counts(df, party), party)
+    """Rows with the client's number of rows: a combined count and a join that spreads large
+    clients, no window."""
+    return with_totals(df.filter(F.col(party).isNotNull()), party, {"policy_count": F.count(F.lit(1))})
 
 
 def single_policy_clients(df: DataFrame, party: str = "party_id", distinct_policy: bool = True) -> DataFrame:
     """The one policy of clients that hold exactly one.
 
-    With one row per client at the end, a single aggregation decides and delivers it: the
-    count (or the lowest and highest policy number) and the newest row travel together. Select
-    the columns you need before: all that are there are carried along.
+    Numbers alone decide who that is, in a hash aggregate; only the rows of those clients are
+    then ordered, and cut to the newest before their shuffle.
     """
-    others = [c for c in df.columns if c != party]
-    row = F.max(F.struct(*[F.col(c) for c in ORDER], F.struct(*others).alias("row")))
-    alone = (
-        F.min("policy_no") == F.max("policy_no") if distinct_policy else F.count(F.lit(1)) == 1
-    )
-    return (
-        df.groupBy(party).agg(row.alias("_row"), alone.alias("_alone"))
-        .filter("_alone").select(party, "_row.row.*")
-    )
+    alone = F.min("policy_no") == F.max("policy_no") if distinct_policy else F.count(F.lit(1)) == 1
+    clients = df.groupBy(party).agg(alone.alias("_alone")).filter("_alone").select(party)
+    return first_by(df.join(clients, party, "left_semi"), [party], [F.col(c).desc() for c in ORDER])
 
 
 def multi_policy_clients(df: DataFrame, party: str = "party_id") -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from nextcover.functions.columns import correlation
 from nextcover.operators.ordered import with_order
 from nextcover.operators.quantiles import column_quantiles, with_fitted
-from nextcover.operators.sizing import size_checked
 
 # ---- fixed values ----
 DOMAIN_GROUPS = {
@@ -87,17 +86,15 @@ def _text(c: str) -> Column:
 def fit_encoder(train: DataFrame, columns: list[str]) -> DataFrame:
     """Ordinal codes from 0 in sorted order as (column, value, code), null read as UNKNOWN."""
     values = train.select(*[_text(c).alias(c) for c in columns]).unpivot([], columns, "column", "value").distinct()
-    coded = with_order(values, "column", ["value"], number="code", slice_by=F.substring("value", 1, 2), floor=100_000)
+    coded = with_order(values, "column", ["value"], number="code", floor=100_000)
     return coded.select("column", "value", (F.col("code") - 1).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, encoder: DataFrame, columns: list[str], unknown: int = -1, suffix: str = "_idx") -> DataFrame:
     """Attach the code of each column's value; values not seen in training get ``unknown``.
 
-    The encoder is computed and counted once. While it is small the rows are not shuffled for
-    any of the columns.
+    Spark broadcasts each column's codes when they turn out small enough in bytes.
     """
-    encoder = size_checked(encoder.filter(F.col("column").isin(columns)))
     for c in columns:
         codes = encoder.filter(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
         df = (
@@ -169,7 +166,7 @@ def target_encode(train: DataFrame, val: DataFrame, columns: list[str], label: s
                     f"(coalesce(_h{i}, 0) + _fit.c{i} * {float(smoothing)!r}D) / (coalesce(_n, 0) + {float(smoothing)!r}D)")
                 for i, c in enumerate(classes)
             }
-            return df.join(size_checked(stats), keys, "left").withColumns(shares).drop(*sums)
+            return df.join(stats, keys, "left").withColumns(shares).drop(*sums)
 
         train = encoded(train, others, [column, "_fold"])
         val = encoded(val, everyone, [column])
@@ -217,16 +214,16 @@ def split(df: DataFrame, fractions: dict[str, float], position: Column) -> DataF
 
 
 def split_stratified(df: DataFrame, label: str, train_share: float = 0.8, order: list[str] | None = None,
-                     key: list[str] | None = None, slice_by: Column | None = None) -> DataFrame:
+                     key: list[str] | None = None) -> DataFrame:
     """The same share of every class in train, exact to a row.
 
     Rows are ranked inside their class in hash order (or ``order``); big classes are ranked in
-    slices of the hash, so no class is ever sorted by one task.
+    slices of that order, so no class is ever sorted by one task.
     """
     if order is None:
         df = df.withColumn("_hash", F.xxhash64(*key))
-        order, slice_by = ["_hash", *key], F.shiftright("_hash", 50)
-    ranked = with_order(df, label, order, number="_rank", slice_by=slice_by)
+        order = ["_hash", *key]
+    ranked = with_order(df, label, order, number="_rank")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     part = F.when((F.col("_rank") - 1) / F.col("_size") < train_share, "train").otherwise("validation")
     return ranked.join(F.broadcast(sizes), label).withColumn("split", part).drop("_rank", "_size", "_hash")
@@ -238,7 +235,7 @@ def sample_capped(df: DataFrame, n: int, key: list[str], seed: int = 42) -> Data
     return df.filter(stable_fraction(*key, seed=seed) < F.lit(float(n)) / F.greatest(total, F.lit(1)))
 
 
-def oversample(df: DataFrame, label: str, order: list[str], slice_by: Column | None = None) -> DataFrame:
+def oversample(df: DataFrame, label: str, order: list[str]) -> DataFrame:
     """Repeat rows of classes below a tenth of the largest until they reach 15 % of it.
 
     ``copy_no`` is 1 for the original. Copies are spread as evenly as the target allows.
@@ -249,7 +246,7 @@ def oversample(df: DataFrame, label: str, order: list[str], slice_by: Column | N
     # one row per rare class, seven categories at most
     tagged = df.join(F.broadcast(rare), label, "left")
     frequent = tagged.filter(F.col("_target").isNull()).withColumn("copy_no", F.lit(1))
-    ranked = with_order(tagged.filter(F.col("_target").isNotNull()), label, order, number="_rank", slice_by=slice_by)
+    ranked = with_order(tagged.filter(F.col("_target").isNotNull()), label, order, number="_rank")
     extra = (F.col("_rank") <= F.col("_target") % F.col("_n")).cast("int")
     copies = (F.floor(F.col("_target") / F.col("_n")) + extra).cast("int")
     repeated = ranked.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)))))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nextcover.operators.ordered import first_by
-from nextcover.operators.sizing import size_checked
 
 
 def mode_by(df: DataFrame, keys: list[str], column: str, name: str = "mode") -> DataFrame:
@@ -99,12 +98,12 @@ def add_propensity(df: DataFrame, lookups: list[DataFrame], product: str = "prod
     """Attach the four lookups; unseen keys get zero or UNKNOWN.
 
     The two product lookups have one row per category (seven at most) and are broadcast. The
-    agent and branch lookups grow with the business, so they are counted first.
+    agent and branch lookups grow with the business and are left to Spark's own check of their bytes.
     """
     by_product, by_mode, by_agent, by_branch = lookups
     out = df.join(F.broadcast(by_product), product, "left").join(F.broadcast(by_mode), product, "left")
-    out = out.join(size_checked(by_agent), ["agt_no", product], "left")
-    out = out.join(size_checked(by_branch), ["branchoffice_code", product], "left")
+    out = out.join(by_agent, ["agt_no", product], "left")
+    out = out.join(by_branch, ["branchoffice_code", product], "left")
     return out.fillna(0, subset=[
         "p1_cross_sell_popularity", "agent_p1_cross_sell_count", "branch_p1_cross_sell_count",
     ]).fillna("UNKNOWN", subset=["p1_most_common_next_prod"])
@@ -116,7 +115,7 @@ def group_means(train: DataFrame, key: str, columns: dict[str, str]) -> DataFram
 
 
 def add_group_means(df: DataFrame, means: DataFrame, key: str) -> DataFrame:
-    return df.join(size_checked(means), key, "left")
+    return df.join(means, key, "left")
 
 
 def agent_stats(train: DataFrame, nxt: str = "second_product_category") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextcover.operators.ordered import HOT_FLOOR, first_by, hot_keys, slices_of, with_order, with_recent
+from nextcover.operators.ordered import HOT_FLOOR, first_by, join_by_key, sliced, with_order, with_recent
 from nextcover.operators.policies import ORDER
 
 PART_ROWS = 10_000
@@ -42,11 +42,18 @@ def client_sequences(numbered: DataFrame, party: str = "party_id", part_rows: in
 
 
 def dedupe_consecutive(c: str | Column) -> Column:
-    """An array without values equal to their predecessor."""
+    """An array without values equal to their predecessor. For whole histories, which come in
+    parts, see ``collapsed_sequences``."""
     items = F.col(c) if isinstance(c, str) else c
     return F.filter(items, lambda x, i: (i == 0) | (x != F.get(items, i - 1)))
 
 
+def collapsed_sequences(events_: DataFrame, party: str = "party_id", part_rows: int = PART_ROWS) -> DataFrame:
+    """``client_sequences`` without consecutive repeats; what is a repeat doesn't depend on where a
+    part begins."""
+    return client_sequences(collapse_repeats(events_, party), party, part_rows)
+
+
 def collapse_repeats(df: DataFrame, party: str = "party_id", order: list[str] | None = None,
                      value: str = "value", floor: int = HOT_FLOOR) -> DataFrame:
     """Events without consecutive repeats, renumbered from 1.
@@ -55,8 +62,7 @@ def collapse_repeats(df: DataFrame, party: str = "party_id", order: list[str] |
     first change of a slice is dropped when it repeats the last value of the slice before.
     """
     order = order or ORDER
-    hot = F.broadcast(hot_keys(df, party, floor).withColumn("_hot", F.lit(True)))
-    tagged = df.join(hot, party, "left").withColumn("_slice", F.when(F.col("_hot"), slices_of(df, order))).drop("_hot")
+    tagged = sliced(df, party, order, floor)
     inside = Window.partitionBy(party, "_slice").orderBy(*order)
     before = F.lag(value).over(inside)
     local = (
@@ -92,7 +98,7 @@ def min_length(numbered: DataFrame, n: int, party: str = "party_id") -> DataFram
     """Events of clients with at least ``n`` of them."""
     if n <= 1:
         return numbered
-    return numbered.join(sequence_lengths(numbered, party).filter(F.col("seq_length") >= n), party, "left_semi")
+    return join_by_key(numbered, sequence_lengths(numbered, party).filter(F.col("seq_length") >= n), party, "left_semi", rows="seq_length")
 
 
 def vocab_alpha(df: DataFrame, column: str = "value") -> DataFrame:

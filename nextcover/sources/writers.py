@@ -42,8 +42,8 @@ def unseen_rows(df: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame
 
 
 def append_run(df: DataFrame, name: str, key: list[str]) -> None:
-    """Append a run; keys already stored are left out, so a second run adds nothing."""
-    spark = df.sparkSession
+    """Append a run, one row per key; keys already stored are left out, so a second run adds nothing."""
+    spark, df = df.sparkSession, df.dropDuplicates(key)
     if spark.catalog.tableExists(name):
         stored = spark.table(name)
         unseen_rows(df, stored, key).select(*stored.columns).write.mode("append").insertInto(name)

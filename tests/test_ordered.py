@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from nextcover.operators import ordered, quantiles, scoring
-from nextcover.operators.sequences import collapse_repeats, client_sequences
+from nextcover.operators.sequences import client_sequences, collapse_repeats, collapsed_sequences
 
 
 @pytest.fixture(scope="module")
@@ -41,9 +41,57 @@ def test_numbers_and_neighbours(skewed, floor, descending):
     assert rows(got, *columns) == rows(want, *columns)
 
 
-def test_hot_keys_are_bounded(skewed):
-    assert rows(ordered.hot_keys(skewed, "party_id", floor=100)) == [("big",)]
-    assert ordered.hot_keys(skewed, "party_id", floor=0, most=5).count() == 5
+def test_every_key_above_its_share_is_hot(skewed, monkeypatch):
+    assert rows(ordered.hot_keys(skewed, "party_id", floor=100), "party_id") == [("big",)]
+    counts = skewed.groupBy("party_id").count()
+    assert ordered.hot_keys(skewed, "party_id", floor=0).count() == counts.count()
+    monkeypatch.setattr(ordered, "TASK_SHARE", 300)  # 3000 rows: more than ten
+    assert rows(ordered.hot_keys(skewed, "party_id", floor=0), "party_id") == rows(counts.filter("count > 10"), "party_id")
+
+
+def test_slices_cut_one_day_of_one_prefix(spark, monkeypatch):
+    """All rows of a client on one day, with policy numbers that share a long prefix."""
+    monkeypatch.setattr(ordered, "TASK_SHARE", 20)
+    df = spark.range(4000).selectExpr("'big' AS party_id", "DATE '2000-01-01' AS register_date", "concat('0000000', lpad(CAST(id AS STRING), 6, '0')) AS policy_no")
+    cut = ordered.sliced(df, "party_id", ORDER, floor=10)
+    sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 4000 / 3
+    got = ordered.with_order(df, "party_id", ORDER, number="n", ahead={"policy_no": "following"}, floor=10)
+    w = Window.partitionBy("party_id").orderBy(*ORDER)
+    want = df.select("*", F.row_number().over(w).cast("long").alias("n"), F.lead("policy_no").over(w).alias("following"))
+    assert rows(got, "policy_no", "n", "following") == rows(want, "policy_no", "n", "following")
+
+
+def test_repeats_do_not_depend_on_parts(spark):
+    data = [("a", date(2000, 1, 1 + i), f"p{i}", v) for i, v in enumerate("AAAAAAAABBABBBB")]
+    numbered = ordered.with_order(spark.createDataFrame(data, "party_id string, register_date date, policy_no string, value string")
+                                  .withColumn("numbers", F.array().cast("array<double>")), "party_id", ORDER, number="position")
+    for part in (2, 4, 100):
+        parts = collapsed_sequences(numbered, part_rows=part).orderBy("part").collect()
+        assert "".join("".join(r["sequence"]) for r in parts) == "ABAB"
+
+
+@pytest.mark.parametrize("floor", [10**9, 100])
+def test_totals_with_a_hot_client(skewed, floor):
+    got = ordered.with_totals(skewed, "party_id", {"mean": F.avg("score"), "n": F.count(F.lit(1))}, floor=floor)
+    w = Window.partitionBy("party_id")
+    want = skewed.select("*", F.avg("score").over(w).alias("mean"), F.count(F.lit(1)).over(w).alias("n"))
+    assert rows(got, "policy_no", F.round("mean", 9), "n") == rows(want, "policy_no", F.round("mean", 9), "n")
+
+
+def test_a_hot_client_is_spread_over_tasks(spark):
+    """One client with nine tenths of the rows: no task of the join gets more than a share of it."""
+    df = spark.range(20_000).selectExpr("IF(id % 10 < 9, 'big', concat('c', id)) AS party_id", "id AS score")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ordered.with_totals(df, "party_id", {"n": F.count(F.lit(1))}, floor=1000).repartition(1).withColumn("p", F.lit(1))
+        assert got.filter("party_id = 'big'").agg(F.min("n"), F.max("n"), F.count("*")).first() == (18_000, 18_000, 18_000)
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64("party_id", "score"), F.lit(256)))
+        assert salted.groupBy("_salt").count().agg(F.max("count")).first()[0] < 200
+        plan = ordered.with_totals(df, "party_id", {"n": F.count(F.lit(1))}, floor=1000)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(party_id" in plan and "_salt" in plan.split("SortMergeJoin")[1].splitlines()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 @pytest.mark.parametrize("floor", [10**9, 50, 0])
@@ -87,6 +135,18 @@ def test_exact_quantiles(skewed, spark):
             assert got[(r.g, p)] == pytest.approx(q)
 
 
+def test_exact_ranks_of_heavy_tails(spark):
+    """Values over thirty powers of ten, negative ones and ties, over many partitions."""
+    df = spark.range(5000).selectExpr("IF(id % 3 = 0, -1, 1) * exp(pmod(xxhash64(id), 7000) / 100.0 - 35) AS v", "'g' AS g").union(
+        spark.range(500).selectExpr("CAST(0 AS DOUBLE)", "'g'")).repartition(31)
+    got = quantiles.value_ranks(df, ["g"], "v")
+    w = Window.orderBy("v")
+    want = df.select("v", (F.rank().over(w) - 1).cast("long").alias("before")).distinct()
+    assert rows(got, "v", "before") == rows(want, "v", "before")
+    assert "percentile_approx" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.withColumn("s", quantiles.slice_of("v")).groupBy("s").count().agg(F.max("count")).first()[0] < 50
+
+
 def test_ranks_with_ties_and_constant_deciles(spark):
     df = spark.createDataFrame([(f"c{i}", float(i % 4), 1.0) for i in range(40)], "party_id string, a_score double, b_score double")
     ranked = scoring.score_ranks(df, ["a_score", "b_score"])

@@ -171,7 +171,7 @@ SELECT policy_no, product_category, CASE WHEN (row_number() OVER (PARTITION BY p
   THEN 'train' ELSE 'validation' END AS split FROM v_class3""")
 def stratified_split(t):
     rows = classify(t.policies).withColumn("_key", F.col("policy_no").cast("long"))
-    out = prep.split_stratified(rows, "product_category", order=["_key"], slice_by=F.floor(F.col("_key") / 1000))
+    out = prep.split_stratified(rows, "product_category", order=["_key"])
     return out.select("policy_no", "product_category", "split")
 
 

@@ -23,10 +23,14 @@ def changes(t):
 
 @query("SEQ-1", """
 SELECT party_id, CAST(0 AS BIGINT) AS part, count(*) AS events, string_agg(product_category, ',' ORDER BY register_date, policy_no) AS sequence,
-  string_agg(CAST(register_date AS VARCHAR), ',' ORDER BY register_date, policy_no) AS dates FROM v_class3 GROUP BY 1""")
+  string_agg(CAST(register_date AS VARCHAR), ',' ORDER BY register_date, policy_no) AS dates,
+  string_agg(coalesce(CAST(CAST(round(acct_val_amt * 100) AS BIGINT) AS VARCHAR), 'null'), ',' ORDER BY register_date, policy_no) AS account_values,
+  string_agg(coalesce(CAST(CAST(round(face_amt * 100) AS BIGINT) AS VARCHAR), 'null'), ',' ORDER BY register_date, policy_no) AS face_values
+FROM v_class3 GROUP BY 1""")
 def client_sequences(t):
     numbered = sq.events(classify(t.policies), numeric=["acct_val_amt", "face_amt"])
-    return sq.client_sequences(numbered).select("party_id", "part", "events", "sequence", "dates")
+    cents = [F.transform("vectors", lambda v, i=i: F.round(v[i] * 100).cast("long")).alias(n) for i, n in enumerate(["account_values", "face_values"])]
+    return sq.client_sequences(numbered).select("party_id", "part", "events", "sequence", "dates", *cents)
 
 
 @query("SEQ-1", """
@@ -48,8 +52,13 @@ def changes_with_every_client_hot(t):
 @query("SEQ-2", """
 SELECT party_id, string_agg(value, ',' ORDER BY position) AS sequence FROM v_changes GROUP BY 1""")
 def deduplicated_arrays(t):
-    whole = sq.client_sequences(sq.events(classify(t.policies)))
-    return whole.select("party_id", sq.dedupe_consecutive("sequence").alias("sequence"))
+    return sq.collapsed_sequences(sq.events(classify(t.policies))).select("party_id", "sequence")
+
+
+@query("SEQ-2", """
+SELECT party_id, (position - 1) // 4 AS part, string_agg(value, ',' ORDER BY position) AS sequence FROM v_changes GROUP BY 1, 2""")
+def deduplicated_arrays_in_parts(t):
+    return sq.collapsed_sequences(sq.events(classify(t.policies)), part_rows=4).select("party_id", "part", "sequence")
 
 
 @query("SEQ-3", "SELECT party_id, position, value FROM v_changes QUALIFY count(*) OVER (PARTITION BY party_id) >= 8")
