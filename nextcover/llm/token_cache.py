@@ -13,14 +13,17 @@ from __future__ import annotations
 import gc
 import re
 import zlib
-from itertools import chain
+from itertools import chain, islice
 from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85᠎​﻿]|<\|")
+#: not white space to both Python and the library, or a mark of a special token
+ODD = [*map(chr, range(0x1C, 0x20)), "\x85", "\u180e", "\u200b", "\ufeff", "<|"]
+#: white space other than spaces and line ends
+RARE_SPACES = [*"\t\r\x0b\x0c\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 ID = attrgetter("id")
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:%$#&*|()\"-]*)")
 SPACES = re.compile(r" (?=\s|$)")
@@ -32,7 +35,7 @@ SHOWN = dict(zip((b for b in range(256) if b not in _visible), range(256, 512)))
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of at most ``most`` pieces, and starts anew when they are full."""
+    """Encodes texts; keeps the ids of about ``most`` pieces."""
 
     def __init__(self, path: str, kind: str, most: int = 800_000):
         self.library = Tokenizer.from_file(path)
@@ -47,17 +50,26 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 16, np.uint16), 0
         self.start = np.zeros(1 << 14, np.int64)
 
+    def _shorten(self) -> None:
+        """Keep the half that was learned first, which holds the common pieces."""
+        half = self.most // 2
+        self.known = dict(islice(self.known.items(), half))
+        self.letters = dict(islice(self.letters.items(), half))
+        self.used = int(self.start[len(self.known)])
+
     def _ids(self, pieces: list[str]) -> list[tuple]:
         out: list = [None] * len(pieces)
         odd = []
         merge, letters, signs = self.library.model.tokenize, self.letters, self.signs
         as_bytes = self.kind == "bytes"
         for i, piece in enumerate(pieces):
-            m = PLAIN.fullmatch(piece)
-            if m is None:
+            if piece.isascii() and piece.isalpha():
+                core, tail = piece, ""
+            elif m := PLAIN.fullmatch(piece):
+                core, tail = m.groups()
+            else:
                 odd.append(i)
                 continue
-            core, tail = m.groups()
             if not as_bytes:
                 core = core.lower()
             ids = letters.get(core)
@@ -91,6 +103,21 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
 
+    def _uncertain(self, text: str) -> bool:
+        if any(c in text for c in ODD):
+            return True
+        if self.kind == "words":
+            return False
+        if any(c in text for c in RARE_SPACES):
+            return SPACES.search(text) is not None
+        return "  " in text or " \n" in text or text[-1] == " "
+
+    def _head(self, piece: str) -> np.ndarray:
+        """Ids of a text's first piece, which has no space before it."""
+        if PLAIN.fullmatch(piece) and piece.isascii() and piece.isalpha():
+            return np.array([t.id for t in self.library.model.tokenize(piece)], np.uint16)
+        return self._whole(piece)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (16 bits) of each text."""
         out: list = [None] * len(texts)
@@ -99,22 +126,21 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.empty(0, np.uint16)
-            elif ODD_SPACE.search(text) or (self.kind == "bytes" and SPACES.search(text)):
+            elif self._uncertain(text):
                 out[i] = self._whole(text)
             else:
                 lists.append(text.split() if self.kind == "words" else text.split(" "))
                 places.append(i)
         if not lists:
             return out
-        # a text's first piece has no space before it
-        heads = [self._whole(w[0]) if self.kind == "bytes" else None for w in lists]
+        heads = [self._head(w[0]) if self.kind == "bytes" else None for w in lists]
         if self.kind == "bytes":
             lists = [w[1:] for w in lists]
         fresh = set().union(*lists).difference(self.known)
         if fresh:
             if len(self.known) + len(fresh) > self.most:
-                self._clear()
-                fresh = set().union(*lists)
+                self._shorten()
+                fresh = set().union(*lists).difference(self.known)
             self._learn(list(fresh))
         known = self.known
         for i, head, pieces in zip(places, heads, lists):
