@@ -29,8 +29,10 @@ SELECT party_id, CAST(0 AS BIGINT) AS part, count(*) AS events, string_agg(produ
 FROM v_class3 GROUP BY 1""")
 def client_sequences(t):
     numbered = sq.events(classify(t.policies), numeric=["acct_val_amt", "face_amt"])
-    cents = [F.transform("vectors", lambda v, i=i: F.round(v[i] * 100).cast("long")).alias(n) for i, n in enumerate(["account_values", "face_values"])]
-    return sq.client_sequences(numbered).select("party_id", "part", "events", "sequence", "dates", *cents)
+    def cents(place, name):
+        return F.transform("vectors", lambda v: F.round(v[place] * 100).cast("long")).alias(name)
+
+    return sq.client_sequences(numbered).select("party_id", "part", "events", "sequence", "dates", cents(0, "account_values"), cents(1, "face_values"))
 
 
 @query("SEQ-1", """
