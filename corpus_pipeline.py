@@ -24,7 +24,7 @@ from nextcover.llm.decontamination import contaminated
 from nextcover.llm.jaccard_join import keep_one
 from nextcover.llm.packing import packed
 from nextcover.llm.queries import prepared
-from nextcover.llm.suffix_dedup import keyed, without_repeats
+from nextcover.llm.suffix_dedup import without_repeats
 from nextcover.llm.toxicity import toxicity_scores
 
 TOXIC = 0.5
@@ -47,11 +47,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prepared(spark)
     _, removed = without_repeats(docs, PASSAGE_BYTES, whole_letters=True)
     kept = removed.select("row_key", F.decode("kept", "UTF-8").alias("kept")).dropDuplicates(["row_key"])
-    rows = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    changed = rows.join(stored(kept), "row_key", "left")
-    columns = {"text": F.coalesce("kept", "text"), "n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept"))}
-    return (changed.where(F.col("kept").isNull() | (F.length(F.trim("kept")) > 0))
-            .select(*(columns[c].cast(t).alias(c) if c in columns else F.col(c) for c, t in docs.dtypes)))
+    # the row travels as one column: the table may have columns named like those used here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                       F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row_key"))
+    changed = rows.join(stored(kept), "row_key", "left").where(F.col("kept").isNull() | (F.length(F.trim("kept")) > 0))
+    cut = {"text": F.coalesce("kept", "row.text"), "n_chars": F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length("kept"))}
+    return changed.select(*(cut[c].cast(t).alias(c) if c in cut else F.col(f"row.`{c}`") for c, t in docs.dtypes))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
