@@ -225,11 +225,16 @@ def _holds(condition) -> Column:
 
 
 def advice(advice_rules: dict | None = None) -> Column:
-    """`` (context) → action`` of the first rule that fits the value, null without rules."""
+    """`` (context) → action`` of the first rule that fits the value, null without rules. Rules of a
+    feature's own name come first, then those of the longest name it continues after an underscore, so that an
+    encoded or suffixed feature keeps the advice of its base."""
+    rules_of = advice_rules or ADVICE
     out = F.when(F.lit(False), F.lit(""))
-    for feature, rules in (advice_rules or ADVICE).items():
-        for condition, context, action in rules:
-            out = out.when((F.col("feature") == feature) & _holds(condition), f" ({context}) → {action}")
+    for own in (True, False):
+        for feature in sorted(rules_of, key=len, reverse=True):
+            named = F.col("feature") == feature if own else F.col("feature").startswith(f"{feature}_")
+            for condition, context, action in rules_of[feature]:
+                out = out.when(named & _holds(condition), f" ({context}) → {action}")
     return out
 
 
@@ -282,19 +287,23 @@ def alternatives(probabilities: DataFrame, key: str = "party_id", n: int = 3) ->
 
 def alternative_reasons(contributions: DataFrame, chosen: DataFrame, n: int = 3) -> DataFrame:
     """The ``n`` features whose contribution differs most between the predicted product and the
-    first alternative. ``chosen`` has party_id, predicted and alternative."""
+    first alternative, with the value the client has there (a feature has one for all products).
+    ``chosen`` has party_id, predicted and alternative."""
+    shown = F.max("display_value" if "display_value" in contributions.columns else "value")
     joined = contributions.join(chosen.select("party_id", "predicted", "alternative"), "party_id")
     sides = joined.groupBy("party_id", "predicted", "alternative", "feature").agg(
         F.max(F.when(F.col("product") == F.col("predicted"), F.col("contribution"))).alias("_p"),
-        F.max(F.when(F.col("product") == F.col("alternative"), F.col("contribution"))).alias("_a"),
+        F.max(F.when(F.col("product") == F.col("alternative"), F.col("contribution"))).alias("_a"), shown.alias("display_value"),
     ).filter(F.col("_p").isNotNull() & F.col("_a").isNotNull())
     diff = sides.withColumn("contribution_diff", F.col("_a") - F.col("_p")).drop("_a", "_p")
     order = [F.round(F.abs("contribution_diff"), 9).desc(), F.col("feature").asc()]
     return first_by(diff, ["party_id"], order, n, rank="rank")
 
 
-def reasoning_text(signed_rows: DataFrame, predictions: DataFrame, alternative_rows: DataFrame) -> DataFrame:
-    """Why the product, how sure, and why not the others, as lines of text.
+def reasoning_text(signed_rows: DataFrame, predictions: DataFrame, alternative_rows: DataFrame,
+                   differences: DataFrame | None = None) -> DataFrame:
+    """Why the product, how sure, why not the others, and what tells the first of them apart, as
+    lines of text. ``differences`` comes from ``alternative_reasons``.
 
     ``signed_rows`` comes from ``signed_contributions`` with a ``display_value``,
     ``predictions`` has party_id, predicted_product and pred_prob.
@@ -322,6 +331,13 @@ def reasoning_text(signed_rows: DataFrame, predictions: DataFrame, alternative_r
         .otherwise(F.concat(F.lit("**Low Confidence ("), percent(p), F.lit(")**: Weak feature alignment; consider reviewing alternative products.")))
     )
     joined = predictions.join(reasons, "party_id", "left").join(others, "party_id", "left")
+    apart = F.lit(None).cast("string")
+    if differences is not None:
+        line = F.concat(F.lit("- **"), F.col("feature"), F.lit("** = "), F.coalesce("display_value", F.lit("None")),
+                        F.lit(" (contribution difference: "), signed("contribution_diff", 4), F.lit(")"))
+        listed = differences.groupBy("party_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line"))))["line"].alias("_apart"))
+        joined = joined.join(listed, "party_id", "left")
+        apart = F.when(F.size("_apart") > 0, F.concat_ws("\n", F.lit("\n**Key Differences from Top Alternative:**"), F.col("_apart")))
     against = F.when(F.size("_against") > 0, F.concat_ws("\n", F.lit("\n**Features Reducing Confidence:**"), F.col("_against")))
     text = F.concat_ws(
         "\n",
@@ -329,7 +345,7 @@ def reasoning_text(signed_rows: DataFrame, predictions: DataFrame, alternative_r
         F.concat(F.lit("The model predicts **"), product, F.lit("** with "), percent(p), F.lit(" confidence.")),
         F.lit("\n**Top Contributing Features (Supporting Prediction):**"), F.col("_for"), against,
         F.lit("\n## Confidence Score Analysis"), sureness,
-        F.lit("\n## Why Other Products Were Not Predicted"), F.lit("**Top Alternative Products:**"), F.col("_others"),
+        F.lit("\n## Why Other Products Were Not Predicted"), F.lit("**Top Alternative Products:**"), F.col("_others"), apart,
     )
     return joined.select("party_id", "predicted_product", "pred_prob", text.alias("reasoning_text"))
 

@@ -39,6 +39,28 @@ def test_reasoning(spark):
     assert "- **I**: 30.0% probability (gap: 30.0%)" in text
 
 
+def test_what_tells_the_alternative_apart(spark):
+    predictions = spark.createDataFrame([("c", "R", 0.6), ("d", "R", 0.9)], "party_id string, predicted_product string, pred_prob double")
+    rows = spark.createDataFrame([("c", "R", "face_amt", 0.1, "1234.4"), ("c", "I", "face_amt", -0.25, "1234.4"), ("c", "R", "flag", 0.2, None), ("c", "I", "flag", 0.2, None)], CONTRIBUTIONS)
+    chances = spark.createDataFrame([("c", "R", 0.6), ("c", "I", 0.3)], "party_id string, class string, probability double")
+    others = explain.alternatives(chances)
+    apart = explain.alternative_reasons(explain.display_value(rows), others)
+    texts = {r.party_id: r.reasoning_text for r in explain.reasoning_text(
+        explain.display_value(explain.signed_contributions(rows.filter("product = 'R'"))), predictions, others, apart).collect()}
+    assert texts["c"].endswith("**Key Differences from Top Alternative:**\n- **face_amt** = $1,234 (contribution difference: -0.3500)\n"
+                               "- **flag** = None (contribution difference: +0.0000)")
+    assert "Key Differences" not in texts["d"]
+
+
+def test_advice_of_an_encoded_feature_is_that_of_its_base(spark):
+    rules = {"channel": [(None, "any channel", "Call")], "channel_Direct": [(None, "direct", "Visit")], "age": [(("=", "1"), "young", "Wait")]}
+    rows = spark.createDataFrame([("c", "R", f, 0.2, "1") for f in ("channel", "channel_Direct", "channel_Direct_2", "channel_Web", "agent", "age")], CONTRIBUTIONS)
+    got = {r.feature: r.enhanced_talking_point.partition(" (")[2] for r in explain.talking_point_ext(rows, {}, rules).collect()}
+    assert got["channel"] == got["channel_Web"] == "any channel) → Call"
+    assert got["channel_Direct"] == got["channel_Direct_2"] == "direct) → Visit"
+    assert got["agent"] == "impact: +0.200)" and got["age"] == "young) → Wait"
+
+
 def test_age_groups_are_right_closed(spark):
     df = spark.createDataFrame([(35, "R"), (36, "R"), (100, "R"), (101, "R"), (None, "R")], "psn_age int, recommended_product string")
     assert sorted((r.age_group, r.n) for r in advisor.by_age_group(df).collect()) == [("35-50", 1), ("65+", 1), ("<35", 1)]

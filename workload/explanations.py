@@ -134,28 +134,50 @@ def reasons_for_first_alternative(t):
 SHOWN = "CASE WHEN feature IN ('client_age', 'client_tenure_years') THEN value || '.0' WHEN feature = 'acct_val_amt' THEN '$' || value ELSE value || '.00' END"
 
 
-@query("OUT-23", f"""
-WITH s AS (SELECT x.*, {SHOWN} AS shown FROM {SIDED} x JOIN v_confidence c ON x.party_id = c.party_id AND x.product = c.predicted_product)
-SELECT c.party_id, c.predicted_product, {rd('c.pred_prob')} AS pred_prob,
-  len(string_split(t.f, chr(10))) AS supporting, t.f AS support_text, coalesce(t.a, '') AS against_text FROM v_confidence c LEFT JOIN (
-  SELECT party_id, string_agg(CASE WHEN side = 'positive' THEN CAST(rank AS VARCHAR) || '. **' || feature || '** = ' || shown END, chr(10) ORDER BY rank) AS f,
-    string_agg(CASE WHEN side = 'negative' THEN CAST(rank AS VARCHAR) || '. **' || feature || '** = ' || shown END, chr(10) ORDER BY rank) AS a FROM s GROUP BY 1) t ON c.party_id = t.party_id
-WHERE t.f IS NOT NULL""")
-def reasoning_lines(t):
-    """The numbered lines of the reasoning text, taken back out of it."""
+def pct(x):
+    return f"printf('%.1f%%', 100 * {x})"
+
+
+def decimals(x, plus=False):
+    """Four digits after the point, by DuckDB's printf."""
+    return f"printf('%{'+' if plus else ''}.4f', {x})"
+
+
+@query("OUT-23 OUT-22", f"""
+WITH s AS (SELECT x.*, {SHOWN} AS shown FROM {SIDED} x JOIN v_confidence c ON x.party_id = c.party_id AND x.product = c.predicted_product),
+sides AS (
+  SELECT party_id,
+    string_agg(CASE WHEN side = 'positive' THEN CAST(rank AS VARCHAR) || '. **' || feature || '** = ' || shown || ' (' || CASE WHEN abs(contribution) > 0.1 THEN '🔥 High'
+      WHEN abs(contribution) > 0.05 THEN '⭐ Moderate' ELSE '📊 Low' END || ' impact: +' || {decimals('contribution')} || ')' END, chr(10) ORDER BY rank) AS f,
+    string_agg(CASE WHEN side = 'negative' THEN CAST(rank AS VARCHAR) || '. **' || feature || '** = ' || shown || ' (reducing confidence: ' || {decimals('contribution')} || ')' END,
+      chr(10) ORDER BY rank) AS a FROM s GROUP BY 1),
+others AS (
+  SELECT a.party_id, string_agg('- **' || a.product || '**: ' || {pct('a.score')} || ' probability (gap: ' || {pct('(b.score - a.score)')} || ')', chr(10) ORDER BY a.k) AS o
+  FROM {RANKED} a JOIN {RANKED} b ON a.party_id = b.party_id AND b.k = 1 WHERE a.k BETWEEN 2 AND 4 GROUP BY 1),
+apart AS (
+  SELECT party_id, string_agg('- **' || feature || '** = ' || shown || ' (contribution difference: ' || {decimals('d', True)} || ')', chr(10) ORDER BY rank) AS d FROM (
+    SELECT p.party_id, x.feature, {SHOWN.replace('feature', 'x.feature').replace('value', 'x.value')} AS shown, y.contribution - x.contribution AS d,
+      row_number() OVER (PARTITION BY p.party_id ORDER BY round(abs(y.contribution - x.contribution), 9) DESC, x.feature) AS rank
+    FROM (SELECT * FROM {RANKED} WHERE k = 1) p JOIN (SELECT * FROM {RANKED} WHERE k = 2) a ON p.party_id = a.party_id
+    JOIN v_contributions x ON x.party_id = p.party_id AND x.product = p.product
+    JOIN v_contributions y ON y.party_id = a.party_id AND y.product = a.product AND y.feature = x.feature) WHERE rank <= 3 GROUP BY 1)
+SELECT c.party_id, c.predicted_product, concat_ws(chr(10), '## Why This Product Was Recommended',
+  'The model predicts **' || c.predicted_product || '** with ' || {pct('c.pred_prob')} || ' confidence.', chr(10) || '**Top Contributing Features (Supporting Prediction):**', t.f,
+  chr(10) || '**Features Reducing Confidence:**' || chr(10) || t.a, chr(10) || '## Confidence Score Analysis',
+  CASE WHEN c.pred_prob >= 0.7 THEN '**High Confidence (' || {pct('c.pred_prob')} || ')**: Strong feature alignment with ' || c.predicted_product || ' patterns.'
+    WHEN c.pred_prob >= 0.5 THEN '**Moderate Confidence (' || {pct('c.pred_prob')} || ')**: Reasonable alignment, but some uncertainty remains.'
+    ELSE '**Low Confidence (' || {pct('c.pred_prob')} || ')**: Weak feature alignment; consider reviewing alternative products.' END,
+  chr(10) || '## Why Other Products Were Not Predicted', '**Top Alternative Products:**', o.o,
+  chr(10) || '**Key Differences from Top Alternative:**' || chr(10) || d.d) AS reasoning_text
+FROM v_confidence c LEFT JOIN sides t ON c.party_id = t.party_id LEFT JOIN others o ON c.party_id = o.party_id LEFT JOIN apart d ON c.party_id = d.party_id""")
+def reasoning_texts(t):
+    """The whole text, for every client with a prediction."""
+    shown = explain.display_value(t.contributions)
+    chosen = explain.alternatives(probabilities(t)).filter("place = 1")
     text = explain.reasoning_text(
-        explain.display_value(explain.signed_contributions(of_prediction(t))), confident(t), explain.alternatives(probabilities(t)))
-    parts = F.split("reasoning_text", "\n\n## Confidence Score Analysis")[0]
-    body = F.split(parts, "\\*\\*Top Contributing Features \\(Supporting Prediction\\):\\*\\*")[1]
-    sides = F.split(body, "\n\n\\*\\*Features Reducing Confidence:\\*\\*")
-
-    def lines(block):
-        bare = F.regexp_replace(block, " \\([^()]*\\)(?=\n|$)", "")
-        return F.trim(F.regexp_replace(bare, "^\n+", ""))
-
-    out = text.select("party_id", "predicted_product", "pred_prob", lines(sides[0]).alias("support_text"),
-                      F.coalesce(lines(F.get(sides, 1)), F.lit("")).alias("against_text"))
-    return out.filter(F.col("support_text") != "").withColumn("supporting", F.size(F.split("support_text", "\n")))
+        explain.display_value(explain.signed_contributions(of_prediction(t))), confident(t), explain.alternatives(probabilities(t)),
+        explain.alternative_reasons(shown, chosen))
+    return text.select("party_id", "predicted_product", "reasoning_text")
 
 
 def _grouped(groups):
