@@ -94,11 +94,6 @@ def right_closed_band(c: str | Column, edges: list, labels: list) -> Column:
     return out
 
 
-def map_of(pairs: Iterable[tuple]) -> Column:
-    """Literal map column, for vocabularies of a fixed and small size."""
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-
-
 def money(c: str | Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(col(c).cast("double"), 0))
 

@@ -154,7 +154,3 @@ def pitch_totals(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("clients"), F.count_distinct("recommended_product").alias("products"),
         F.avg("recommendation_confidence").alias("avg_confidence"))
-
-
-def availability(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(f"{column}_available", flag(F.col(column).isNotNull()))

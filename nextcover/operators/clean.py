@@ -168,7 +168,3 @@ def above(df: DataFrame, column: str, threshold: float, inclusive: bool = False)
 
 def union_flagged(train: DataFrame, val: DataFrame, flag_column: str = "is_validation") -> DataFrame:
     return train.withColumn(flag_column, F.lit(False)).unionByName(val.withColumn(flag_column, F.lit(True)))
-
-
-def same_columns_union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

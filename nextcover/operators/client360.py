@@ -133,7 +133,3 @@ def merge_prefer(left: DataFrame, right: DataFrame, on: list[str], prefer: list[
     }
     columns |= {c: F.col(f"_r_{c}") for c in fresh}
     return joined.withColumns(columns).select(*left.columns, *fresh)
-
-
-def month_of(date: str):
-    return yyyymm(date)

@@ -177,10 +177,3 @@ def new_holdings(df: DataFrame, held="current_products", first="first_product_ca
 def consecutive_pairs(df: DataFrame, column: str = "product_category") -> DataFrame:
     """(current, next) rows of clients' consecutive policies, without the open last one."""
     return next_product(valid_events(df), column=column).filter(F.col("next_product").isNotNull())
-
-
-def with_allocation(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "aum_to_asset_ratio": ratio("acct_val_amt", "wc_total_assets"),
-        "has_second": flag(F.col("second_policy_no").isNotNull()),
-    })

@@ -151,7 +151,3 @@ def long_probabilities(df: DataFrame, key: str, columns: dict[str, str]) -> Data
     """Probability columns as (key, class, probability) rows; ``columns`` maps column to class."""
     named = df.select(key, *[F.col(c).alias(n) for c, n in columns.items()])
     return named.unpivot([key], list(columns.values()), "class", "probability")
-
-
-def score_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return unpivoted(df, columns or SCORE_COLUMNS, name="score_name", value="score")

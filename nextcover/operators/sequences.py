@@ -185,7 +185,3 @@ def pad_history(df: DataFrame, max_len: int = 10, history: str = "history") -> D
     padded = F.concat(F.array_repeat(F.lit(0), max_len), h)
     tail = F.slice(padded, F.size(padded) - (max_len - 1), max_len)
     return df.withColumns({f"hist_{i}": F.get(tail, i) for i in range(max_len)})
-
-
-def vocabulary_counts(df: DataFrame, sequence: str = "sequence") -> DataFrame:
-    return df.select(F.explode(sequence).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))

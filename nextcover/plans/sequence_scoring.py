@@ -39,8 +39,3 @@ def prepare_scoring(policies: DataFrame, vocab: DataFrame, modes: DataFrame, enc
     joined = join_snapshot(history_features(history, len(CATEGORIES)), snapshot)
     filled = fill_zero(apply_fill(joined, modes))
     return encode(pad_history(filled, max_len), encoder, SNAPSHOT_TEXTS).drop("history")
-
-
-def training_events(policies: DataFrame) -> DataFrame:
-    """Numbered events of all classified policies."""
-    return events(valid_events(classify(policies)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,19 +42,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write an intermediate to the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    master without that setting gets a folder of its own.
-    """
+    """Write an intermediate to the checkpoint folder that the session names in
+    ``spark.checkpoint.dir`` (shared by all executors on a cluster), and cut its lineage."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="nextcover-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
