@@ -33,6 +33,7 @@ def model_rows(t):
 def _scored(t, train):
     rows = model_rows(t).persist()
     model = train(prep.with_weight(rows.filter(is_train()), prep.class_weights(rows, "second_product_category"), "second_product_category"))
+    rows.unpersist()  # kept for the passes of the fit alone
     return model, model.transform(rows.filter(~is_train()))
 
 
@@ -57,6 +58,7 @@ def per_product_models(t):
     features = ["acct_val_amt", "wc_total_assets", "client_age", "client_tenure_years"]
     targets = [c for c in table.columns if c.endswith("_cross_sell")]
     models = m.train_per_product(table.filter(is_train()), {c: features for c in targets}, maxIter=10)
+    table.unpersist()
     out = table.filter(~is_train())
     for target, model in models.items():
         scored = model.transform(out).withColumn(f"{target.removesuffix('_cross_sell')}_score", vector_to_array("probability")[1])

@@ -31,6 +31,7 @@ def contributions_of_a_fitted_model(t):
     features = ["acct_val_amt", "wc_total_assets", "client_age", "client_tenure_years"]
     table = training(t).select("party_id", "policy_no", *features, "investment_cross_sell").persist()
     model = train_per_product(table.filter(is_train()), {"investment_cross_sell": features}, maxIter=10)["investment_cross_sell"]
+    table.unpersist()
     coefficients = explain.logistic_coefficients(model, features)
     return explain.linear_contributions(table, coefficients, explain.feature_means(table.filter(is_train()), features), "investment")
 

@@ -36,15 +36,22 @@ def first_joined_with_second(t):
         "party_id", "first_policy_no", "second_policy_no", "first_category", "second_category")
 
 
+# every client's policies dealt to eight clients, so that some hold one or none
+SMALL_CLIENTS = "(SELECT * REPLACE (party_id || '-' || CAST(CAST(policy_no AS BIGINT) % 8 AS VARCHAR) AS party_id) FROM v_class3)"
+
+
+def small_clients(t):
+    eighth = (F.col("policy_no").cast("long") % 8).cast("string")
+    return classify(t.policies).withColumn("party_id", F.concat_ws("-", "party_id", eighth))
+
+
 @query("JN-4", f"""
-WITH kept AS (SELECT *, row_number() OVER (PARTITION BY party_id ORDER BY register_date, policy_no) AS k FROM v_class3
-  WHERE CAST(policy_no AS BIGINT) % 8 = 0)
+WITH kept AS (SELECT *, row_number() OVER (PARTITION BY party_id ORDER BY register_date, policy_no) AS k FROM {SMALL_CLIENTS})
 SELECT a.party_id, a.policy_no AS first_policy_no, b.policy_no AS second_policy_no,
   {rd("date_diff('day', a.isrd_brth_date, b.register_date) / 365.25")} AS age_at_second
 FROM kept a LEFT JOIN kept b ON a.party_id = b.party_id AND b.k = 2 WHERE a.k = 1""")
 def first_with_optional_second(t):
-    kept = classify(t.policies).filter(F.col("policy_no").cast("long") % 8 == 0)
-    return pol.first_second_left(kept).select("party_id", "first_policy_no", "second_policy_no", "age_at_second")
+    return pol.first_second_left(small_clients(t)).select("party_id", "first_policy_no", "second_policy_no", "age_at_second")
 
 
 @query("JN-5 AGG-4 AGG-5 AGG-6", f"""
@@ -92,14 +99,13 @@ def scores_of_branch_clients(t):
     return c360.in_branch_clients(t.scores, t.policies, "7").select("party_id", "investment_score")
 
 
-@query("JN-9", """
-SELECT party_id, policy_no, product_category FROM v_class3 WHERE policy_status = 'Active' AND CAST(policy_no AS BIGINT) % 8 = 0
+@query("JN-9", f"""
+SELECT party_id, policy_no, product_category FROM {SMALL_CLIENTS} WHERE policy_status = 'Active'
 QUALIFY count(*) OVER (PARTITION BY party_id) = 1""")
 def single_policy_clients(t):
     from nextcover.operators.clean import active
 
-    kept = active(classify(t.policies)).filter(F.col("policy_no").cast("long") % 8 == 0)
-    kept = kept.select("party_id", "policy_no", "register_date", "product_category")
+    kept = active(small_clients(t)).select("party_id", "policy_no", "register_date", "product_category")
     return pol.single_policy_clients(kept).select("party_id", "policy_no", "product_category")
 
 
@@ -171,25 +177,31 @@ def agent_statistics(t):
 @query("JN-18", """
 SELECT r.party_id, coalesce(n.client_segment || '!', r.client_segment) AS client_segment, r.state, n.extra FROM
 (SELECT party_id, client_segment, state FROM v_retention WHERE business_month = 200111) r
-LEFT JOIN (SELECT party_id, client_segment, CAST(client_tenure AS BIGINT) AS extra FROM v_retention
-  WHERE business_month = 200112 AND client_tenure < 10) n ON r.party_id = n.party_id""")
+LEFT JOIN (SELECT CASE WHEN client_tenure < 10 THEN party_id ELSE party_id || '-other' END AS party_id, client_segment, CAST(client_tenure AS BIGINT) AS extra
+  FROM v_retention WHERE business_month = 200112) n ON r.party_id = n.party_id""")
 def merge_with_preferred_side(t):
     base = t.retention.filter("business_month = 200111").select("party_id", "client_segment", "state")
-    newer = t.retention.filter("business_month = 200112 AND client_tenure < 10").select(
-        "party_id", F.concat("client_segment", F.lit("!")).alias("client_segment"), F.col("client_tenure").alias("extra"))
+    # clients of long tenure go by another id in the newer month, so that the older one has no match for them
+    other = F.when(F.col("client_tenure") < 10, F.col("party_id")).otherwise(F.concat("party_id", F.lit("-other")))
+    newer = t.retention.filter("business_month = 200112").select(
+        other.alias("party_id"), F.concat("client_segment", F.lit("!")).alias("client_segment"), F.col("client_tenure").alias("extra"))
     return c360.merge_prefer(base, newer, ["party_id"], ["client_segment"])
 
 
 @query("JN-19", f"""
-WITH a AS (SELECT feature, avg(abs(contribution)) AS i FROM v_contributions WHERE product = 'investment' AND feature <> 'channel' GROUP BY 1),
-b AS (SELECT feature, avg(abs(contribution)) AS i FROM v_contributions WHERE product = 'retirement' AND feature <> 'client_age' GROUP BY 1)
+WITH a AS (SELECT feature, avg(abs(contribution)) AS i FROM (SELECT * REPLACE (CASE WHEN feature = 'channel' THEN 'channel_a' ELSE feature END AS feature) FROM v_contributions)
+  WHERE product = 'investment' GROUP BY 1),
+b AS (SELECT feature, avg(abs(contribution)) AS i FROM (SELECT * REPLACE (CASE WHEN feature = 'client_age' THEN 'client_age_b' ELSE feature END AS feature) FROM v_contributions)
+  WHERE product = 'retirement' GROUP BY 1)
 SELECT coalesce(a.feature, b.feature) AS feature, {rd('coalesce(a.i, 0)')} AS importance_a, {rd('coalesce(b.i, 0)')} AS importance_b,
   {rd('coalesce(b.i, 0) - coalesce(a.i, 0)')} AS difference FROM a FULL JOIN b ON a.feature = b.feature""")
 def importance_comparison(t):
-    def of(product, left_out):
-        return explain.contribution_importance(t.contributions.filter((F.col("product") == product) & (F.col("feature") != left_out)))
+    """One feature of each side has a name of its own there."""
+
+    def of(product, feature, name):
+        return explain.contribution_importance(t.contributions.filter(F.col("product") == product).replace({feature: name}, subset=["feature"]))
 
-    return explain.compare_importance(of("investment", "channel"), of("retirement", "client_age"))
+    return explain.compare_importance(of("investment", "channel", "channel_a"), of("retirement", "client_age", "client_age_b"))
 
 
 @query("JN-20", """

@@ -42,8 +42,9 @@ def outcome_summary(t):
     return monitor.outcome_summary(monitor.prediction_outcome(last_month_predictions(t), classify(t.policies), MONTH))
 
 
-THIS = "(SELECT party_id, second_best_product AS predicted_product, second_best_score AS pred_prob FROM v_best WHERE CAST(party_id AS BIGINT) % 9 <> 0)"
-PREV = "(SELECT party_id, CASE WHEN CAST(party_id AS BIGINT) % 2 = 0 THEN best_product ELSE second_best_product END AS predicted_product, best_score AS pred_prob FROM v_best WHERE CAST(party_id AS BIGINT) % 11 <> 0)"
+# some clients go by another id in one of the months: they are gone in one and new in the other
+THIS = "(SELECT CASE WHEN CAST(party_id AS BIGINT) % 9 = 0 THEN party_id || '-new' ELSE party_id END AS party_id, second_best_product AS predicted_product, second_best_score AS pred_prob FROM v_best)"
+PREV = "(SELECT CASE WHEN CAST(party_id AS BIGINT) % 11 = 0 THEN party_id || '-old' ELSE party_id END AS party_id, CASE WHEN CAST(party_id AS BIGINT) % 2 = 0 THEN best_product ELSE second_best_product END AS predicted_product, best_score AS pred_prob FROM v_best)"
 
 
 @query("OUT-15", f"""
@@ -54,9 +55,12 @@ def prediction_stability(t):
     from nextcover.operators.scoring import best_two
 
     rows, k = best_two(t.scores), F.col("party_id").cast("long")
-    current = rows.filter(k % 9 != 0).select("party_id", F.col("second_best_product").alias("predicted_product"), F.col("second_best_score").alias("pred_prob"))
+    def renamed(every, ending):
+        return F.when(k % every == 0, F.concat("party_id", F.lit(ending))).otherwise(F.col("party_id")).alias("party_id")
+
+    current = rows.select(renamed(9, "-new"), F.col("second_best_product").alias("predicted_product"), F.col("second_best_score").alias("pred_prob"))
     product = F.when(k % 2 == 0, F.col("best_product")).otherwise(F.col("second_best_product"))
-    previous = rows.filter(k % 11 != 0).select("party_id", product.alias("predicted_product"), F.col("best_score").alias("pred_prob"))
+    previous = rows.select(renamed(11, "-old"), product.alias("predicted_product"), F.col("best_score").alias("pred_prob"))
     out = monitor.prediction_stability(previous, current)
     return out.select("party_id", "previous_product", "current_product", "status", "confidence_change")
 

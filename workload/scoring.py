@@ -123,10 +123,10 @@ def clients_per_strategy(t):
 @query("OUT-32", f"""
 SELECT s.party_id, s.best_product, {rd('t.score')} AS explanation_score, array_to_string(t.top_features, ',') AS top_features, array_to_string(t.talking_points, ',') AS talking_points,
   CAST(CASE WHEN t.score IS NULL THEN 0 ELSE 1 END AS BIGINT) AS explanation_available FROM v_best s
-LEFT JOIN (SELECT * FROM v_explanations WHERE product <> 'retirement') t ON s.party_id = t.party_id AND t.product = s.best_product""")
+LEFT JOIN (SELECT * REPLACE (CASE WHEN product = 'retirement' THEN 'pension' ELSE product END AS product) FROM v_explanations) t ON s.party_id = t.party_id AND t.product = s.best_product""")
 def final_output(t):
-    """Retirement has no explanations here, so some clients stay without one."""
-    known = explanation_table(t).filter("product <> 'retirement'")
+    """Retirement goes by another name in the explanations, so some clients stay without one."""
+    known = explanation_table(t).replace({"retirement": "pension"}, subset=["product"])
     return advisor.final_output(sc.best_two(t.scores), known).select(
         "party_id", "best_product", "explanation_score", "top_features", "talking_points", "explanation_available")
 

@@ -9,7 +9,7 @@ from nextcover.sources import readers, writers
 from workload.registry import query, rounded
 
 
-@query("SRC-1 SRC-3 TOP-4", """
+@query("SRC-3 TOP-4", """
 SELECT o_orderkey AS policy_no, o_custkey AS party_id, o_totalprice AS amount FROM orders
 ORDER BY o_orderkey LIMIT 100""")
 def read_parquet_preview(t):
