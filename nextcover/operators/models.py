@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nextcover.operators.prep import assemble
+from nextcover.operators.quantiles import with_fitted
 
 # ---- fixed values ----
 THRESHOLD_START, THRESHOLD_STEP, THRESHOLD_COUNT = 0.1, 0.05, 16
@@ -158,16 +159,19 @@ def tune_thresholds(long: DataFrame, class_col: str = "class", probability: str
         F.col("best.f1").alias("f1"))
 
 
-def apply_thresholds(long: DataFrame, thresholds: DataFrame, key: str, class_col: str = "class",
-                     probability: str = "probability") -> DataFrame:
-    """Most probable class among those that reach their threshold, else the most probable.
+def apply_thresholds(df: DataFrame, probabilities: dict[str, str], thresholds: DataFrame, class_col: str = "class") -> DataFrame:
+    """Rows with ``prediction``: the most probable class among those that reach their threshold,
+    else the most probable.
 
-    There is one threshold per class (seven at most), which bounds the broadcast.
+    ``probabilities`` maps each class to its column. The thresholds are one fitted row, a scalar
+    subquery; nothing else is needed but the row itself.
     """
-    joined = long.join(F.broadcast(thresholds.select(class_col, "threshold")), class_col)
-    option = F.struct((-F.col(probability)).alias("p"), F.col(class_col).alias("c"))
-    passing = F.min(F.when(F.col(probability) >= F.col("threshold"), option))
-    return joined.groupBy(key).agg(F.coalesce(passing, F.min(option))["c"].alias("prediction"))
+    fitted = thresholds.agg(*[F.max(F.when(F.col(class_col) == c, F.col("threshold"))).alias(f"t{i}") for i, c in enumerate(probabilities)])
+    options = F.array(*[
+        F.struct((~F.coalesce(F.col(p) >= F.col(f"_fit.t{i}"), F.lit(False))).alias("below"), (-F.col(p)).alias("minus"), F.lit(c).alias("class"))
+        for i, (c, p) in enumerate(probabilities.items())])
+    known = F.filter(options, lambda o: o["minus"].isNotNull())
+    return with_fitted(df, fitted).withColumn("prediction", F.array_min(known)["class"]).drop("_fit")
 
 
 def distribution_shift(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

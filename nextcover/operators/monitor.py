@@ -99,6 +99,15 @@ def monthly_change(df: DataFrame, columns: list[str], months: list[int] | None =
     return monthly.withColumns(lags).withColumns(changes).drop("_m")
 
 
+def segment_changes(policies: DataFrame, columns: list[str], months: list[int] | None = None, party: str = "party_id",
+                    month: str = "business_month") -> DataFrame:
+    """``monthly_change`` per client with the client's segment: CS with more than one policy, NCS with
+    one. The segment comes from all of the client's rows, whatever their month."""
+    changes = monthly_change(policies, columns, months, party, month)
+    counts = policies.groupBy(party).agg(F.count_distinct("policy_no").alias("_n"))
+    return changes.join(counts, party).withColumn("segment", F.when(F.col("_n") > 1, "CS").otherwise("NCS")).drop("_n")
+
+
 def market_series(base: DataFrame, months: list[int] | None = None, month: str = "month_int", close: str = "close") -> DataFrame:
     """Monthly closes as changes in percent: to the month before, and 3/6/12 months ahead.
 

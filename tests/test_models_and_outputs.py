@@ -21,7 +21,12 @@ def test_thresholds_prefer_the_lowest_best(spark):
     best = {r["class"]: r for r in m.tune_thresholds(long).collect()}
     assert best["a"].threshold == pytest.approx(0.35) and best["a"].f1 == 1.0
     assert best["b"].threshold == 0.5 and best["b"].f1 == 0.0
-    assert rows(m.apply_thresholds(long, m.tune_thresholds(long), "k")) == [(i, "a") for i in range(6)]
+    wide = long.groupBy("k").pivot("class", ["a", "b"]).agg({"probability": "max"})
+    got = m.apply_thresholds(wide, {"a": "a", "b": "b"}, m.tune_thresholds(long))
+    assert rows(got, "k", "prediction") == [(i, "a") for i in range(6)]
+    higher = spark.createDataFrame([("a", 0.6), ("b", 0.04)], "class string, threshold double")
+    passing = m.apply_thresholds(wide, {"a": "a", "b": "b"}, higher)
+    assert rows(passing, "k", "prediction") == [(i, "b") for i in range(5)] + [(5, "a")]
 
 
 def test_transition_golden(spark):

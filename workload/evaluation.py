@@ -118,12 +118,14 @@ def errors_per_class(t):
 PROBABILITIES = {"INVESTMENT": "investment_score", "LIFE_INSURANCE": "life_insurance_score", "NETWORK_PRODUCTS": "network_products_score", "RETIREMENT": "retirement_score"}
 
 
+def wide_probabilities(t):
+    return labelled(t).join(t.scores, "party_id").select("policy_no", "label", *[F.col(v).alias(k) for k, v in PROBABILITIES.items()])
+
+
 def probabilities(t):
-    from nextcover.operators.scoring import long_probabilities
+    from nextcover.operators.quantiles import unpivoted
 
-    rows = labelled(t).join(t.scores, "party_id")
-    named = long_probabilities(rows, "policy_no", {v: k for k, v in PROBABILITIES.items()})
-    return named.join(rows.select("policy_no", "label"), "policy_no")
+    return unpivoted(wide_probabilities(t), list(PROBABILITIES), ["policy_no", "label"], "class", "probability")
 
 
 LONG = "(" + " UNION ALL ".join(
@@ -145,8 +147,8 @@ def best_thresholds(t):
 SELECT policy_no, class AS prediction FROM (SELECT l.policy_no, l.class, row_number() OVER (PARTITION BY l.policy_no
   ORDER BY CASE WHEN l.probability >= h.threshold THEN 0 ELSE 1 END, l.probability DESC, l.class) AS k FROM {LONG} l JOIN {THRESHOLDS} h ON l.class = h.class) WHERE k = 1""")
 def predictions_by_threshold(t):
-    long = probabilities(t)
-    return m.apply_thresholds(long, m.tune_thresholds(long), "policy_no")
+    fitted = m.tune_thresholds(probabilities(t))
+    return m.apply_thresholds(wide_probabilities(t), {c: c for c in PROBABILITIES}, fitted).select("policy_no", "prediction")
 
 
 @query("ML-11", f"SELECT class, support AS true_count, predicted AS predicted_count, {rd('(predicted - support) * 100.0 / NULLIF(support, 0)')} AS difference_pct FROM {REPORT}")

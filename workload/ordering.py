@@ -6,6 +6,7 @@ from nextcover.functions.classify import classify
 from nextcover.operators import advisor, monitor, ordered, policies as pol, scoring as sc
 from workload.aggregations import confident
 from workload.classification import with_product
+from workload.joins import SMALL_CLIENTS, small_clients
 from workload.registry import query, rounded
 from workload.sqltext import rd
 
@@ -104,6 +105,26 @@ def monthly_amount_changes(t):
                       *[rounded(f"acct_val_amt_change_{k}m_pct", 4).alias(f"acct_val_amt_change_{k}m_pct") for k in LAGS])
 
 
+AMOUNTS = ("acct_val_amt", "face_amt")
+
+
+@query("WIN-13", f"""
+WITH m AS (SELECT party_id, year(register_date) * 100 + month(register_date) AS business_month, sum(acct_val_amt) AS acct_val_amt, sum(face_amt) AS face_amt,
+  year(register_date) * 12 + month(register_date) AS i FROM {SMALL_CLIENTS} GROUP BY 1, 2, 5),
+s AS (SELECT party_id, CASE WHEN count(DISTINCT policy_no) > 1 THEN 'CS' ELSE 'NCS' END AS segment FROM {SMALL_CLIENTS} GROUP BY 1)
+SELECT a.party_id, s.segment, CAST(a.business_month AS BIGINT) AS business_month, """ + ", ".join(
+    [f"{rd(f'a.{c}', 2)} AS {c}" for c in AMOUNTS]
+    + [f"{rd(f'b{k}.{c}', 2)} AS {c}_{k}m_ago, {rd(f'100.0 * (a.{c} - b{k}.{c}) / b{k}.{c}', 4)} AS {c}_change_{k}m_pct" for c in AMOUNTS for k in LAGS])
+    + " FROM m a JOIN s ON s.party_id = a.party_id " + " ".join(f"LEFT JOIN m b{k} ON a.party_id = b{k}.party_id AND b{k}.i = a.i - {k}" for k in LAGS))
+def monthly_amount_changes_by_segment(t):
+    """Two amounts per client and month, for clients of several policies and of one."""
+    rows = small_clients(t).withColumn("business_month", F.year("register_date") * 100 + F.month("register_date"))
+    out = monitor.segment_changes(rows, list(AMOUNTS))
+    return out.select("party_id", "segment", "business_month", *[rounded(c, 2).alias(c) for c in AMOUNTS],
+                      *[rounded(f"{c}_{k}m_ago", 2).alias(f"{c}_{k}m_ago") for c in AMOUNTS for k in LAGS],
+                      *[rounded(f"{c}_change_{k}m_pct", 4).alias(f"{c}_change_{k}m_pct") for c in AMOUNTS for k in LAGS])
+
+
 @query("WIN-14", f"""
 SELECT snp_business_month, {rd('snp_close_variation', 4)} AS snp_close_variation, {rd('snp_close_lead_3', 4)} AS snp_close_lead_3,
   {rd('snp_close_lead_6', 4)} AS snp_close_lead_6, {rd('snp_close_lead_12', 4)} AS snp_close_lead_12 FROM v_market""")
