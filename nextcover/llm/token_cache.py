@@ -3,7 +3,7 @@
 Both vocabularies cut a text before they merge bytes, and the cuts below never fall inside
 such a piece: ``words`` vocabularies drop white space, ``bytes`` vocabularies start a piece at
 every single space that a visible character follows. So the ids of a text are those of its
-pieces behind one another. Latin letters with punctuation behind them are two pieces in either
+pieces behind one another; a single line end is a piece of its own too, and begins one here. Latin letters with punctuation behind them are two pieces in either
 vocabulary and go straight to the library's merge model, without its normaliser, which would
 leave them alone but for case. A text where this isn't certain goes to the library as a whole.
 """
@@ -25,6 +25,7 @@ ODD = [*map(chr, range(0x1C, 0x20)), "\x85", "\u180e", "\u200b", "\ufeff", "<|"]
 #: white space other than spaces and line ends
 RARE_SPACES = [*"\t\r\x0b\x0c\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 ID = attrgetter("id")
+LINE = "\n"
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:%$#&*|()\"-]*)")
 SPACES = re.compile(r" (?=\s|$)")
 
@@ -41,6 +42,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind, self.most = kind, most
+        self.line = tuple(self.library.encode(LINE, add_special_tokens=False).ids)
         self._clear()
 
     def _clear(self) -> None:
@@ -63,24 +65,30 @@ class Encoder:
         merge, letters, signs = self.library.model.tokenize, self.letters, self.signs
         as_bytes = self.kind == "bytes"
         for i, piece in enumerate(pieces):
-            if piece.isascii() and piece.isalpha():
-                core, tail = piece, ""
-            elif m := PLAIN.fullmatch(piece):
+            line, body = (LINE, piece[1:]) if as_bytes and piece[0] == LINE else ("", piece)
+            if body.isascii() and body.isalpha():
+                core, tail = body, ""
+            elif m := PLAIN.fullmatch(body):
                 core, tail = m.groups()
             else:
                 odd.append(i)
                 continue
-            if not as_bytes:
-                core = core.lower()
-            ids = letters.get(core)
-            if ids is None:
+            if as_bytes:
                 name = core if core.isascii() else core.encode().decode("latin-1").translate(SHOWN)
-                letters[core] = ids = tuple(map(ID, merge("\u0120" + name if as_bytes else name)))
+                name = name if line else "\u0120" + name
+            else:
+                name = core.lower()
+            ids = letters.get(name)
+            if ids is None:
+                if not as_bytes and not name.isascii():
+                    letters[name] = ids = tuple(map(ID, merge(name.encode().decode("latin-1").translate(SHOWN))))
+                else:
+                    letters[name] = ids = tuple(map(ID, merge(name)))
             if tail not in signs:
                 signs[tail] = tuple(self.library.encode(tail, add_special_tokens=False).ids)
-            out[i] = ids + signs[tail] if tail else ids
-        lead = " " if as_bytes else ""
-        for i, e in zip(odd, self.library.encode_batch_fast([lead + pieces[i] for i in odd], add_special_tokens=False)):
+            out[i] = self.line + ids + signs[tail] if line else ids + signs[tail] if tail else ids
+        texts = [" " + pieces[i] if as_bytes and pieces[i][0] != LINE else pieces[i] for i in odd]
+        for i, e in zip(odd, self.library.encode_batch_fast(texts, add_special_tokens=False)):
             out[i] = tuple(e.ids)
         return out
 
@@ -109,33 +117,24 @@ class Encoder:
         if self.kind == "words":
             return False
         if any(c in text for c in RARE_SPACES):
-            return SPACES.search(text) is not None
-        return "  " in text or " \n" in text or text[-1] == " "
-
-    def _head(self, piece: str) -> np.ndarray:
-        """Ids of a text's first piece, which has no space before it."""
-        if PLAIN.fullmatch(piece) and piece.isascii() and piece.isalpha():
-            return np.array([t.id for t in self.library.model.tokenize(piece)], np.uint16)
-        return self._whole(piece)
+            return SPACES.search(text) is not None or LINE in text
+        return "  " in text or " \n" in text or "\n\n" in text or text[0] == LINE or text[-1] == " "
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (16 bits) of each text."""
         out: list = [None] * len(texts)
         lists: list[list[str]] = []
         places: list[int] = []
+        as_bytes = self.kind == "bytes"
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.empty(0, np.uint16)
             elif self._uncertain(text):
                 out[i] = self._whole(text)
             else:
-                lists.append(text.split() if self.kind == "words" else text.split(" "))
+                # a line end in front makes the first piece one like those that begin a line
+                lists.append((LINE + text.replace(LINE, " \n")).split(" ") if as_bytes else text.split())
                 places.append(i)
-        if not lists:
-            return out
-        heads = [self._head(w[0]) if self.kind == "bytes" else None for w in lists]
-        if self.kind == "bytes":
-            lists = [w[1:] for w in lists]
         fresh = set().union(*lists).difference(self.known)
         if fresh:
             if len(self.known) + len(fresh) > self.most:
@@ -143,14 +142,14 @@ class Encoder:
                 fresh = set().union(*lists).difference(self.known)
             self._learn(list(fresh))
         known = self.known
-        for i, head, pieces in zip(places, heads, lists):
+        for i, pieces in zip(places, lists):
             at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
             begin = self.start[at]
             size = self.start[at + 1] - begin
             total = int(size.sum())
             shift = np.repeat(begin - (np.cumsum(size) - size), size)
             ids = self.flat[shift + np.arange(total)]
-            out[i] = ids if head is None else np.concatenate([head, ids])
+            out[i] = ids[len(self.line):] if as_bytes else ids
         return out
 
 
