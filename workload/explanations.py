@@ -8,7 +8,7 @@ from workload.aggregations import confident
 from workload.feature_sets import training
 from workload.preparation import is_train
 from workload.registry import query, rounded
-from workload.scoring import explanation_table, of_prediction, points, predictions_with_demographics
+from workload.scoring import SNAPSHOT, explanation_table, of_prediction, pitch, points, predictions_with_demographics
 from workload.sqltext import TEXT, rd
 
 
@@ -243,23 +243,35 @@ def base_feature_contributions(t):
     return explain.to_base_feature(rows, bases).select("party_id", "product", "feature", "contribution", "value")
 
 
-@query("OUT-36", f"""
+# the text for every client with a prediction, from the opening to the next step
+NARRATIVE = f"""(
 WITH s AS (SELECT x.*, c.predicted_product, n.psn_age FROM {SIDED} x JOIN v_confidence c ON x.party_id = c.party_id AND x.product = c.predicted_product
   LEFT JOIN (SELECT * FROM v_ranked3 WHERE rn_desc = 1) n ON x.party_id = n.party_id)
-SELECT c.party_id, c.predicted_product, coalesce(t.f, '') AS top_positive_features, coalesce(t.a, '') AS top_negative_features, coalesce(t.lines, '') AS reasons FROM v_confidence c LEFT JOIN (
+SELECT c.party_id, c.predicted_product, coalesce(t.f, '') AS top_positive_features, coalesce(t.a, '') AS top_negative_features,
+  concat_ws(chr(10), 'Based on your client profile and purchase history, we recommend ' || c.predicted_product || ' with ' || {pct('c.pred_prob')} || ' confidence.',
+    CASE WHEN t.f <> '' THEN chr(10) || 'Key reasons for this recommendation:' END, t.lines, CASE WHEN t.a <> '' THEN chr(10) || 'Considerations:' END, t.concerns,
+    chr(10) || 'Next Steps: Let''s schedule a consultation to discuss how ' || c.predicted_product || ' can help you achieve your financial goals.') AS talking_points
+FROM v_confidence c LEFT JOIN (
   SELECT party_id, string_agg(CASE WHEN side = 'positive' AND rank <= 3 THEN feature END, ', ' ORDER BY rank) AS f, string_agg(CASE WHEN side = 'negative' AND rank <= 2 THEN feature END, ', ' ORDER BY rank) AS a,
+  string_agg(CASE WHEN side = 'negative' AND contribution < -0.1 AND feature = 'client_age' THEN '  - While age is a factor, ' || predicted_product
+    || ' still offers significant value for your situation.' END, chr(10) ORDER BY rank) AS concerns,
   string_agg(CASE WHEN side = 'positive' THEN '  ' || CAST(rank AS VARCHAR) || '. ' || CASE
     WHEN feature = 'client_tenure_years' AND CAST(value AS BIGINT) > 0 THEN 'With ' || value || '.0 years as our client, ' || predicted_product || ' represents a natural next step in your relationship with us.'
     WHEN feature = 'client_tenure_years' THEN 'As a valued client, ' || predicted_product || ' represents a natural next step in your relationship with us.'
     WHEN feature = 'aum_segment' THEN 'Your asset profile indicates ' || predicted_product || ' would be an excellent fit for your portfolio.'
     WHEN feature = 'channel' THEN 'Clients in your channel typically benefit from ' || predicted_product || '.'
     ELSE 'Your ' || replace(feature, '_', ' ') || ' profile strongly supports ' || predicted_product || '.' END END, chr(10) ORDER BY rank) AS lines
-  FROM s GROUP BY 1) t ON c.party_id = t.party_id""")
+  FROM s GROUP BY 1) t ON c.party_id = t.party_id)"""
+
+
+@query("OUT-36", f"SELECT * FROM {NARRATIVE}")
 def client_narrative(t):
-    """The reasons of the narrative are cut back out of the text for the comparison."""
     text = explain.narrative(predictions_with_demographics(t), explain.signed_contributions(of_prediction(t)), dict(enumerate(CATEGORIES, 1)))
-    after = F.get(F.split("talking_points", "\nKey reasons for this recommendation:\n"), 1)
-    before_end = F.split(F.split(after, "\n\nNext Steps:")[0], "\n\nConsiderations:")[0]
-    return text.select("party_id", "predicted_product", "top_positive_features", "top_negative_features", F.coalesce(before_end, F.lit("")).alias("reasons"))
+    return text.select("party_id", "predicted_product", "top_positive_features", "top_negative_features", "talking_points")
 
 
+@query("OUT-37", f"""
+SELECT n.party_id, n.predicted_product AS recommended_product, {rd('c.pred_prob')} AS recommendation_confidence, CAST(s.psn_age AS BIGINT) AS psn_age, s.client_seg, n.talking_points
+FROM {NARRATIVE} n JOIN v_confidence c ON c.party_id = n.party_id LEFT JOIN {SNAPSHOT} s ON s.party_id = n.party_id""")
+def agent_pitch_table(t):
+    return pitch(t).select("party_id", "recommended_product", "recommendation_confidence", "psn_age", "client_seg", "talking_points")

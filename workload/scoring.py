@@ -189,11 +189,6 @@ def of_prediction(t):
 SEGMENT = f"(SELECT c.*, s.client_seg, s.psn_age FROM v_confidence c LEFT JOIN {SNAPSHOT} s ON c.party_id = s.party_id)"
 
 
-@query("OUT-37", f"SELECT party_id, predicted_product AS recommended_product, {rd('pred_prob')} AS recommendation_confidence, CAST(psn_age AS BIGINT) AS psn_age, client_seg FROM {SEGMENT}")
-def agent_pitch_table(t):
-    return pitch(t).select("party_id", "recommended_product", "recommendation_confidence", "psn_age", "client_seg")
-
-
 @query("OUT-38", f"SELECT client_seg, predicted_product AS recommended_product, count(*) AS n FROM {SEGMENT} WHERE client_seg IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, client_seg, recommended_product LIMIT 10")
 def recommendations_by_segment(t):
     return advisor.by_segment(predictions_with_demographics(t).withColumnRenamed("predicted_product", "recommended_product"))
