@@ -98,23 +98,25 @@ def final_output(enhanced: DataFrame, explanations: DataFrame) -> DataFrame:
 
 
 def advisor_query(df: DataFrame, kind: str, product: str = "investment", level: str = "high",
-                  threshold: float = 0.70, n: int = 500, decile: int = 1) -> DataFrame:
+                  threshold: float = 0.70, n: int = 500, decile: int = 1, ordered: bool = True) -> DataFrame:
     """The advisors' standing questions.
 
     ``top``: the ``n`` best of a product above the threshold; ``multi``: clients flagged at a
     level, most products first; ``decile``: one decile of a product; ``product``: everyone
-    above the threshold for a product with the rank.
+    above the threshold for a product with the rank. ``ordered=False`` leaves out the sort of the
+    lists without a limit, for a caller that goes on with the rows.
     """
     score = F.col(f"{product}_score")
     if kind == "top":
         return df.filter(score > threshold).orderBy(score.desc(), "party_id").limit(n)
     if kind == "multi":
-        return df.filter(F.col(f"multi_product_opportunity_{level}") == 1).orderBy(
-            F.col(f"{level}_score_count").desc(), F.col("best_score").desc(), "party_id")
+        flagged = df.filter(F.col(f"multi_product_opportunity_{level}") == 1)
+        return flagged.orderBy(F.col(f"{level}_score_count").desc(), F.col("best_score").desc(), "party_id") if ordered else flagged
     if kind == "decile":
         return df.filter(F.col(f"{product}_decile") == decile)
     if kind == "product":
-        return df.filter(score > threshold).select("party_id", score, f"{product}_rank").orderBy(score.desc(), "party_id")
+        ranked = df.filter(score > threshold).select("party_id", score, f"{product}_rank")
+        return ranked.orderBy(score.desc(), "party_id") if ordered else ranked
     raise ValueError(f"unknown query: {kind}")
 
 

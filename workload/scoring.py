@@ -142,7 +142,7 @@ UNION ALL SELECT 'medium', party_id, medium_score_count FROM v_score_table WHERE
 UNION ALL SELECT 'base', party_id, base_score_count FROM v_score_table WHERE multi_product_opportunity_base = 1""")
 def multi_product_lists(t):
     rows = sc.opportunity_flags(sc.best_two(t.scores))
-    parts = [advisor.advisor_query(rows, "multi", level=x).select(F.lit(x).alias("level"), "party_id", F.col(f"{x}_score_count").alias("products")) for x in ("high", "medium", "base")]
+    parts = [advisor.advisor_query(rows, "multi", level=x, ordered=False).select(F.lit(x).alias("level"), "party_id", F.col(f"{x}_score_count").alias("products")) for x in ("high", "medium", "base")]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
