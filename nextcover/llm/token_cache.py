@@ -38,7 +38,7 @@ SHOWN = dict(zip((b for b in range(256) if b not in _visible), range(256, 512)))
 class Encoder:
     """Encodes texts; keeps the ids of about ``most`` pieces."""
 
-    def __init__(self, path: str, kind: str, most: int = 800_000):
+    def __init__(self, path: str, kind: str, most: int = 600_000):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind, self.most = kind, most
@@ -56,9 +56,18 @@ class Encoder:
         """Keep the half that was learned first, which holds the common pieces."""
         half = self.most // 2
         self.known = dict(islice(self.known.items(), half))
-        self.letters = dict(islice(self.letters.items(), half))
+        self.letters = {}
         self.used = int(self.start[len(self.known)])
 
+    def _letters(self, piece: str) -> tuple | None:
+        """Ids of letters met before, alone or with punctuation behind them; without those of a line
+        end in front."""
+        at = self.known.get(piece)
+        if at is None:
+            return self.letters.get(piece)
+        skip = len(self.line) if piece[0] == LINE else 0
+        return tuple(self.flat[self.start[at] + skip:self.start[at + 1]].tolist())
+
     def _ids(self, pieces: list[str]) -> list[tuple]:
         out: list = [None] * len(pieces)
         odd = []
@@ -73,17 +82,13 @@ class Encoder:
             else:
                 odd.append(i)
                 continue
-            if as_bytes:
-                name = core if core.isascii() else core.encode().decode("latin-1").translate(SHOWN)
-                name = name if line else "\u0120" + name
-            else:
-                name = core.lower()
-            ids = letters.get(name)
+            ids = self._letters(line + core) if tail else letters.get(piece)
             if ids is None:
-                if not as_bytes and not name.isascii():
-                    letters[name] = ids = tuple(map(ID, merge(name.encode().decode("latin-1").translate(SHOWN))))
-                else:
-                    letters[name] = ids = tuple(map(ID, merge(name)))
+                name = core if as_bytes else core.lower()
+                name = name if name.isascii() else name.encode().decode("latin-1").translate(SHOWN)
+                ids = tuple(map(ID, merge("\u0120" + name if as_bytes and not line else name)))
+                if tail:  # a piece of letters alone is among the known ones
+                    letters[line + core] = ids
             if tail not in signs:
                 signs[tail] = tuple(self.library.encode(tail, add_special_tokens=False).ids)
             out[i] = self.line + ids + signs[tail] if line else ids + signs[tail] if tail else ids
