@@ -7,6 +7,7 @@ ASCII counts as a letter. A null text is an empty one.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: bytes of text worked on at once; a longer text is a slice of its own
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 STEP = U64(0xC2B2AE3D27D4EB4F | 1)
 
@@ -36,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     a temporary folder, a cluster must name one that all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = _own_folder()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -52,8 +53,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded size, so that a worker's memory doesn't follow the rows' width."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
