@@ -3,14 +3,17 @@
 A document is the set of its shingles of five words. Each of ``TREES`` prefix trees orders the
 documents by ``DEPTH`` minimum hashes of its own; documents under one node of a tree agree on
 that many of them. The matched prefix is shortened from the full depth until the forest finds a
-pair at the threshold with the target recall, and no further (``prefix_length``); documents are
-then sorted by the whole signature below that node, so a node with too many members is cut into
-runs of those that agree longest, in many tasks.
+pair at the threshold with the target recall, and no further (``prefix_length``). The members of a
+node with more than ``RUN`` of them meet again in a further forest of independent minima, with a
+longer prefix and as many trees as keep the recall of both together (``further_forest``).
 
 1. Texts of the same words are one class and have one row from here on.
 2. Under each node, members whose signatures agree enough (``LOOSE``, far below what a pair at the
    threshold shows) are joined, and the connected families of these joins collected over all trees.
-   No pair is ever written, only a star for each family and node.
+   No pair is ever written, only a star for each family and node. A crowded node is first read in
+   runs sorted by signature, which joins most of a large family at small cost; its members then go
+   through the further forest. A node that is crowded there too is compared whole, in pairs of
+   blocks, but for the members of its largest family with one another: they are joined already.
 3. Within a family every pair is compared exactly, shingle set by shingle set. Families are dealt
    out in blocks of ``BLOCK`` documents, each pair of blocks to one task, which returns a number of
    links for each of its documents and a spanning forest, not the pairs.
@@ -46,6 +49,8 @@ LOOSE = 0.55
 BLOCK = 256
 RUN = 2048
 LEADERS = 64
+#: the further forest takes the longest prefix that needs no more trees than these
+FURTHER_TREES = 64
 U = np.uint64
 
 
@@ -55,6 +60,16 @@ def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> in
     return next((n for n in range(depth, 0, -1) if 1 - (1 - threshold ** n) ** trees >= recall), 1)
 
 
+def further_forest(threshold: float, recall: float) -> tuple[int, int]:
+    """(trees, depth) of the further forest: what it and the first one miss of the pairs at the
+    threshold is together no more than the recall allows (where the first leaves anything)."""
+    missed = (1 - threshold ** prefix_length(TREES, DEPTH, threshold, recall)) ** TREES
+    allowed = 1 - recall - missed if missed < 1 - recall else 1 - recall
+    trees = {n: int(np.ceil(np.log(allowed) / np.log1p(-threshold ** n))) for n in range(1, 33)} if threshold < 1 else {32: 1}
+    depth = max((n for n, t in trees.items() if t <= FURTHER_TREES), default=1)
+    return trees[depth], depth
+
+
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets, _ = lowered(texts)
     starts, ends, row = word_spans(data, offsets)
@@ -78,20 +93,29 @@ FACTORS = _rng.integers(1, 1 << 32, TREES * DEPTH, dtype=np.uint32) | np.uint32(
 ADDS = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 
 
-def signatures(hashes: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(hashes: np.ndarray, row: np.ndarray, rows: int, factors: np.ndarray = FACTORS, adds: np.ndarray = ADDS) -> tuple[np.ndarray, np.ndarray]:
     """Minimum hashes (TREES x DEPTH) of the rows that have shingles, and which rows these are."""
     there = np.unique(row)
     first = np.searchsorted(row, there)
     low = (hashes >> U(32)).astype(np.uint32) ^ (hashes & U(0xFFFFFFFF)).astype(np.uint32)
-    out = np.empty((len(there), TREES * DEPTH), np.uint32)
-    for i in range(TREES * DEPTH):
-        v = low * FACTORS[i] + ADDS[i]
+    out = np.empty((len(there), len(factors)), np.uint32)
+    for i in range(len(factors)):
+        v = low * factors[i] + adds[i]
         v ^= v >> np.uint32(15)
         v *= np.uint32(0x2C1B3C6D)
         out[:, i] = np.minimum.reduceat(v, first) if len(first) else 0
     return out, there
 
 
+def node_hashes(by_tree: np.ndarray) -> np.ndarray:
+    """A node for each row and tree, of minima (rows x trees x matched prefix)."""
+    rows, trees, prefix = by_tree.shape
+    node = np.zeros((rows, trees), U) + (np.arange(trees, dtype=U) + U(1))[None, :]
+    for j in range(prefix):
+        node = node * STEP + by_tree[:, :, j].astype(U)
+    return mixed(node.ravel()).astype(np.int64).reshape(node.shape)
+
+
 def profiles(docs: DataFrame, prefix: int) -> DataFrame:
     """(doc_id, key, nodes, sketch) of every row: class of its words, its node in each tree at the
     matched prefix, and four bits of each minimum hash in the order of the trees."""
@@ -103,13 +127,9 @@ def profiles(docs: DataFrame, prefix: int) -> DataFrame:
                 keys = class_keys(words, row, hi - lo)
                 h, at, _ = shingles(words, row, hi - lo, SHINGLE)
                 sig, there = signatures(h, at, hi - lo)
-                by_tree = sig.reshape(len(there), TREES, DEPTH)
-                node = np.zeros((len(there), TREES), U) + (np.arange(TREES, dtype=U) + U(1))[None, :]
-                for j in range(prefix):
-                    node = node * STEP + by_tree[:, :, j].astype(U)
+                node = node_hashes(sig.reshape(len(there), TREES, DEPTH)[:, :, :prefix])
                 nibbles = (sig & np.uint32(15)).astype(np.uint8)  # minima are small: their high bits say nothing
                 sketch = nibbles[:, 0::2] << 4 | nibbles[:, 1::2]
-                node = mixed(node.ravel()).astype(np.int64).reshape(node.shape)
                 place = np.full(hi - lo, -1)
                 place[there] = np.arange(len(there))
                 yield pa.RecordBatch.from_arrays([
@@ -150,9 +170,11 @@ def unnibbled(sketches: list[bytes]) -> np.ndarray:
     return np.stack([packed >> 4, packed & 15], 2).reshape(len(sketches), -1)
 
 
-def family_edges(classes: DataFrame) -> DataFrame:
-    """Stars (a, b) of the families under every node. A node's members come sorted by signature;
-    more than ``RUN`` of them are compared run by run, each with some of those before it."""
+def stars(nodes: DataFrame, whole: bool) -> DataFrame:
+    """Stars (a, b) of the families under every node of (node, key, sketch). ``whole``: each node's
+    members are compared with all others, in one task. Else they come sorted by signature, and more
+    than ``RUN`` of them are compared run by run, each with some of those before it."""
+    most, led = 1 << 60 if whole else RUN, LEADERS
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, marks, leaders = None, [], [], 0
@@ -164,8 +186,8 @@ def family_edges(classes: DataFrame) -> DataFrame:
                 root = joined_stars(unnibbled(marks), LOOSE)
                 out = [(keys[i], keys[r]) for i, r in enumerate(root) if i != r]
                 if not last:  # one member of each family, then others, stand for this run in the next
-                    heads = np.unique(root)[:LEADERS]
-                    more = np.linspace(0, len(keys) - 1, LEADERS - len(heads)).astype(int) if len(heads) < LEADERS else []
+                    heads = np.unique(root)[:led]
+                    more = np.linspace(0, len(keys) - 1, led - len(heads)).astype(int) if len(heads) < led else []
                     stay = sorted({*heads.tolist(), *more})
                     keys, marks, leaders = [keys[i] for i in stay], [marks[i] for i in stay], len(stay)
             if last:
@@ -181,11 +203,11 @@ def family_edges(classes: DataFrame) -> DataFrame:
                     out += close(True)
                     now = node[lo]
                 while lo < hi:
-                    step = min(hi, lo + RUN + leaders - len(keys))
+                    step = min(hi, lo + most + leaders - len(keys))
                     keys += key.slice(lo, step - lo).to_pylist()
                     marks += mark.slice(lo, step - lo).to_pylist()
                     lo = step
-                    if len(keys) >= RUN + leaders:
+                    if len(keys) >= most + leaders:
                         out += close(False)
             yield star_batch(out)
         yield star_batch(close(True))
@@ -193,8 +215,79 @@ def family_edges(classes: DataFrame) -> DataFrame:
     def star_batch(out):
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
 
-    nodes = classes.select(F.explode("nodes").alias("node"), "key", "sketch")
-    return nodes.repartitionByRange("node", "sketch").sortWithinPartitions("node", "sketch").mapInArrow(join, "a binary, b binary")
+    dealt = nodes.repartition("node").sortWithinPartitions("node") if whole else nodes.repartitionByRange("node", "sketch").sortWithinPartitions("node", "sketch")
+    return dealt.mapInArrow(join, "a binary, b binary")
+
+
+def exploded(classes: DataFrame) -> DataFrame:
+    return classes.select(F.explode("nodes").alias("node"), "key", "sketch")
+
+
+def crowded(nodes: DataFrame) -> DataFrame:
+    """(node, crowd) of the nodes with more than ``RUN`` members: at most one row for so many."""
+    return stored(nodes.groupBy("node").agg(F.count("*").alias("crowd")).where(F.col("crowd") > RUN))
+
+
+def further_nodes(members: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(key, nodes, sketch) in the further forest, of (key, sketch, packed)."""
+    rng = np.random.default_rng(20250311)
+    factors = rng.integers(1, 1 << 32, trees * depth, dtype=np.uint32) | np.uint32(1)
+    adds = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, part in unpacked(batch["packed"]):
+                words, row = hashed_words(part)
+                h, at, _ = shingles(words, row, hi - lo, SHINGLE)
+                sig, there = signatures(h, at, hi - lo, factors, adds)
+                nodes = node_hashes(sig.reshape(len(there), trees, depth))
+                where = pa.array(there)
+                yield pa.RecordBatch.from_arrays([
+                    batch["key"].slice(lo, hi - lo).take(where), pa.array(list(nodes), pa.list_(pa.int64())),
+                    batch["sketch"].slice(lo, hi - lo).take(where)], ["key", "nodes", "sketch"])
+
+    return members.mapInArrow(profile, "key binary, nodes array<long>, sketch binary")
+
+
+def paired_blocks(nodes: DataFrame) -> DataFrame:
+    """(node, key, sketch) of crowded nodes, given with each member's family so far (root): each
+    member once for every block that its own is compared with, under a node for that pair."""
+    half = max(1, RUN // 2)
+    counts = nodes.groupBy("node", "root").agg(F.count("*").alias("n"))
+    sizes = (counts.groupBy("node").agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"))
+             .where("all > largest.n")
+             .select("node", F.col("largest.root").alias("largest"), F.ceil(F.col("largest.n") / half).alias("n_a"), F.ceil((F.col("all") - F.col("largest.n")) / half).alias("n_b")))
+    inside = F.col("root") == F.col("largest")
+    spread = F.xxhash64("key")
+    block = F.when(inside, F.pmod(spread, F.col("n_a"))).otherwise(F.col("n_a") + F.pmod(spread, F.col("n_b")))
+    other = F.explode(F.sequence(F.when(inside, F.col("n_a")).otherwise(F.lit(0)), F.col("n_a") + F.col("n_b") - 1)).alias("other")
+    return (nodes.join(F.broadcast(stored(sizes)), "node").withColumn("block", block).select("*", other).where("block != other")
+            .select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "key", "sketch"))
+
+
+def family_edges(texts: DataFrame, classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Stars (a, b) of the families over all nodes of both forests."""
+    nodes = exploded(classes)
+    crowds = crowded(nodes)
+    if crowds.isEmpty():
+        return stars(nodes, True)
+    # hints: a join dealt by node would bring a crowded one to one task
+    found = stored(stars(nodes.join(F.broadcast(crowds), "node", "left_anti"), True)
+                   .union(stars(nodes.join(F.broadcast(crowds), "node", "left_semi"), False)))
+    again = stored(nodes.join(F.broadcast(crowds), "node", "left_semi").select("key").distinct())
+    members = classes.join(again, "key").select("doc_id", "key", "sketch")
+    held = with_key(packed_texts(texts).join(stored(members), "doc_id")).where("own_key = key").dropDuplicates(["key"])
+    further = stored(further_nodes(held.select("key", "sketch", "packed"), *further_forest(threshold, recall)))
+    nodes = exploded(further)
+    crowds = crowded(nodes)
+    edges = found.union(stars(nodes.join(F.broadcast(crowds), "node", "left_anti"), True))
+    if crowds.isEmpty():
+        return edges
+    edges = stored(edges)
+    roots = components(edges).select(F.col("node").alias("key"), "root")
+    rooted = further.join(roots, "key", "left").select("key", "nodes", "sketch", F.coalesce("root", "key").alias("root"))
+    full = stored(rooted.select(F.explode("nodes").alias("node"), "key", "sketch", "root").join(F.broadcast(crowds), "node", "left_semi"))
+    return edges.union(stars(paired_blocks(full), True))
 
 
 def verified(members: DataFrame, threshold: float) -> DataFrame:
@@ -304,7 +397,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     part = known.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(part.groupBy("key").agg(F.min(F.struct("doc_id", "nodes", "sketch")).alias("r"), F.count("*").alias("copies"))
                      .select("key", "copies", "r.*"))
-    families = components(family_edges(classes))
+    families = components(family_edges(texts, classes, threshold, recall))
     sizes = families.groupBy("root").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     members = (classes.select("key", "copies", "doc_id").join(families.select(F.col("node").alias("key"), "root"), "key").join(sizes, "root")

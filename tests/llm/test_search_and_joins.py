@@ -66,6 +66,50 @@ def test_a_group_of_several_blocks_loses_no_link(spark, make_docs, monkeypatch):
         assert all(got[i]["class_id"] == got[j]["class_id"] for j in x)
 
 
+def crowded_pairs(seed):
+    """Pairs at a little over the threshold, of paragraphs that many documents share: at most three of
+    six with any other pair, so that nodes are crowded and no family joins the pairs."""
+    r = random.Random(seed)
+    paragraphs = [[f"p{i}w{j}" for j in range(40)] for i in range(16)]
+    chosen = []
+    for _ in range(4000):
+        c = frozenset(r.sample(range(16), 6))
+        if all(len(c & d) <= 3 for d in chosen):
+            chosen.append(c)
+    rows = []
+    for n, c in enumerate(chosen):
+        text = [w for i in sorted(c) for w in paragraphs[i]]
+        rows.append((2 * n, " ".join(text)))
+        for k in range(5):
+            text[20 + 45 * k] = f"x{n}y{k}"
+        rows.append((2 * n + 1, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("further_trees", [64, 1])
+def test_crowded_nodes_lose_no_pair(spark, make_docs, monkeypatch, further_trees):
+    import nextcover.llm.jaccard_join as module
+
+    monkeypatch.setattr(module, "RUN", 2)
+    monkeypatch.setattr(module, "LEADERS", 1)
+    monkeypatch.setattr(module, "FURTHER_TREES", further_trees, raising=False)
+    monkeypatch.setattr(module, "prefix_length", lambda *_: 0)  # every document under every node
+    rows = crowded_pairs(5)
+    links = brute_links(rows)
+    assert sum(map(len, links.values())) >= len(rows) > 60
+    got = {r["doc_id"]: r["n_links"] for r in near_duplicates(make_docs(rows)).collect()}
+    assert got == {i: len(x) for i, x in links.items()}
+
+
+def test_both_forests_together_keep_the_recall():
+    from nextcover.llm.jaccard_join import FURTHER_TREES, further_forest
+
+    for threshold in (0.5, 0.8, 0.9):
+        trees, depth = further_forest(threshold, RECALL)
+        first = (1 - threshold ** prefix_length(TREES, DEPTH, threshold, RECALL)) ** TREES
+        assert trees <= FURTHER_TREES and first + (1 - threshold ** depth) ** trees <= max(1 - RECALL, first + 1 - RECALL if first >= 1 - RECALL else 0)
+
+
 def test_join_with_nulls_short_texts_and_ties(spark, make_docs):
     rows = [(1, None), (2, ""), (3, "!!!"), (4, "a b"), (5, "A, b."), (6, "a b c"), (7, "x " * 50000), (7, "x " * 50000), (None, "a b"), (8, "é É é")]
     got = sorted((tuple(r) for r in near_duplicates(make_docs(rows)).collect()), key=repr)
