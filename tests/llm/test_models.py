@@ -56,6 +56,23 @@ def test_continuation_counts_are_of_different_words(spark, make_docs):
     assert got == [(0, 1, 1), (1, 0, 1), (2, 0, 2), (2, 1, 3)]
 
 
+def test_rows_beyond_the_curve_sample_are_counted(spark, make_docs, monkeypatch):
+    import nextcover.llm.toxicity as module
+
+    seen = []
+
+    def counted(labelled):
+        seen.extend(r["doc_id"] for r in labelled.select("doc_id").collect())
+        return continuation_counts(labelled)
+
+    monkeypatch.setattr(module, "CURVE_ROWS", 3)
+    monkeypatch.setattr(module, "continuation_counts", counted)
+    docs = make_docs([(i, "calm text of day" if i % 2 else "loud noise here") for i in range(60)])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert len(module.toxicity_scores(docs, labels, F.lit(True)).collect()) == 60
+    assert len(seen) == len(set(seen)) == 57
+
+
 def test_logistic_curve_separates():
     x = np.array([[0.0], [1.0], [2.0], [3.0]])
     w = logistic_curve(x, np.array([0, 0, 1, 1.0]))
