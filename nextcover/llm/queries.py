@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from nextcover.llm import oracles
 from nextcover.llm.common import small_batches
 from nextcover.llm.decontamination import contaminated
+from nextcover.llm.divergence import divergence
+from nextcover.llm.filter_audit import filter_audit
 from nextcover.llm.jaccard_join import near_duplicates
 from nextcover.llm.licenses import license_scan
+from nextcover.llm.line_dedup import line_digests
 from nextcover.llm.packing import packed
 from nextcover.llm.quality import quality_scores
 from nextcover.llm.records import token_records
@@ -97,4 +100,19 @@ def op10_toxicity(spark, table):
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op11_source_divergence(spark, table):
+    return divergence(table("documents"))
+
+
+@query
+def op12_filter_audit(spark, table):
+    return filter_audit(table("documents"), table("labels"))
+
+
+@query
+def op13_line_runs(spark, table):
+    return line_digests(table("documents"))
+
+
 ORACLES: dict[str, str] = oracles.SQL
