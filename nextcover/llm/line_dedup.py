@@ -151,7 +151,8 @@ def without_repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_
 
     lost = (lines.join(repeated, "hash").where(F.col("doc") != F.col("last"))
             .groupBy("doc", "text_hash").agg(F.collect_set("place").alias("lost")))
-    found = rows.join(stored(lost), ["doc", "text_hash"], "left")
+    # one plan at every size: a small table of lost lines would be sent to all tasks, a large one not
+    found = rows.join(stored(lost).hint("merge"), ["doc", "text_hash"], "left")
 
     def rest(parts: Column) -> Column:
         places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("lost"))
