@@ -1,15 +1,15 @@
 """Ordered work inside a key (row numbers, neighbours, histories) that survives hot keys.
 
-A plain window sends all rows of a key to one task. Here every key that holds more than its share
-of the rows is cut into slices of the ordering; each slice is its own window, and what crosses a
-slice border (rows before it, the neighbour behind it) comes from a small frame with one row per
-hot key and slice. All other keys have a single slice and take the ordinary one-shuffle window.
-
-A key is hot when it has more rows than ``floor`` and than one ``TASK_SHARE``-th of all rows, so
-there are fewer than ``TASK_SHARE`` hot keys, whatever the data, and none is left out. Their slices
-are cut at sampled values of the whole ordering, about as many as give each slice that many rows:
-at most twice ``TASK_SHARE`` in all. Both numbers bound the broadcast. The sample is a function of
-the values (a hash), so every use of the slices agrees, on any cluster and after any loss.
+A plain window sends all rows of a key to one task. Here the rows are cut into ranges of the whole
+ordering, key first, as a range partitioning does: no key is counted and none is special. The cuts
+are rows of the table, about one in ``floor`` by a hash of their key and order, thinned evenly to
+``MOST_SLICES``; both numbers bound what is sent to every task. Each (key, slice) is a window of
+its own. A key whose rows lie on both sides of a cut continues over it: what crosses (the rows
+before, the neighbour behind) comes from a frame of a row per such key and slice, two per slice at
+most. A table without enough rows for a cut has the ordinary one-shuffle window.
+
+The cuts are a function of the values, so every use of them agrees, on any cluster, at any number
+of partitions and after any loss.
 """
 
 from __future__ import annotations
@@ -18,38 +18,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TASK_SHARE = 10_000
+MOST_SLICES = 10_000
 HOT_FLOOR = 1_000_000
 CHUNK_ROWS = 100_000
+SEARCH_STEPS = [1 << i for i in reversed(range(14))]
 
 
 def hot_keys(df: DataFrame, key: str, floor: int = HOT_FLOOR) -> DataFrame:
-    """Keys with more rows than one task should sort, with their rows and that limit."""
+    """Keys with more rows than one task should join, with their rows and that limit."""
     counts = df.select(key).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     limit = F.greatest(F.lit(floor), F.coalesce(counts.agg(F.sum("_rows")).scalar(), F.lit(0)) / TASK_SHARE)
     return counts.withColumn("_limit", limit).filter(F.col("_rows") > F.col("_limit"))
 
 
-def hot_slices(df: DataFrame, key: str, order: list[str], floor: int = HOT_FLOOR) -> DataFrame:
-    """Per hot key the sorted values of the ordering at which its slices begin, and every
-    ``_width``-th of them, by which a row finds its slice in two short scans."""
-    hot = F.broadcast(hot_keys(df, key, floor))
-    parts = F.ceil(F.col("_rows") / F.col("_limit"))
-    chosen = F.pmod(F.xxhash64(*order), F.greatest(F.floor(F.col("_rows") / parts), F.lit(1))) == 0
-    begins = df.select(key, *order).join(hot, key).filter(chosen).groupBy(key).agg(F.collect_list(F.struct(*order)).alias("_begins"))
-    out = hot.join(F.broadcast(begins), key, "left").select(
-        key, F.array_sort(F.coalesce("_begins", F.array().cast(begins.schema["_begins"].dataType))).alias("_begins"))
-    out = out.withColumn("_width", F.greatest(F.ceil(F.sqrt(F.size("_begins"))), F.lit(1)).cast("int"))
-    return out.withColumn("_heads", F.filter("_begins", lambda x, i: i % F.col("_width") == 0))
+def cuts(df: DataFrame, order: list[str], floor: int = HOT_FLOOR, also: list[str] | None = None) -> Column:
+    """Rows of the ordering at which its slices begin, in order, as one scalar subquery. ``also``
+    names further columns that the choice is made by; with an aggregate's result among them it is
+    made behind the aggregate, which Spark then computes once for the cuts and the rows."""
+    row, seen = F.struct(*order), [*order, *(also or [])]
+    chosen = df.select(*seen).filter(F.pmod(F.xxhash64(*seen), F.lit(max(floor, 1))) == 0)
+    found = chosen.agg(F.array_sort(F.collect_list(row)).alias("_found"))
+    each = F.greatest(F.ceil(F.size("_found") / MOST_SLICES), F.lit(1))
+    return found.select(F.filter("_found", lambda x, i: i % each == 0)).scalar()
+
+
+def place(cuts_: Column, order: list[str]) -> Column:
+    """How many cuts are not beyond a row, by binary search."""
+    def step(found: Column, width: Column) -> Column:
+        return found + F.when(F.get(cuts_, found + width - 1) <= F.struct(*order), width).otherwise(0)
+
+    steps = F.filter(F.array(*map(F.lit, SEARCH_STEPS)), lambda width: width <= F.size(cuts_))
+    return F.when(F.size(cuts_) == 0, 0).otherwise(F.aggregate(steps, F.lit(0), step))
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed, and planned, once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def sliced(df: DataFrame, key: str, order: list[str], floor: int = HOT_FLOOR) -> DataFrame:
-    """Rows with ``_slice``: null in keys that aren't hot, else a number that rises with the order."""
-    row = F.struct(*order)
-    group = F.size(F.filter("_heads", lambda x: x <= row))
-    inside = F.size(F.filter(F.slice("_begins", (group - 1) * F.col("_width") + 1, F.col("_width")), lambda x: x <= row))
-    number = F.when(group == 0, 0).otherwise((group - 1) * F.col("_width") + inside)
-    return (df.join(F.broadcast(hot_slices(df, key, order, floor)), key, "left")
-            .withColumn("_slice", F.when(F.col("_begins").isNotNull(), number)).drop("_begins", "_width", "_heads"))
+    """Rows with ``_slice``, a number that rises with (key, order), and ``_crosses``: the key may
+    have rows in a slice beside this one."""
+    whole = list(dict.fromkeys([key, *order]))
+
+    def placed(c: Column) -> Column:
+        def beside(at: Column) -> Column:
+            same = [F.get(c, at - back)[key].eqNullSafe(F.col(key)) for back in (1, 0)]
+            return F.struct(at.alias("_slice"), ((F.size(c) > 0) & (same[0] | same[1])).alias("_crosses"))
+
+        return bound(place(c, whole), beside)
+
+    with_cuts = df.withColumn("_cuts", cuts(df, whole, floor))
+    return with_cuts.withColumn("_placed", bound(F.col("_cuts"), placed)).select("*", "_placed.*").drop("_placed", "_cuts")
+
+
+def with_borders(local: DataFrame, borders: DataFrame, key: str) -> DataFrame:
+    """Rows with what their slice takes over from others. ``borders`` has two rows per slice at
+    most, one for each key that continues over its cuts; null is a key like others."""
+    names = {key: "_border_key", "_slice": "_border_slice"}
+    right = F.broadcast(borders.withColumnsRenamed(names))
+    same = (F.col("_slice") == F.col("_border_slice")) & F.col(key).eqNullSafe(F.col("_border_key"))
+    return local.join(right, same, "left").drop(*names.values())
 
 
 def _directed(columns: list[str], descending: bool) -> list[Column]:
@@ -80,9 +109,9 @@ def with_order(
         columns["_ahead"] = F.lead(F.struct(*ahead)).over(per_slice)
     if behind:
         columns["_behind"] = F.lag(F.struct(*behind)).over(per_slice)
-    local = tagged.withColumns(columns)
+    local = tagged.drop("_crosses").withColumns(columns)
 
-    # one row per hot key and slice: size, first row and last row
+    # one row per slice and key that continues: size, first row and last row
     lowest, highest = (F.max, F.min) if descending else (F.min, F.max)
     payload = list(dict.fromkeys([*(ahead or {}), *(behind or {})]))
     whole_row = F.struct(*order, F.struct(*payload).alias("_values")) if payload else None
@@ -91,7 +120,7 @@ def with_order(
         aggs.append(lowest(whole_row)["_values"].alias("_first"))
     if behind:
         aggs.append(highest(whole_row)["_values"].alias("_last"))
-    slices = tagged.filter(F.col("_slice").isNotNull()).groupBy(key, "_slice").agg(*aggs)
+    slices = tagged.filter("_crosses").groupBy(key, "_slice").agg(*aggs)
     across = Window.partitionBy(key).orderBy(*_directed(["_slice"], descending))
     borders = [F.col(key), F.col("_slice")]
     if number:
@@ -101,7 +130,7 @@ def with_order(
         borders.append(F.lead("_first").over(across).alias("_after_border"))
     if behind:
         borders.append(F.lag("_last").over(across).alias("_before_border"))
-    joined = local.join(slices.select(*borders), [key, "_slice"], "left")
+    joined = with_borders(local, slices.select(*borders), key)
 
     out: dict[str, Column] = {}
     if number:
@@ -161,23 +190,25 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first_by(df, keys, [F.col(c).desc() for c in order])
 
 
-def join_by_key(df: DataFrame, right: DataFrame, key: str, how: str = "inner", floor: int = HOT_FLOOR, salts: int = 256,
+def join_by_key(df: DataFrame, right: DataFrame, key: str, how: str = "inner", floor: int = HOT_FLOOR,
                 rows: str | None = None) -> DataFrame:
-    """Join with a frame of one row per key, in which hot keys are spread over ``salts`` tasks and
-    the other side's row of such a key is repeated for each of them. AQE can't split the join of
-    rows with an aggregate, so this does it. ``rows`` names a column of ``right`` that counts the
-    key's rows in ``df``, where there is one."""
+    """Join with a frame of one row per key, in which hot keys are spread over as many tasks as
+    their rows ask for and the other side's row of such a key is repeated for each of them. AQE
+    can't split the join of rows with an aggregate, so this does it. ``rows`` names a column of
+    ``right`` that counts the key's rows in ``df``, where there is one."""
     if rows:
         limit = F.greatest(F.lit(floor), F.coalesce(right.agg(F.sum(rows)).scalar(), F.lit(0)) / TASK_SHARE)
-        hot = right.filter(F.col(rows) > limit).select(key)
+        hot = right.select(key, F.col(rows).alias("_rows"), limit.alias("_limit")).filter("_rows > _limit")
     else:
-        hot = hot_keys(df, key, floor).select(key)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # fewer than TASK_SHARE keys
+        hot = hot_keys(df, key, floor)
+    # fewer than TASK_SHARE keys, and twice as many salts of all of them
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("_rows") / F.greatest("_limit", F.lit(1))).cast("long").alias("_salts")))
     plain = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
-    salted = df.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(salts))).otherwise(0)).drop("_hot")
-    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    spread = right.join(hot, key, "left").withColumn("_salt", F.explode(each)).withColumn("_salt", F.col("_salt").cast("long")).drop("_hot")
-    return salted.withColumn("_salt", F.col("_salt").cast("long")).join(spread, [key, "_salt"], how).drop("_salt")
+    own = F.coalesce(F.pmod(F.xxhash64(*plain), "_salts"), F.lit(0))
+    salted = df.join(hot, key, "left").withColumn("_salt", own.cast("long")).drop("_salts")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))
+    spread = right.join(hot, key, "left").withColumn("_salt", each).drop("_salts")
+    return salted.join(spread, [key, "_salt"], how).drop("_salt")
 
 
 def with_totals(df: DataFrame, key: str, totals: dict[str, Column], floor: int = HOT_FLOOR) -> DataFrame:

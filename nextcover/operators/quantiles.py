@@ -1,10 +1,11 @@
 """Exact ranks and exact quantiles without a single-task sort.
 
 Rows are first counted per distinct value, which also folds a value that a third of the rows
-share into one row. The distinct values are cut into slices by a fixed function that rises with
-the value, finer than a two-thousandth of the value wherever it lies; they are numbered inside
-each slice and shifted by the number of rows in lower slices. Nothing is estimated, so every use
-of the slices agrees, and heavy tails get as many slices as the middle.
+share into one row. The distinct values of all groups are cut into slices at values of their own,
+about one in ``SLICE_VALUES`` by hash (see ``ordered.cuts``); they are numbered inside each slice
+and shifted by the number of rows in their group's lower slices. So slices hold about equally many
+values wherever these lie: heavy tails, or a million values within a thousandth of each other. The
+cuts are a function of the values; nothing is estimated and every use of the slices agrees.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: slices for each factor e of the value
-PER_FACTOR = 2000
-#: below this a value counts as near zero; slices are of equal width there
-NEAR_ZERO = 1e-30
+from nextcover.operators.ordered import bound, cuts, place
+
+#: distinct values that one task numbers
+SLICE_VALUES = 100_000
 
 
 def with_fitted(df: DataFrame, fitted: DataFrame, name: str = "_fit") -> DataFrame:
@@ -44,18 +45,20 @@ def unpivoted(df: DataFrame, columns: list[str], keep: list[str] | None = None,
     )
 
 
-def slice_of(value: str) -> Column:
-    """A whole number that rises with the value (NaN is the largest)."""
-    v = F.col(value).cast("double")
-    place = F.signum(v) * F.log1p(F.abs(v) / NEAR_ZERO) * PER_FACTOR
-    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).otherwise(F.floor(place)).cast("long")
+def value_slices(df: DataFrame, groups: list[str], value: str, slice_values: int = SLICE_VALUES) -> DataFrame:
+    """Distinct values of each group with ``n`` rows and ``_slice``, a number that rises with
+    (group, value); nulls are left out, NaN is the largest."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    order = [*groups, value]
+    with_cuts = counts.withColumn("_cuts", cuts(counts, order, slice_values, also=["n"]))
+    return with_cuts.withColumn("_slice", bound(F.col("_cuts"), lambda c: place(c, order))).drop("_cuts")
 
 
-def value_ranks(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+def value_ranks(df: DataFrame, groups: list[str], value: str, slice_values: int = SLICE_VALUES) -> DataFrame:
     """Per distinct value of each group: ``n`` rows, ``before`` rows with a smaller value,
     ``total`` rows.
     """
-    sliced = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_slice", slice_of(value))
+    sliced = value_slices(df, groups, value, slice_values)
     sizes = sliced.groupBy(*groups, "_slice").agg(F.sum("n").alias("_size"))
     lower = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*groups, "_slice", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_shift"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nextcover.operators.ordered import HOT_FLOOR, first_by, join_by_key, sliced, with_order, with_recent
+from nextcover.operators.ordered import HOT_FLOOR, first_by, join_by_key, sliced, with_borders, with_order, with_recent
 from nextcover.operators.policies import ORDER
 
 PART_ROWS = 10_000
@@ -56,26 +56,26 @@ def collapsed_sequences(events_: DataFrame, party: str = "party_id", part_rows:
 
 def collapse_repeats(df: DataFrame, party: str = "party_id", order: list[str] | None = None,
                      value: str = "value", floor: int = HOT_FLOOR) -> DataFrame:
-    """Events without consecutive repeats, renumbered from 1.
+    """Events without consecutive repeats, renumbered from 1. Null is a value like others.
 
-    Same slicing of hot clients as ``with_order``: a slice numbers its own changes, and the
-    first change of a slice is dropped when it repeats the last value of the slice before.
+    Same slices as ``with_order``: a slice numbers its own changes, and the first change of a
+    slice is dropped when it repeats the client's last value in the slice before.
     """
     order = order or ORDER
     tagged = sliced(df, party, order, floor)
     inside = Window.partitionBy(party, "_slice").orderBy(*order)
-    before = F.lag(value).over(inside)
+    before = F.lag(F.struct(F.col(value))).over(inside)  # null where there is no row before
     local = (
-        tagged.withColumn("_change", F.when(before.isNull() | (before != F.col(value)), 1).otherwise(0))
+        tagged.withColumn("_change", F.when(before.eqNullSafe(F.struct(F.col(value))), 0).otherwise(1))
         .withColumn("_local", F.sum("_change").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    row = F.struct(*order, value)
+    row = F.struct(*order, F.struct(F.col(value)).alias("_held"))
     slices = (
-        local.filter(F.col("_slice").isNotNull()).groupBy(party, "_slice")
-        .agg(F.sum("_change").alias("_changes"), F.min(row)[value].alias("_first"), F.max(row)[value].alias("_last"))
+        local.filter("_crosses").groupBy(party, "_slice")
+        .agg(F.sum("_change").alias("_changes"), F.min(row)["_held"].alias("_first"), F.max(row)["_held"].alias("_last"))
     )
     across = Window.partitionBy(party).orderBy("_slice")
-    repeats = F.coalesce((F.col("_first") == F.lag("_last").over(across)).cast("int"), F.lit(0))
+    repeats = F.col("_first").eqNullSafe(F.lag("_last").over(across)).cast("int")
     borders = (
         slices.withColumn("_repeats", repeats)
         .withColumn("_end", F.sum(F.col("_changes") - F.col("_repeats")).over(across.rowsBetween(Window.unboundedPreceding, 0)))
@@ -83,7 +83,7 @@ def collapse_repeats(df: DataFrame, party: str = "party_id", order: list[str] |
     )
     dropped = (F.col("_local") == 1) & (F.coalesce(F.col("_repeats"), F.lit(0)) == 1)
     return (
-        local.join(borders, [party, "_slice"], "left")
+        with_borders(local.drop("_crosses"), borders, party)
         .filter((F.col("_change") == 1) & ~dropped)
         .withColumn("position", (F.col("_local") + F.coalesce(F.col("_shift"), F.lit(0))).cast("long"))
         .drop("_slice", "_change", "_local", "_repeats", "_shift")

@@ -1,6 +1,7 @@
 """Hot keys, chunk borders and exact ranks give the same rows as plain windows."""
 
 import random
+import re
 from datetime import date, timedelta
 
 import pytest
@@ -51,7 +52,7 @@ def test_every_key_above_its_share_is_hot(skewed, monkeypatch):
 
 def test_slices_cut_one_day_of_one_prefix(spark, monkeypatch):
     """All rows of a client on one day, with policy numbers that share a long prefix."""
-    monkeypatch.setattr(ordered, "TASK_SHARE", 20)
+    monkeypatch.setattr(ordered, "MOST_SLICES", 20)
     df = spark.range(4000).selectExpr("'big' AS party_id", "DATE '2000-01-01' AS register_date", "concat('0000000', lpad(CAST(id AS STRING), 6, '0')) AS policy_no")
     cut = ordered.sliced(df, "party_id", ORDER, floor=10)
     sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
@@ -144,7 +145,27 @@ def test_exact_ranks_of_heavy_tails(spark):
     want = df.select("v", (F.rank().over(w) - 1).cast("long").alias("before")).distinct()
     assert rows(got, "v", "before") == rows(want, "v", "before")
     assert "percentile_approx" not in got._jdf.queryExecution().executedPlan().toString()
-    assert got.withColumn("s", quantiles.slice_of("v")).groupBy("s").count().agg(F.max("count")).first()[0] < 50
+    sliced = quantiles.value_slices(df, ["g"], "v", slice_values=10)
+    assert sliced.groupBy("_slice").count().agg(F.max("count")).first()[0] < 100
+    assert rows(quantiles.value_ranks(df, ["g"], "v", slice_values=10), "v", "before") == rows(want, "v", "before")
+
+
+@pytest.mark.parametrize("slice_values", [1, 300, 10**9])
+def test_exact_ranks_of_a_narrow_range(spark, slice_values):
+    """Distinct values within a thousandth of each other are spread over slices all the same."""
+    df = spark.range(6000).selectExpr("1.7e9D + id AS v", "IF(id < 5000, 'a', 'b') AS g").repartition(7)
+    slices = quantiles.value_slices(df, ["g"], "v", 300).groupBy("_slice").count()
+    assert slices.count() > 10 and slices.agg(F.max("count")).first()[0] < 3000
+    got = quantiles.value_ranks(df, ["g"], "v", slice_values)
+    assert rows(got, "g", "v", "before", "total") == sorted(
+        [("a", 1.7e9 + i, i, 5000) for i in range(5000)] + [("b", 1.7e9 + i, i - 5000, 1000) for i in range(5000, 6000)], key=repr)
+
+
+def test_ranks_of_nan_null_and_signed_zero(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(x,) for x in (nan, None, inf, -inf, 0.0, -0.0, 5e-324, -1.0, nan)], "v double").withColumn("g", F.lit(None).cast("string"))
+    got = [(repr(r["v"]), r["before"], r["total"]) for r in quantiles.value_ranks(df.fillna("x", ["g"]), ["g"], "v", 1).orderBy("before").collect()]
+    assert got == [("-inf", 0, 8), ("-1.0", 1, 8), ("0.0", 2, 8), ("5e-324", 4, 8), ("inf", 5, 8), ("nan", 6, 8)]
 
 
 def test_ranks_with_ties_and_constant_deciles(spark):
@@ -162,3 +183,44 @@ def test_order_and_partitions_do_not_matter(skewed):
     a = ordered.with_order(skewed, "party_id", ORDER, number="n", floor=100)
     b = ordered.with_order(skewed.orderBy(F.desc("policy_no")).repartition(3), "party_id", ORDER, number="n", floor=100)
     assert rows(a, "policy_no", "n") == rows(b, "policy_no", "n")
+
+
+@pytest.mark.parametrize("floor", [10**9, 3, 1])
+def test_null_keys_and_null_values_are_like_others(spark, floor):
+    data = [(k, date(2000, 1, 1 + i), f"p{i}", v) for k in ("a", None, "b") for i, v in enumerate(["A", None, "A", None, None, "B", "B", None, "B"])]
+    df = spark.createDataFrame(data, "party_id string, register_date date, policy_no string, value string").repartition(5)
+    got = collapse_repeats(df, floor=floor).orderBy("party_id", "position").collect()
+    for k in ("a", None, "b"):
+        assert [r["value"] for r in got if r["party_id"] == k] == ["A", None, "A", None, "B", None, "B"]
+        assert [r["position"] for r in got if r["party_id"] == k] == list(range(1, 8))
+    numbered = ordered.with_order(df, "party_id", ORDER, number="n", behind={"value": "last", "policy_no": "last_policy"}, floor=floor).orderBy("party_id", "n").collect()
+    for k in ("a", None, "b"):
+        own = [r for r in numbered if r["party_id"] == k]
+        assert [r["n"] for r in own] == list(range(1, 10))
+        assert [r["last"] for r in own] == [None, *[r["value"] for r in own[:-1]]]
+        assert [r["last_policy"] for r in own] == [None, *[r["policy_no"] for r in own[:-1]]]
+
+
+def test_the_input_is_read_three_times(spark, tmp_path):
+    """For the cuts (planned for each use, run once), the rows and what crosses the cuts."""
+    spark.range(50).selectExpr("CAST(id % 3 AS STRING) AS party_id", "id AS policy_no", "current_date() AS register_date").write.parquet(str(tmp_path / "t"))
+    df = ordered.with_order(spark.read.parquet(str(tmp_path / "t")), "party_id", ORDER, number="n", ahead={"policy_no": "following"})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 6
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(set(re.findall(r"Subquery subquery#(\d+)", final))) <= 1
+
+
+def test_salts_follow_the_rows_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_SHARE", 100)
+    df = spark.range(40_000).selectExpr("IF(id % 10 < 9, 'big', concat('c', id)) AS party_id", "id AS score")
+    right = df.groupBy("party_id").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ordered.join_by_key(df, right, "party_id", floor=1, rows="n")
+        assert got.filter("party_id = 'big'").agg(F.min("n"), F.count("*")).first() == (36_000, 36_000)
+        hot = right.filter("n > 400").select(F.ceil(F.col("n") / 400))
+        assert hot.first()[0] == 90
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
