@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nextcover.operators.ordered import first_by
+from nextcover.session import setting
+
 
 def replace_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
                   merge_schema: bool = False) -> None:
     """Replace a table, or with ``partition_by`` only the partitions that occur in ``df``.
 
-    ``merge_schema`` keeps columns of the existing table that ``df`` lacks, as nulls, and
+    Whether other partitions stay is up to this function, whatever the session's overwrite mode:
+    Spark reads the mode of an insert from the session and not from the write's options, so it is
+    set for this one statement. ``merge_schema`` keeps columns of the existing table that ``df`` lacks, as nulls, and
     accepts new ones.
     """
     spark = df.sparkSession
@@ -25,8 +31,8 @@ def replace_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
         )
     if partition_by and exists and not merge_schema:
         columns = spark.table(name).columns
-        (df.select(*columns).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True))
+        with setting(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
+            df.select(*columns).write.mode("overwrite").insertInto(name, overwrite=True)
         return
     writer = df.write.mode("overwrite").format("parquet")
     if partition_by:
@@ -41,14 +47,52 @@ def unseen_rows(df: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame
     return df.join(existing.select(*key), key, "left_anti")
 
 
-def append_run(df: DataFrame, name: str, key: list[str]) -> None:
-    """Append a run, one row per key; keys already stored are left out, so a second run adds nothing."""
-    spark, df = df.sparkSession, df.dropDuplicates(key)
-    if spark.catalog.tableExists(name):
-        stored = spark.table(name)
-        unseen_rows(df, stored, key).select(*stored.columns).write.mode("append").insertInto(name)
+def _literal(value: int | str) -> str:
+    if isinstance(value, int):
+        return str(value)
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def _described(spark: SparkSession, name: str, field: str, partition: str = "") -> str | None:
+    """A line of the description: a partition's own comes before its table's."""
+    found = spark.sql(f"DESCRIBE TABLE EXTENDED {name} {partition}").filter(F.col("col_name") == field).select("data_type").collect()
+    return found[0][0] if found else None
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_run(df: DataFrame, name: str, run: str, value: int | str, key: list[str], order: list[Column]) -> None:
+    """Store one run (a month, say) as the partition ``run = value`` of a table, in place of what
+    the table has of that run. Other runs are not touched and not read.
+
+    Of rows with one key the first by ``order`` is kept, so ``order`` must tell them apart. The rows
+    are written to a folder of their own, and only then does the catalogue point the partition at
+    it, in one step: readers see the run before or the whole new one. A write that fails or is
+    killed leaves a folder that nothing refers to, and the same run can simply be written again.
+    """
+    spark = df.sparkSession
+    rows = first_by(df.drop(run), key, order)
+    if not spark.catalog.tableExists(name):
+        empty = spark.createDataFrame([], rows.schema).withColumn(run, F.lit(value))
+        empty.write.format("parquet").partitionBy(run).saveAsTable(name)
+    columns = [c for c in spark.table(name).columns if c != run]
+    folder = f"{_described(spark, name, 'Location').rstrip('/')}/_runs/{uuid.uuid4().hex}"
+    rows.select(*columns).write.parquet(folder)
+
+    partition = f"PARTITION ({run} = {_literal(value)})"
+    before = None
+    if spark.sql(f"SHOW PARTITIONS {name} {partition}").isEmpty():
+        spark.sql(f"ALTER TABLE {name} ADD {partition} LOCATION {_literal(folder)}")
     else:
-        df.write.mode("overwrite").format("parquet").saveAsTable(name)
+        before = _described(spark, name, "Location", partition)
+        spark.sql(f"ALTER TABLE {name} {partition} SET LOCATION {_literal(folder)}")
+    spark.catalog.refreshTable(name)
+    if before and "/_runs/" in before:
+        _removed(spark, before)
 
 
 def write_splits(splits: dict[str, DataFrame], path: str) -> None:

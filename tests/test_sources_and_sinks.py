@@ -51,11 +51,63 @@ def test_replace_accepts_new_columns(spark):
     assert rows(spark.table("t_merge"), "x", "gone", "fresh") == [(2, None, 0.5)]
 
 
-def test_append_twice_adds_once(spark):
-    run = spark.createDataFrame([("200112_1", 0.5), ("200112_2", 0.7)], "run_key string, score double")
-    writers.append_run(run, "t_runs", ["run_key"])
-    writers.append_run(run.unionAll(spark.createDataFrame([("200112_3", 0.1)], run.schema)), "t_runs", ["run_key"])
-    assert spark.table("t_runs").count() == 3
+@pytest.mark.parametrize("mode", ["static", "dynamic", None])
+def test_other_partitions_stay_whatever_the_sessions_mode(spark, mode):
+    name, option = f"t_parts_{mode}", "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(option)
+    if mode:
+        spark.conf.set(option, mode)
+    else:
+        spark.conf.unset(option)
+    try:
+        at_start = spark.conf.get(option)
+        df = spark.range(100).selectExpr("id AS x", "CAST(id % 5 AS STRING) AS p")
+        writers.replace_table(df, name, partition_by=["p"])
+        writers.replace_table(df.filter("p = '3'").withColumn("x", -F.col("x")), name, partition_by=["p"])
+        assert spark.conf.get(option) == at_start
+        table = spark.table(name)
+        assert table.count() == 100 and table.filter("x < 0").count() == 20
+        writers.write_metadata(df.selectExpr("x AS product", "CAST(p AS INT) AS training_month"), f"{name}_meta")
+        writers.write_metadata(df.filter("p = '2'").selectExpr("x + 1000 AS product", "CAST(p AS INT) AS training_month"), f"{name}_meta")
+        assert spark.table(f"{name}_meta").count() == 100
+    finally:
+        spark.conf.set(option, before)
+
+
+RUN = "run_key string, score double, at int"
+
+
+def write_run(spark, name, month, data):
+    writers.write_run(spark.createDataFrame(data, RUN), name, "month", month, ["run_key"], [F.col("at").desc(), F.col("score").desc()])
+
+
+def test_a_second_run_replaces_the_first_as_a_whole(spark):
+    write_run(spark, "t_runs", 200111, [("a", 0.1, 1), ("b", 0.2, 1)])
+    write_run(spark, "t_runs", 200112, [("a", 0.3, 1), ("a", 0.4, 2), ("a", 0.5, 2), ("c", 0.6, 1)])
+    assert rows(spark.table("t_runs"), "month", "run_key", "score") == [(200111, "a", 0.1), (200111, "b", 0.2), (200112, "a", 0.5), (200112, "c", 0.6)]
+    write_run(spark, "t_runs", 200112, [("d", 0.7, 1)])
+    assert rows(spark.table("t_runs"), "month", "run_key", "score") == [(200111, "a", 0.1), (200111, "b", 0.2), (200112, "d", 0.7)]
+
+
+def test_a_run_that_dies_midway_changes_nothing(spark):
+    write_run(spark, "t_dying", 200112, [("a", 0.1, 1), ("b", 0.2, 1)])
+    bad = spark.range(4000).selectExpr(
+        "CAST(id AS STRING) AS run_key", "CAST(IF(id = 3999, raise_error('killed'), id) AS DOUBLE) AS score", "1 AS at").repartition(8, "run_key")
+    for month in (200112, 200201):
+        with pytest.raises(Exception, match="killed"):
+            writers.write_run(bad, "t_dying", "month", month, ["run_key"], [F.col("at")])
+        assert rows(spark.table("t_dying"), "month", "run_key", "score") == [(200112, "a", 0.1), (200112, "b", 0.2)]
+    write_run(spark, "t_dying", 200112, [("c", 0.3, 1)])
+    write_run(spark, "t_dying", 200201, [("c", 0.4, 1)])
+    assert rows(spark.table("t_dying"), "month", "run_key", "score") == [(200112, "c", 0.3), (200201, "c", 0.4)]
+
+
+def test_runs_by_text_and_of_no_rows(spark):
+    writers.write_run(spark.createDataFrame([("a", 1.0, 1)], RUN), "t_text", "run", "it's 1", ["run_key"], [F.col("at")])
+    writers.write_run(spark.createDataFrame([("b", 1.0, 1)], RUN), "t_text", "run", "2", ["run_key"], [F.col("at")])
+    assert rows(spark.table("t_text"), "run", "run_key") == [("it's 1", "a"), ("2", "b")]
+    writers.write_run(spark.createDataFrame([], RUN), "t_text", "run", "2", ["run_key"], [F.col("at")])
+    assert rows(spark.table("t_text"), "run", "run_key") == [("it's 1", "a")]
 
 
 def test_metadata_and_feature_sets(spark):

@@ -52,15 +52,37 @@ def replaced_with_new_columns(t):
 
 @query("SNK-3 OUT-5", "SELECT DISTINCT party_id || '_200112' AS run_key FROM v_policies WHERE party_id IS NOT NULL")
 def appended_run(t):
-    """A run of the active policies' clients, then one of all clients: one row per key."""
+    """A run of the active policies' clients, written again with all clients: one row per key."""
     name, _ = fresh(t, "runs")
 
     def keyed(df):
         return df.filter(F.col("party_id").isNotNull()).select(F.concat_ws("_", "party_id", F.lit("200112")).alias("run_key"))
 
-    writers.append_run(keyed(active(t.policies)), name, ["run_key"])
-    writers.append_run(keyed(t.policies), name, ["run_key"])
-    return readers.read_table(t.spark, name)
+    for rows in (active(t.policies), t.policies):
+        writers.write_run(keyed(rows), name, "month", 200112, ["run_key"], [F.col("run_key")])
+    return readers.read_table(t.spark, name).select("run_key")
+
+
+@query("SNK-3", """
+WITH newest AS (SELECT party_id, policy_no, acct_val_amt,
+    row_number() OVER (PARTITION BY party_id ORDER BY register_date DESC, policy_no DESC) AS rn,
+    row_number() OVER (PARTITION BY party_id ORDER BY register_date, policy_no) AS nr
+  FROM v_policies WHERE party_id IS NOT NULL)
+SELECT CAST(200111 AS BIGINT) AS month, party_id, policy_no, (ROUND(acct_val_amt, 2) + 0.0) AS amount FROM newest WHERE nr = 1
+UNION ALL SELECT CAST(200112 AS BIGINT), party_id, policy_no, (ROUND(acct_val_amt * 2, 2) + 0.0) FROM newest WHERE rn = 1""")
+def monthly_runs(t):
+    """Two months with several rows per client, of which each keeps one by a stated order; the
+    second month is written twice and has one copy."""
+    name, _ = fresh(t, "monthly")
+    rows = t.policies.filter(F.col("party_id").isNotNull()).select(
+        "party_id", "policy_no", "register_date", F.col("acct_val_amt").cast("double").alias("amount"))
+    oldest = [F.col("register_date").asc(), F.col("policy_no").asc()]
+    newest = [F.col("register_date").desc(), F.col("policy_no").desc()]
+    doubled = rows.withColumn("amount", F.col("amount") * 2)
+    writers.write_run(rows, name, "month", 200111, ["party_id"], oldest)
+    writers.write_run(rows, name, "month", 200112, ["party_id"], newest)
+    writers.write_run(doubled, name, "month", 200112, ["party_id"], newest)
+    return readers.read_table(t.spark, name).select("month", "party_id", "policy_no", rounded("amount", 2).alias("amount"))
 
 
 @query("SNK-5 SRC-3", """
