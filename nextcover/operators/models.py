@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nextcover.operators.prep import assemble
-from nextcover.operators.quantiles import with_fitted
+from nextcover.operators.quantiles import value_ranks, with_fitted
 
 # ---- fixed values ----
 THRESHOLD_START, THRESHOLD_STEP, THRESHOLD_COUNT = 0.1, 0.05, 16
@@ -58,6 +58,26 @@ def roc_auc(scored: DataFrame, target: str) -> float:
     return BinaryClassificationEvaluator(labelCol=target, rawPredictionCol="rawPrediction").evaluate(scored)
 
 
+def exact_roc_auc(long: DataFrame, groups: list[str], score: str = "score", label: str = "label") -> DataFrame:
+    """Area under the curve per group, as the rank sum of the positive rows; equal scores share
+    their mean rank. Null without positive or without negative rows. Rows with a null score or
+    label don't count.
+
+    Ranks are of distinct scores, so a score that many rows share is one row, and sums are whole
+    numbers until the last division.
+    """
+    known = long.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+    ranks = value_ranks(known, groups, score)
+    positive = known.filter(F.col(label) == 1).groupBy(*groups, score).agg(F.count(F.lit(1)).alias("p"))
+    whole = "decimal(19,0)"
+    twice = F.col("p").cast(whole) * (2 * F.col("before") + F.col("n") + 1).cast(whole)
+    found = ranks.join(positive, [*groups, score], "left").groupBy(*groups).agg(
+        F.sum(twice).alias("_sum"), F.coalesce(F.sum("p"), F.lit(0)).alias("positives"), F.first("total").alias("_total"))
+    p, negatives = F.col("positives").cast(whole), (F.col("_total") - F.col("positives")).cast(whole)
+    area = (F.col("_sum") - p * (p + 1)).cast("double") / F.nullif((2 * p * negatives).cast("double"), F.lit(0.0))
+    return found.select(*groups, "positives", (F.col("_total") - F.col("positives")).alias("negatives"), area.alias("roc_auc"))
+
+
 def tune(train: DataFrame, features: list[str], label: str = "label", grid: dict | None = None, folds: int = 3):
     """Grid search by F1 over a random forest."""
     forest = RandomForestClassifier(labelCol=label, featuresCol="features", seed=42)

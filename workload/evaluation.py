@@ -1,13 +1,17 @@
 """Training and evaluation."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from nextcover.functions.classify import CATEGORIES, classify
-from nextcover.operators import models as m, policies as pol, prep, quality
+from nextcover.operators import artefacts, models as m, policies as pol, prep, quality, trees
 from nextcover.operators.clean import valid_targets
+from nextcover.operators.scoring import long_scores
+from nextcover.sources import readers
 from workload.feature_sets import first_second_rows, training
 from workload.preparation import is_train
 from workload.registry import query
+from workload.sinks import fresh
 from workload.sqltext import rd
 
 
@@ -21,22 +25,143 @@ FEATURES = ["acct_val_amt", "wc_total_assets", "psn_age", "product_idx", "channe
 
 
 def model_rows(t):
-    """First policies with an index label, filled and encoded."""
+    """First policies with an index label, filled and encoded; codes and labels are those of the
+    training rows, and rows with a label that these lack are left out."""
     rows = valid_targets(first_second_rows(t, "acct_val_amt", "wc_total_assets", "psn_age", "channel"), "second_product_category")
-    codes = prep.fit_encoder(rows, ["product_category", "channel"])
+    codes = prep.fit_encoder(rows.filter(is_train()), ["product_category", "channel"])
     coded = prep.encode(rows, codes, ["product_category", "channel"]).withColumnRenamed("product_category_idx", "product_idx")
-    labels = prep.label_index(rows, "second_product_category")
+    labels = prep.label_index(rows.filter(is_train()), "second_product_category")
     return prep.fill_zero(coded.join(F.broadcast(labels), "second_product_category")).select(
         "party_id", "policy_no", *FEATURES, F.col("label").cast("double").alias("label"), "second_product_category")
 
 
 def _scored(t, train):
     rows = model_rows(t).persist()
-    model = train(prep.with_weight(rows.filter(is_train()), prep.class_weights(rows, "second_product_category"), "second_product_category"))
+    learnt = rows.filter(is_train())
+    model = train(prep.with_weight(learnt, prep.class_weights(learnt, "second_product_category"), "second_product_category"))
     rows.unpersist()  # kept for the passes of the fit alone
     return model, model.transform(rows.filter(~is_train()))
 
 
+# held-out rows of the models, as SQL can state them
+HELD_OUT = """(SELECT party_id, policy_no, second_product_category FROM v_bought WHERE CAST(policy_no AS BIGINT) % 5 = 0
+  AND second_product_category <> 'OTHER' AND second_product_category IN (SELECT second_product_category FROM v_bought WHERE CAST(policy_no AS BIGINT) % 5 <> 0))"""
+
+
+def _checked(scored):
+    """Held-out rows with their label and whether the prediction is one of the known classes."""
+    known = F.col("prediction").isin([float(i) for i in range(len(CATEGORIES))])
+    return scored.select("party_id", "policy_no", "second_product_category", known.cast("int").alias("known_class"))
+
+
+@query("ML-1 PRE-5", f"SELECT *, CAST(1 AS BIGINT) AS known_class FROM {HELD_OUT}")
+def boosted_trees_held_out_rows(t):
+    """Fitted on the training rows alone, applied to every held-out one."""
+    _, scored = _scored(t, lambda d: m.train_gbt_ovr(d, FEATURES, weight="weight", maxIter=2, maxDepth=2))
+    return _checked(scored)
+
+
+@query("ML-2 PRE-5", f"SELECT *, CAST(1 AS BIGINT) AS known_class FROM {HELD_OUT}")
+def random_forest_held_out_rows(t):
+    _, scored = _scored(t, lambda d: m.train_rf(d, FEATURES, weight="weight", numTrees=5, maxDepth=4))
+    return _checked(scored)
+
+
+def _adds_up(t, train, nodes_of):
+    """Per held-out row whether base and contributions of every class give the raw score of the
+    model."""
+    model, scored = _scored(t, train)
+    _, path = fresh(t, "model")
+    model.write().save(path)
+    nodes = nodes_of(model, path)
+    key = ["party_id", "policy_no"]
+    raw = scored.select(*key, F.posexplode(vector_to_array("rawPrediction")).alias("class", "raw"))
+    sums = trees.tree_contributions(scored, key, nodes, FEATURES).groupBy(*key, "class").agg(F.sum("contribution").alias("sum"))
+    # a class without trees of its own has a score of nothing
+    both = raw.join(sums, [*key, "class"], "left").join(trees.base_scores(nodes), "class", "left")
+    gap = F.abs(F.coalesce("sum", F.lit(0.0)) + F.coalesce("base", F.lit(0.0)) - F.col("raw"))
+    return both.groupBy(*key).agg(F.min((gap < 1e-9).cast("int")).alias("adds_up"))
+
+
+@query("OUT-9 ML-2", f"SELECT party_id, policy_no, CAST(1 AS BIGINT) AS adds_up FROM {HELD_OUT}")
+def forest_contributions_add_up(t):
+    return _adds_up(t, lambda d: m.train_rf(d, FEATURES, weight="weight", numTrees=5, maxDepth=4), trees.forest_nodes)
+
+
+@query("OUT-9 ML-1", f"SELECT party_id, policy_no, CAST(1 AS BIGINT) AS adds_up FROM {HELD_OUT}")
+def boosted_contributions_add_up(t):
+    return _adds_up(t, lambda d: m.train_gbt_ovr(d, FEATURES, weight="weight", maxIter=2, maxDepth=3), trees.boosted_nodes)
+
+
+# a small forest as a table of nodes: tree, node, left, right, feature, threshold, value
+NODES = [
+    (0, 0, 1, 4, 0, 150000.0, 0.45), (0, 1, 2, 3, 1, 40.0, 0.2), (0, 2, -1, -1, -1, None, 0.125), (0, 3, -1, -1, -1, None, 0.3125),
+    (0, 4, 5, 6, 2, 400000.0, 0.75), (0, 5, -1, -1, -1, None, 0.5), (0, 6, -1, -1, -1, None, 0.9375),
+    (1, 0, 1, 2, 1, 50.0, 0.1), (1, 1, -1, -1, -1, None, -0.25), (1, 2, 3, 4, 0, 100000.0, 0.375), (1, 3, -1, -1, -1, None, 0.25),
+    (1, 4, 5, 6, 1, 70.0, 0.5), (1, 5, -1, -1, -1, None, 0.4375), (1, 6, -1, -1, -1, None, 0.625)]
+NODE_FEATURES = ["acct_val_amt", "psn_age", "face_amt"]
+NODE_ROWS = ", ".join(str(r).replace("None", "CAST(NULL AS DOUBLE)") for r in NODES)
+
+
+@query("OUT-9", f"""
+SELECT * FROM (WITH RECURSIVE nodes AS (SELECT * FROM (VALUES {NODE_ROWS}) x(tree, node, l, r, feature, threshold, value)),
+walk AS (
+  SELECT p.policy_no, n.tree, n.node, CAST(-1 AS INTEGER) AS asked, CAST(0 AS DOUBLE) AS change FROM v_policies p CROSS JOIN nodes n WHERE n.node = 0
+  UNION ALL
+  SELECT w.policy_no, w.tree, c.node, n.feature, CAST(c.value - n.value AS DOUBLE)
+  FROM walk w JOIN v_policies p ON p.policy_no = w.policy_no JOIN nodes n ON n.tree = w.tree AND n.node = w.node AND n.l >= 0
+  JOIN nodes c ON c.tree = n.tree AND c.node = CASE WHEN CASE n.feature WHEN 0 THEN p.acct_val_amt WHEN 1 THEN p.psn_age ELSE p.face_amt END <= n.threshold THEN n.l ELSE n.r END)
+SELECT policy_no, ['acct_val_amt', 'psn_age', 'face_amt'][asked + 1] AS feature, {rd('sum(change)')} AS contribution FROM walk WHERE asked >= 0 GROUP BY 1, 2)""")
+def contributions_over_a_node_table(t):
+    nodes = readers.rows_df(t.spark, [(*r[:-1], 0, r[-1]) for r in NODES],
+                            "tree long, node int, left int, right int, feature int, threshold double, class int, value double")
+    out = trees.tree_contributions(t.policies, ["policy_no"], nodes, NODE_FEATURES, depth=3)
+    return out.select("policy_no", "feature", "contribution")
+
+
+@query("PRJ-7 SNK-8 ML-2", f"SELECT party_id, policy_no, CAST(1 AS BIGINT) AS same_as_fresh, CAST(0 AS BIGINT) AS refitted_when_it_fits, CAST(1 AS BIGINT) AS refitted_when_not FROM {HELD_OUT}")
+def stored_model_scores(t):
+    """Scores of a stored and reloaded model against the fresh one's; with another number of
+    classes the stored model isn't taken."""
+    name, folder = fresh(t, "models")
+    folder = f"{folder}_files"
+    classes = ["a", "b"]
+    model, scored = _scored(t, lambda d: artefacts.model_for(
+        t.spark, name, folder, "next", 200111, FEATURES, classes, lambda: m.train_rf(d, FEATURES, numTrees=5, maxDepth=3))[0])
+    loaded, again = artefacts.model_for(t.spark, name, folder, "next", 200112, FEATURES, classes, lambda: model)
+    _, other = artefacts.model_for(t.spark, name, folder, "next", 200112, FEATURES, [*classes, "c"], lambda: model)
+    columns = ["party_id", "policy_no"]
+    fresh_scores = scored.select(*columns, vector_to_array("probability").alias("a"))
+    stored_scores = loaded.transform(scored.drop("features", "rawPrediction", "probability", "prediction")).select(*columns, vector_to_array("probability").alias("b"))
+    return fresh_scores.join(stored_scores, columns).select(
+        *columns, (F.col("a") == F.col("b")).cast("int").alias("same_as_fresh"),
+        F.lit(int(again)).alias("refitted_when_it_fits"), F.lit(int(other)).alias("refitted_when_not"))
+
+
+@query("ML-3", f"""
+SELECT * FROM (WITH held AS (SELECT DISTINCT party_id, product_category FROM v_class3),
+rows AS (SELECT s.product, s.score, CASE WHEN h.party_id IS NULL THEN 0 ELSE 1 END AS label FROM v_long_scores s
+  LEFT JOIN held h ON h.party_id = s.party_id AND h.product_category = upper(s.product) WHERE s.score IS NOT NULL),
+ranked AS (SELECT product, label, rank() OVER (PARTITION BY product ORDER BY score) + (count(*) OVER (PARTITION BY product, score) - 1) / 2.0 AS r FROM rows)
+SELECT product, CAST(sum(label) AS BIGINT) AS positives, CAST(count(*) - sum(label) AS BIGINT) AS negatives,
+  {rd('(sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label)))')} AS roc_auc FROM ranked GROUP BY 1)""")
+def roc_auc_per_product(t):
+    """Each product's score against who holds the product."""
+    held = classify(t.policies).select("party_id", F.lower("product_category").alias("product")).distinct().withColumn("label", F.lit(1))
+    rows = long_scores(t.scores).join(held, ["party_id", "product"], "left").fillna(0, ["label"])
+    return m.exact_roc_auc(rows, ["product"])
+
+
+@query("ML-3 ML-6")
+def roc_auc_of_fitted_models(t):
+    """Area on held-out rows of a model per product, fitted on the training rows."""
+    out = per_product_scores(t, SCORED_TARGETS)
+    long = out.select("policy_no", F.explode(F.array(*[
+        F.struct(F.lit(c.removesuffix("_cross_sell")).alias("product"), F.col(c).cast("int").alias("label"), F.col(f"{c.removesuffix('_cross_sell')}_score").alias("score"))
+        for c in SCORED_TARGETS])).alias("x")).select("policy_no", "x.*")
+    return m.exact_roc_auc(long, ["product"])
+
+
 @query("ML-1")
 def boosted_trees_predictions(t):
     _, scored = _scored(t, lambda d: m.train_gbt_ovr(d, FEATURES, weight="weight", maxIter=3, maxDepth=3))
@@ -49,20 +174,25 @@ def random_forest_predictions(t):
     return scored.select("party_id", "label", "prediction")
 
 
-@query("ML-3 OUT-1")
-def per_product_models(t):
-    from pyspark.ml.functions import vector_to_array
+SCORED_TARGETS = ["investment_cross_sell", "retirement_cross_sell", "life_insurance_cross_sell", "network_products_cross_sell"]
+
 
-    table = training(t).select("party_id", "policy_no", "acct_val_amt", "wc_total_assets", "client_age", "client_tenure_years",
-                               "investment_cross_sell", "retirement_cross_sell", "life_insurance_cross_sell", "network_products_cross_sell").persist()
+def per_product_scores(t, targets):
+    """Held-out rows with their targets and a score per target."""
     features = ["acct_val_amt", "wc_total_assets", "client_age", "client_tenure_years"]
-    targets = [c for c in table.columns if c.endswith("_cross_sell")]
+    table = training(t).select("party_id", "policy_no", *features, *targets).persist()
     models = m.train_per_product(table.filter(is_train()), {c: features for c in targets}, maxIter=10)
     table.unpersist()
     out = table.filter(~is_train())
     for target, model in models.items():
         scored = model.transform(out).withColumn(f"{target.removesuffix('_cross_sell')}_score", vector_to_array("probability")[1])
         out = scored.drop("features", "rawPrediction", "probability", "prediction")
+    return out
+
+
+@query("ML-3 OUT-1")
+def per_product_models(t):
+    out = per_product_scores(t, SCORED_TARGETS)
     return out.select("party_id", *[c for c in out.columns if c.endswith("_score")])
 
 
