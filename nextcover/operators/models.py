@@ -3,6 +3,7 @@ the rows, then arithmetic on a frame with one row per pair of classes."""
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -78,18 +79,35 @@ def exact_roc_auc(long: DataFrame, groups: list[str], score: str = "score", labe
     return found.select(*groups, "positives", (F.col("_total") - F.col("positives")).alias("negatives"), area.alias("roc_auc"))
 
 
-def tune(train: DataFrame, features: list[str], label: str = "label", grid: dict | None = None, folds: int = 3):
-    """Grid search by F1 over a random forest."""
-    forest = RandomForestClassifier(labelCol=label, featuresCol="features", seed=42)
+def tune(train: DataFrame, features: list[str], label: str = "label", grid: dict | None = None, folds: int = 3,
+         by: str | None = None, draws: int | None = None, seed: int = 42, submodels: bool = False):
+    """Grid search by F1 over a random forest.
+
+    ``by`` names a column whose rows share a fold (a client's, say), by a hash of it; else rows are
+    dealt at random. ``draws`` tries so many combinations of the grid, drawn by ``seed``.
+    ``submodels`` keeps the models of all folds.
+    """
+    forest = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed)
     builder = ParamGridBuilder()
     for name, values in (grid or {"numTrees": [20, 50], "maxDepth": [5, 8]}).items():
         builder = builder.addGrid(forest.getParam(name), values)
+    maps = builder.build()
+    if draws is not None and draws < len(maps):
+        maps = random.Random(seed).sample(maps, draws)
     search = CrossValidator(
-        estimator=forest, estimatorParamMaps=builder.build(), numFolds=folds, seed=42, parallelism=2,
+        estimator=forest, estimatorParamMaps=maps, numFolds=folds, seed=seed, parallelism=2, collectSubModels=submodels,
         evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="f1"))
+    if by is not None:
+        search = search.setFoldCol("fold")
+        train = with_folds(train, by, folds, seed)
     return Pipeline(stages=[assemble(features), search]).fit(train)
 
 
+def with_folds(df: DataFrame, by: str, folds: int, seed: int = 42) -> DataFrame:
+    """Rows with ``fold``, the same for all rows of one value of ``by``."""
+    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(by), F.lit(seed)), F.lit(folds)).cast("int"))
+
+
 def importance(model, features: list[str], spark) -> DataFrame:
     """Importance per feature, averaged over the classes of a one-vs-rest model."""
     last = model.stages[-1]

@@ -3,6 +3,8 @@ to any rows. Nothing is collected."""
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, IndexToString, StandardScaler, StringIndexer, VectorAssembler
@@ -253,6 +255,49 @@ def oversample(df: DataFrame, label: str, order: list[str]) -> DataFrame:
     return frequent.drop("_n", "_target").unionByName(repeated.drop("_n", "_target", "_rank"))
 
 
+def interpolate_minority(df: DataFrame, label: str, features: list[str], key: list[str], projections: int = 3,
+                         seed: int = 42) -> DataFrame:
+    """New rows for classes below a tenth of the largest, as many as bring them to 15 % of it.
+
+    A new row lies between a row of the class and its nearest one among the rows beside it in
+    ``projections`` random directions (each the class's rows in order of a weighted sum of their
+    standardised features, ties by ``key``, which must be unique), at a place that the key and the
+    copy's number decide. So neighbours cost an ordering, not pairs, and a big class is no task.
+    Rows with a missing feature take no part; a class's only row is its own neighbour.
+
+    Returns the label, the key, ``copy_no`` from 1, ``neighbour_`` and the key for the other row,
+    ``weight`` (0 at the row, 1 at the neighbour) and the features.
+    """
+    known = df.select(label, *key, *[F.col(f).cast("double").alias(f) for f in features]).dropna()
+    counts = known.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.agg(F.max("_n")).scalar()
+    rare = counts.filter(F.col("_n") < largest * RARE_SHARE).withColumn("_more", F.floor(largest * RAISED_SHARE) - F.col("_n"))
+    rows = known.join(rare.filter("_more > 0"), label)
+    spread = known.agg(*[F.coalesce(F.nullif(F.stddev_samp(f), F.lit(0.0)), F.lit(1.0)).alias(f) for f in features])
+    draw = random.Random(seed)
+    sums = [sum(F.col(f) / F.col(f"_fit.{f}") * draw.gauss(0, 1) for f in features) for _ in range(projections)]
+    sides = F.array(*[F.struct(F.lit(i).alias("_side"), s.alias("_place")) for i, s in enumerate(sums)])
+    placed = with_fitted(rows, spread).withColumn("_s", F.explode(sides)).withColumns({
+        "_line": F.struct(F.col(label), F.col("_s._side")), "_place": F.col("_s._place"), "_self": F.struct(*key, *features)}).drop("_fit", "_s")
+    beside = with_order(placed, "_line", ["_place", *key], number="_rank", ahead={"_self": "_next"}, behind={"_self": "_last"})
+
+    def distance(other: Column) -> Column:
+        return sum((F.col(f"_self.{f}") - other[f]) * (F.col(f"_self.{f}") - other[f]) for f in features)
+
+    near = F.filter(F.array("_next", "_last"), lambda x: x.isNotNull())
+    options = F.transform(near, lambda x: F.struct(distance(x).alias("_d"), x.alias("_other")))
+    chosen = (beside.withColumn("_near", F.array_min(options)).groupBy(label, *key)
+              .agg(F.first("_self").alias("_self"), F.min("_near").alias("_near"), F.first("_n").alias("_n"), F.first("_more").alias("_more"),
+                   F.max(F.when(F.col("_line._side") == 0, F.col("_rank"))).alias("_rank")))
+    copies = (F.floor(F.col("_more") / F.col("_n")) + (F.col("_rank") <= F.col("_more") % F.col("_n")).cast("int")).cast("int")
+    other = F.coalesce(F.col("_near._other"), F.col("_self"))
+    made = chosen.filter(copies > 0).withColumns({"_other": other, "copy_no": F.explode(F.sequence(F.lit(1), copies))})
+    made = made.withColumn("weight", stable_fraction(*key, "copy_no", seed=seed))
+    return made.select(
+        label, *key, "copy_no", *[F.col(f"_other.{k}").alias(f"neighbour_{k}") for k in key], "weight",
+        *[(F.col(f"_self.{f}") + F.col("weight") * (F.col(f"_other.{f}") - F.col(f"_self.{f}"))).alias(f) for f in features])
+
+
 def domain_score(feature: str) -> float:
     return 1.0 if any(f in feature for names in DOMAIN_GROUPS.values() for f in names) else 0.0
 

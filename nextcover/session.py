@@ -59,12 +59,12 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write an intermediate to the checkpoint folder that the session names in
+    """Write an intermediate to the session's checkpoint folder, or the one it names in
     ``spark.checkpoint.dir`` (shared by all executors on a cluster), and cut its lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(folder)
     return df.checkpoint()

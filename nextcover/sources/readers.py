@@ -53,6 +53,22 @@ def latest_month(df: DataFrame, month_col: str = "business_month", within: Colum
     return scope.filter(F.col(month_col) == scope.select(F.max(month_col)).scalar())
 
 
+def partition_values(spark: SparkSession, name: str, column: str) -> list[str]:
+    """The values of a partition column, from the catalogue; no data is read."""
+    shown = spark.sql(f"SHOW PARTITIONS {name}").select(F.regexp_extract("partition", f"(?:^|/){column}=([^/]*)", 1).alias("v"))
+    return [r["v"] for r in shown.distinct().collect()]
+
+
+def latest_partition(spark: SparkSession, name: str, month_col: str = "business_month") -> DataFrame:
+    """Rows of the newest month of a table that is partitioned by month (a whole number).
+
+    The maximum comes from the catalogue's list of partitions, so the filter is a constant: only
+    that partition's files are listed and read. A table without partitions gives no row.
+    """
+    months = [int(v) for v in partition_values(spark, name, month_col) if v.isdigit()]
+    return spark.table(name).filter(F.col(month_col) == max(months) if months else F.lit(False))
+
+
 def up_to_month(df: DataFrame, month, month_col: str = "business_month") -> DataFrame:
     return df.filter(F.col(month_col) <= month)
 

@@ -42,6 +42,15 @@ def replace_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
     writer.saveAsTable(name)
 
 
+def store_by_client(df: DataFrame, name: str, key: str = "party_id", buckets: int = 200) -> None:
+    """Replace a table, dealt out and sorted by client. Tables stored with the same ``buckets`` join
+    and aggregate by client without moving rows, run after run; the number should give a bucket
+    the size of a task at the largest month. Each bucket is one file, as rows are dealt out first.
+    """
+    (df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(name))
+
+
 def unseen_rows(df: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not in ``existing`` yet."""
     return df.join(existing.select(*key), key, "left_anti")

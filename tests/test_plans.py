@@ -46,3 +46,38 @@ def test_one_window_shuffle_per_client(tables, build):
 def test_no_python_workers_in_the_core(tables):
     plan = plan_of(training_base(tables.policies, tables.lookup, "1990-01-01"))
     assert "Python" not in plan and "Pandas" not in plan and "ArrowEval" not in plan
+
+
+def test_the_newest_month_reads_one_partition(spark):
+    from nextcover.sources import readers, writers
+
+    df = spark.range(90).selectExpr("id AS party_id", "CAST(200101 + id % 9 AS INT) AS business_month")
+    writers.replace_table(df, "t_months", partition_by=["business_month"])
+    newest = readers.latest_partition(spark, "t_months")
+    assert newest.count() == 10 and newest.select("business_month").distinct().first()[0] == 200109
+    plan = plan_of(newest)
+    assert "(business_month" in plan.split("PartitionFilters: [")[1] and "Subquery" not in plan
+    newest.collect()
+    scan = newest._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numPartitions").value() == 1
+    writers.replace_table(df.limit(0), "t_no_months", partition_by=["business_month"])
+    assert readers.latest_partition(spark, "t_no_months").count() == 0
+
+
+def test_tables_stored_by_client_join_without_moving_rows(spark):
+    from nextcover.operators import monitor
+    from nextcover.sources import writers
+
+    rows_ = spark.range(500).selectExpr("CAST(id % 100 AS STRING) AS party_id", "IF(id % 3 = 0, 'A', 'B') AS product_category")
+    last = spark.range(100).selectExpr("CAST(id AS STRING) AS party_id", "'A' AS first_product_category", "'B' AS predicted_product", "200111 AS business_month")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        writers.store_by_client(rows_, "t_held", buckets=4)
+        writers.store_by_client(last, "t_last", buckets=4)
+        joined = spark.table("t_last").join(spark.table("t_held"), "party_id")
+        assert "Exchange" not in plan_of(joined) and joined.count() == 500
+        got = monitor.prediction_outcome(spark.table("t_last"), spark.table("t_held"), 200112)
+        assert "Exchange" not in plan_of(got) and got.count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -9,7 +9,7 @@ from nextcover.operators.clean import valid_targets
 from nextcover.operators.scoring import long_scores
 from nextcover.sources import readers
 from workload.feature_sets import first_second_rows, training
-from workload.preparation import is_train
+from workload.preparation import TRAIN, is_train
 from workload.registry import query
 from workload.sinks import fresh
 from workload.sqltext import rd
@@ -202,6 +202,21 @@ def tuned_forest_metrics(t):
     return m.metrics(scored)
 
 
+@query("ML-4", f"""
+SELECT party_id, CAST(1 AS BIGINT) AS folds, CAST(1 AS BIGINT) AS same_metric FROM (SELECT DISTINCT party_id FROM v_bought WHERE {TRAIN} AND second_product_category <> 'OTHER')""")
+def folds_by_client(t):
+    """Two drawn combinations of a grid over three folds. No client is in two folds, and the mean of
+    the folds' F1, computed anew from the fold models' predictions, is the search's."""
+    learnt = model_rows(t).filter(is_train()).persist()
+    model = m.tune(learnt, FEATURES, grid={"numTrees": [3, 5], "maxDepth": [2, 3]}, folds=3, by="party_id", draws=2, submodels=True)
+    search = model.stages[-1]
+    dealt = m.with_folds(prep.assemble(FEATURES).transform(learnt), "party_id", 3)
+    found = [m.metrics(search.subModels[i][0].transform(dealt.filter(F.col("fold") == i))).first()["weighted_f1"] for i in range(3)]
+    learnt.unpersist()
+    same = abs(sum(found) / 3 - search.avgMetrics[0]) < 1e-9
+    return dealt.groupBy("party_id").agg(F.count_distinct("fold").alias("folds")).withColumn("same_metric", F.lit(int(same)))
+
+
 @query("ML-5")
 def feature_importance(t):
     model, _ = _scored(t, lambda d: m.train_rf(d, FEATURES, numTrees=10, maxDepth=5))

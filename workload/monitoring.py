@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from nextcover.functions.classify import classify
 from nextcover.operators import monitor, policies as pol
 from nextcover.operators.ordered import first_by
+from nextcover.sources import writers
 from workload.registry import query, rounded
+from workload.sinks import fresh
 from workload.sqltext import rd
 from workload.views import MONTH
 
@@ -35,6 +37,17 @@ def prediction_outcomes(t):
     return monitor.prediction_outcome(last_month_predictions(t), classify(t.policies), MONTH)
 
 
+@query("OUT-13 JN-7 JN-21", f"""
+SELECT party_id, first_product_category, predicted_product, actual_product_bought, prediction_match, CAST(200111 AS BIGINT) AS prediction_month, CAST(200112 AS BIGINT) AS actual_purchase_month FROM {OUTCOME}""")
+def outcomes_of_stored_months(t):
+    """The comparison over tables that are stored by client."""
+    names = [fresh(t, "predictions")[0], fresh(t, "holdings")[0]]
+    for name, rows in zip(names, (last_month_predictions(t), classify(t.policies).select("party_id", "product_category"))):
+        writers.store_by_client(rows, name, buckets=8)
+    predictions, current = (t.spark.table(n) for n in names)
+    return monitor.prediction_outcome(predictions, current, MONTH)
+
+
 @query("OUT-14", f"""
 SELECT predicted_product, actual_product_bought, prediction_match, count(*) AS n, {rd("100.0 * sum(count(CASE WHEN prediction_match = 'Match' THEN 1 END)) OVER () / sum(count(*)) OVER ()")} AS accuracy_pct
 FROM {OUTCOME} GROUP BY 1, 2, 3""")

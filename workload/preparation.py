@@ -197,6 +197,50 @@ def oversampled_classes(t):
         F.count(F.lit(1)).alias("rows"), F.sum((F.col("copy_no") == 1).cast("long")).alias("originals"))
 
 
+@query("PRE-17", """
+WITH c AS (SELECT product_category, count(*) AS n FROM v_class3 GROUP BY 1), m AS (SELECT max(n) AS x FROM c)
+SELECT product_category, CAST(floor(x * CAST(0.15 AS DOUBLE)) AS BIGINT) - n AS new_rows, CAST(1 AS BIGINT) AS on_segment
+FROM c CROSS JOIN m WHERE n < x * CAST(0.1 AS DOUBLE)""")
+def interpolated_classes(t):
+    """New rows of rare classes; whether each lies between two rows of its class, as far along in
+    every feature as its weight says."""
+    rows, features = classify(t.policies), ["acct_val_amt", "psn_age", "wc_total_assets"]
+    made = prep.interpolate_minority(rows, "product_category", features, ["policy_no"])
+    known = rows.select("policy_no", "product_category", *[F.col(f).cast("double").alias(f) for f in features])
+    a = known.select("policy_no", *[F.col(f).alias(f"a_{f}") for f in features])
+    b = known.select(F.col("policy_no").alias("neighbour_policy_no"), F.col("product_category").alias("b_category"), *[F.col(f).alias(f"b_{f}") for f in features])
+    on = F.col("weight").between(0, 1) & (F.col("b_category") == F.col("product_category")) & (F.col("policy_no") != F.col("neighbour_policy_no"))
+    for f in features:
+        on = on & (F.abs(F.col(f"a_{f}") + F.col("weight") * (F.col(f"b_{f}") - F.col(f"a_{f}")) - F.col(f)) < 1e-6)
+    return made.join(a, "policy_no").join(b, "neighbour_policy_no").groupBy("product_category").agg(
+        F.count(F.lit(1)).alias("new_rows"), F.min(on.cast("int")).alias("on_segment"))
+
+
+@query("PRE-8", "SELECT party_id, policy_no, CAST(1 AS BIGINT) AS in_range FROM v_policies")
+def clustered_rows(t):
+    """Every row has one of the clusters that were fitted on the training rows."""
+    rows = fe.allocation_ratios(fe.ages(t.policies, AS_OF))
+    columns = ["wc_total_assets", "age_at_first_policy", "stock_allocation_ratio", "acct_val_amt"]
+    train, val = prep.client_clusters(rows.filter(is_train()), rows.filter(~is_train()), columns)
+    inside = F.col("client_cluster").between(0, 7)
+    return train.unionByName(val).select("party_id", "policy_no", F.coalesce(inside, F.lit(False)).cast("int").alias("in_range"))
+
+
+@query("PRE-16", "SELECT count(*) AS all_rows, CAST(1 AS BIGINT) AS subset, CAST(1 AS BIGINT) AS near_wanted, CAST(1 AS BIGINT) AS same_again FROM v_policies")
+def sample_properties(t):
+    """A sample of a tenth: rows of the input, within a fifth of the size asked for, the same again
+    when the input is dealt out differently."""
+    key = ["party_id", "policy_no"]
+    rows = t.policies.select(*key)
+    n = rows.count()
+    one, two = prep.sample_capped(rows, n // 10, key), prep.sample_capped(rows.repartition(13), n // 10, key)
+    marked = rows.join(one.withColumn("a", F.lit(1)), key, "full").join(two.withColumn("b", F.lit(1)), key, "full")
+    size = F.count("a")
+    return marked.agg(
+        F.count(F.lit(1)).alias("all_rows"), F.min(F.coalesce((F.col("party_id").isNotNull()).cast("int"), F.lit(0))).alias("subset"),
+        (F.abs(size - n / 10) < n / 50).cast("int").alias("near_wanted"), F.min(F.col("a").eqNullSafe(F.col("b")).cast("int")).alias("same_again"))
+
+
 CANDIDATES = ["acct_val_amt", "face_amt", "wc_total_assets", "client_age", "psn_age", "aggressive_investor", "snp_close_variation"]
 
 

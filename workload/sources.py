@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 from nextcover.operators import policies as pol
 from nextcover.functions.classify import classify
 from nextcover.operators.clean import active, in_branch, valid_events
+from nextcover.schemas import require_columns
+from nextcover.session import checkpointed
 from nextcover.sources import readers, writers
 from workload.registry import query, rounded
+from workload.sinks import fresh
 
 
 @query("SRC-3 TOP-4", """
@@ -96,3 +99,51 @@ def rows_per_stage(t):
         "multi policy clients": pol.multi_policy_clients(active(valid))})
 
 
+
+
+REGIONS = [("Branch Assist", 1, None), ("Advisor Assist/Retail", 2, 0.5), ("Direct", 3, 1.0)]
+
+
+@query("SRC-9", """
+SELECT c.channel, c.priority, c.weight, count(*) AS policies FROM v_policies p
+JOIN (VALUES ('Branch Assist', CAST(1 AS BIGINT), CAST(NULL AS DOUBLE)), ('Advisor Assist/Retail', 2, 0.5), ('Direct', 3, 1.0)) c(channel, priority, weight) ON p.channel = c.channel GROUP BY 1, 2, 3""")
+def rows_from_memory(t):
+    """A small table given in code, with its declared types, joined to the policies."""
+    given = readers.rows_df(t.spark, REGIONS, "channel string, priority int, weight double")
+    return t.policies.join(given, "channel").groupBy("channel", "priority", "weight").agg(F.count(F.lit(1)).alias("policies"))
+
+
+@query("PRJ-6", "SELECT party_id, policy_no, register_date, CAST(NULL AS VARCHAR) AS missing FROM (SELECT party_id, policy_no, CAST(register_date AS VARCHAR) AS register_date FROM v_policies) UNION ALL SELECT NULL, NULL, NULL, 'missing columns: premium, rider'")
+def required_columns(t):
+    """Columns that are required and there, and the message about those that aren't."""
+    wanted = ["party_id", "policy_no", "register_date"]
+    rows = require_columns(t.policies, wanted).select(*wanted, F.lit(None).cast("string").alias("missing"))
+    try:
+        require_columns(t.policies, ["party_id", "premium", "rider"])
+        said = None
+    except ValueError as e:
+        said = str(e)
+    return rows.unionByName(t.spark.createDataFrame([(None, None, None, said)], rows.schema))
+
+
+@query("SNK-9", """
+SELECT party_id, policies, amount, CAST(CASE WHEN amount * count(*) OVER () > sum(amount) OVER () THEN 1 ELSE 0 END AS BIGINT) AS above_mean FROM (
+  SELECT party_id, count(*) AS policies, (ROUND(sum(acct_val_amt), 2) + 0.0) AS amount FROM v_policies GROUP BY 1)""")
+def materialised_totals(t):
+    """Totals per client, written once to the checkpoint folder and used twice."""
+    context = t.spark.sparkContext
+    if context.getCheckpointDir() is None and t.spark.conf.get("spark.checkpoint.dir", None) is None:
+        context.setCheckpointDir(f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")  # shared, as the tables are
+    totals = checkpointed(t.policies.groupBy("party_id").agg(F.count(F.lit(1)).alias("policies"), rounded(F.sum("acct_val_amt"), 2).alias("amount")))
+    mean = totals.agg(F.avg("amount")).scalar()
+    return totals.withColumn("above_mean", (F.col("amount") > mean).cast("int"))
+
+
+@query("SRC-5 SRC-6", """
+SELECT party_id, CAST(business_month AS BIGINT) AS business_month, (ROUND(aum_sum, 2) + 0.0) AS aum_sum FROM v_retention
+WHERE business_month = (SELECT max(business_month) FROM v_retention)""")
+def latest_stored_month(t):
+    """The newest month of a table stored by month: its partition alone is read."""
+    name, _ = fresh(t, "by_month")
+    writers.replace_table(t.retention.select("party_id", "aum_sum", "business_month"), name, partition_by=["business_month"])
+    return readers.latest_partition(t.spark, name).select("party_id", "business_month", rounded("aum_sum", 2).alias("aum_sum"))
