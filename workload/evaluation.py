@@ -4,15 +4,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from nextcover.functions.classify import CATEGORIES, classify
-from nextcover.operators import artefacts, models as m, policies as pol, prep, quality, trees
+from nextcover.operators import artefacts, models as m, policies as pol, prep, quality, sequences as sq, trees
 from nextcover.operators.clean import valid_targets
+from nextcover.operators.ordered import first_by
 from nextcover.operators.scoring import long_scores
+from nextcover.plans import monthly_run
 from nextcover.sources import readers
 from workload.feature_sets import first_second_rows, training
 from workload.preparation import TRAIN, is_train
 from workload.registry import query
 from workload.sinks import fresh
 from workload.sqltext import rd
+from workload.views import AS_OF
 
 
 def labelled(t):
@@ -324,3 +327,54 @@ def findings(t):
     rows = classify(t.policies)
     out = m.findings(quality.class_distribution(rows, "product_category"), quality.missing_report(rows, ["face_amt", "cash_val_amt", "policy_no"]))
     return out.select("issue", "severity")
+
+
+@query("SEQ-7 SEQ-8 ML-2 OUT-1", """
+SELECT party_id, max(position) AS seq_length, CAST(1 AS BIGINT) AS known_product, CAST(1 AS BIGINT) AS probabilities_add_up FROM v_changes GROUP BY 1""")
+def sequence_model_predictions(t):
+    """A forest over the sliding examples of four fifths of the clients, applied to the last
+    changes of every client."""
+    from nextcover.plans import sequence_model as sm
+    from workload.sequences import changes
+
+    numbered = changes(t)
+    names = [r["value"] for r in sq.vocab_alpha(numbered).orderBy("id").collect()]  # the categories
+    model = sm.fit_sequence_model(numbered, F.col("party_id").cast("long") % 5 != 0, numTrees=5, maxDepth=4)
+    out = sm.score_sequences(model, numbered, names)
+    total = sum(F.col(f"prob_{c}") for c in names[:model.stages[-1].numClasses])
+    return out.select("party_id", "seq_length", F.col("predicted_product").isin(names).cast("int").alias("known_product"),
+                      (F.abs(total - 1) < 1e-9).cast("int").alias("probabilities_add_up"))
+
+
+EARLY = "register_date < DATE '2001-06-01'"
+SINGLE = f"""(SELECT party_id, product_category AS first_product_category FROM v_class3 WHERE policy_status = 'Active' AND {EARLY}
+  QUALIFY count(*) OVER (PARTITION BY party_id) = 1)"""
+
+
+def run_of_last_month(t):
+    """The run of 200111 over the policies known then; its table."""
+    name, _ = fresh(t, "published")
+    known = t.policies.filter(EARLY)
+    people = first_by(t.policies, ["party_id"], [F.col("register_date").desc(), F.col("policy_no").desc()]).select("party_id", "psn_age", "branch_name")
+    monthly_run.run_month(known, people, name, 200111, AS_OF, numTrees=3, maxDepth=3)
+    return t.spark.table(name)
+
+
+@query("OUT-4 OUT-5 OUT-7 PRE-1 PRE-3 PRE-4 ML-2 SNK-3", f"""
+SELECT s.party_id, s.first_product_category, CAST(200111 AS BIGINT) AS prediction_month, '200111_' || s.party_id AS run_key, n.branch_name, CAST(1 AS BIGINT) AS known_product
+FROM {SINGLE} s JOIN (SELECT DISTINCT party_id, branch_name FROM v_policies) n ON s.party_id = n.party_id""")
+def monthly_run_published(t):
+    """Population, fitted fill and codes, model, publication: one stored row per client and month."""
+    out = run_of_last_month(t)
+    return out.select("party_id", "first_product_category", "prediction_month", "run_key", "branch_name",
+                      (F.col("predicted_product").isin(CATEGORIES) & F.col("pred_prob").between(0, 1)).cast("int").alias("known_product"))
+
+
+@query("OUT-13 ML-2 SNK-3", f"""
+SELECT party_id, first_product_category, actual_product_bought, CAST(200111 AS BIGINT) AS prediction_month, CAST(200112 AS BIGINT) AS actual_purchase_month FROM (
+  SELECT s.*, coalesce((SELECT min(c.product_category) FROM v_class3 c WHERE c.party_id = s.party_id AND c.product_category <> s.first_product_category), 'UNKNOWN') AS actual_product_bought
+  FROM {SINGLE} s WHERE s.party_id IN (SELECT party_id FROM v_class3 GROUP BY 1 HAVING count(DISTINCT product_category) >= 2))""")
+def monthly_run_outcome(t):
+    """What the run's clients hold a month later."""
+    out = monthly_run.run_outcome(run_of_last_month(t), t.policies, 200112)
+    return out.select("party_id", "first_product_category", "actual_product_bought", "prediction_month", "actual_purchase_month")
