@@ -289,7 +289,8 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TER
              .na.fill(0))
     blocks = F.ceil(F.col("n_sources") / sources)
     cells = F.greatest(F.ceil(F.col("n_rows") * F.least(F.lit(2), F.col("source_blocks")) / F.col("source_blocks") / cell_rows), F.lit(1))
-    langs = langs.withColumn("source_blocks", blocks).withColumn("cells", cells)
+    # a table of a row per language, so that Spark knows its size when the terms are joined to it
+    langs = stored(langs.withColumn("source_blocks", blocks).withColumn("cells", cells))
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = stored(groups.join(totals, ["lang", "source"], "left").na.fill(0, ["total"]).join(langs, "lang")
                     .withColumn("block", F.pmod(F.xxhash64("source"), "source_blocks"))
