@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -103,3 +104,22 @@ def test_feature_selection(spark):
     out = {r.feature: r for r in prep.select_features(df, "investment_cross_sell", ["acct_val_amt", "constant", "noise", "channel"], min_features=1).collect()}
     assert out["acct_val_amt"].rank == 1 and out["acct_val_amt"].combined_score == pytest.approx(1.0)
     assert out["constant"].correlation == 0 and out["constant"].selected == 0 and out["channel"].selected == 1
+
+
+def test_interpolated_rows_lie_between_rows_of_their_class(spark):
+    rng = random.Random(4)
+    data = [(f"k{i}", "big", rng.random(), rng.random() * 100) for i in range(400)]
+    data += [(f"s{i}", "small", 5 + rng.random(), -rng.random()) for i in range(9)]
+    data += [("one", "single", 7.0, 7.0), ("gap", "small", None, 1.0)]
+    df = spark.createDataFrame(data, "k string, y string, a double, b double").repartition(5)
+    made = prep.interpolate_minority(df, "y", ["a", "b"], ["k"]).collect()
+    known = {k: (y, a, b) for k, y, a, b in data}
+    assert {y: sum(r["y"] == y for r in made) for y in ("small", "single", "big")} == {"small": 60 - 9, "single": 60 - 1, "big": 0}
+    assert len({(r["k"], r["copy_no"]) for r in made}) == len(made) and not any("gap" in (r["k"], r["neighbour_k"]) for r in made)
+    for r in made:
+        x, n = known[r["k"]], known[r["neighbour_k"]]
+        assert x[0] == n[0] == r["y"] and 0 <= r["weight"] < 1
+        assert (r["k"] != r["neighbour_k"]) == (r["y"] == "small")
+        assert r["a"] == pytest.approx(x[1] + r["weight"] * (n[1] - x[1])) and r["b"] == pytest.approx(x[2] + r["weight"] * (n[2] - x[2]))
+    again = prep.interpolate_minority(df.repartition(2), "y", ["a", "b"], ["k"]).collect()
+    assert sorted(map(tuple, made)) == sorted(map(tuple, again))
