@@ -318,15 +318,16 @@ def baseline_against_improved(t):
 
 
 @query("ML-13", """
-SELECT CASE WHEN r > 5 THEN 'Severe Class Imbalance' ELSE 'Moderate Class Imbalance' END AS issue, CASE WHEN r > 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
+SELECT CASE WHEN r > 5 THEN 'Severe Class Imbalance' ELSE 'Moderate Class Imbalance' END AS issue, CASE WHEN r > 5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+  CASE WHEN r > 5 THEN 'Model may be biased toward majority class' ELSE 'Minority classes may have lower recall' END AS impact,
+  CASE WHEN r > 5 THEN 'Use class weights, SMOTE, or stratified sampling' ELSE 'Consider class weights or balanced sampling' END AS recommendation
 FROM (SELECT max(n) / min(n) AS r FROM (SELECT count(*) AS n FROM v_class3 GROUP BY product_category)) WHERE r > 2
-UNION ALL SELECT 'High Missing Values in ' || CAST(k AS VARCHAR) || ' features', 'MEDIUM' FROM (
+UNION ALL SELECT 'High Missing Values in ' || CAST(k AS VARCHAR) || ' features', 'MEDIUM', 'May reduce model performance', 'Improve imputation strategy or feature engineering' FROM (
   SELECT CASE WHEN count(face_amt) < 0.95 * count(*) THEN 1 ELSE 0 END + CASE WHEN count(cash_val_amt) < 0.95 * count(*) THEN 1 ELSE 0 END
     + CASE WHEN count(policy_no) < 0.95 * count(*) THEN 1 ELSE 0 END AS k FROM v_class3) WHERE k > 0""")
 def findings(t):
     rows = classify(t.policies)
-    out = m.findings(quality.class_distribution(rows, "product_category"), quality.missing_report(rows, ["face_amt", "cash_val_amt", "policy_no"]))
-    return out.select("issue", "severity")
+    return m.findings(quality.class_distribution(rows, "product_category"), quality.missing_report(rows, ["face_amt", "cash_val_amt", "policy_no"]))
 
 
 @query("SEQ-7 SEQ-8 ML-2 OUT-1", """
