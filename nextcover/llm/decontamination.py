@@ -5,21 +5,31 @@ sentence; several in a row are one) become typed placeholders, everything else i
 word. Windows of ``WINDOW`` template words of documents and benchmark items are joined on their
 hashes. So a question with other numbers or names still meets its item, and the values behind
 the placeholders, the slots, tell whether it is the same question with other parameters: along
-one alignment, every value of the item must always have been replaced by the same value.
+one alignment, every value of the item must always have been replaced by the same value. Of an
+alignment where that fails, only the windows without slots count.
 
-A document holds an item if at least ``SHARE`` of the item's windows are found in it, counting
-only windows of alignments with consistent slots. ``reparameterised`` says that some slot's value
-differs.
+Not every text can be told by templates, so each is read in four ways (``found_by``), each with
+windows of its own, of which a document must hold at least ``SHARE``:
+
+* ``template``: as above. A window of which half are placeholders would meet anything, so it isn't
+  one of them;
+* ``opening``: templates in which a word that opens a sentence is a name too if the same text has it
+  as a name inside a sentence;
+* ``words``: the lower-cased words themselves, numbers and names included, which tells items of many
+  placeholders and those in capitals;
+* ``whole``: an item of fewer than ``LEAST`` words, which many texts hold by chance, is found in
+  documents that have the same words and no others.
+
+Of the ways that reach the share, the first in this order is reported. ``reparameterised`` says that
+some slot's value differs. An item with fewer words than a window has one of all its words.
 
 Only windows that a bit table of fixed size lets through (all of the benchmark's, and some by
 chance, which the join on hashes removes) leave a document's task; the table's size doesn't
-depend on the data. A shorter item has one window of all its template words; one of fewer than
-``LEAST`` can't be told from chance and takes no part, nor does a window of which half are
-placeholders.
+depend on the data.
 
-Nulls: a null text is an empty one and holds nothing, an item with a null text takes no part.
-Rows with a null doc_id or item_id, and items with the same text, are reported like others;
-repeated rows of one doc_id count as one document.
+Nulls: a null text is an empty one and holds nothing; an item with a null text, or one without any
+letter or digit, takes no part. Rows with a null doc_id or item_id, and items with the same text,
+are reported like others; repeated rows of one doc_id count as one document.
 """
 
 from __future__ import annotations
@@ -39,6 +49,8 @@ SHARE = 0.5
 TABLE_BITS = 24
 U = np.uint64
 LITERAL, NUMBER, UNIT, NAME = range(4)
+TEMPLATE, OPENING, WORDS, WHOLE = range(4)
+WAYS = ["template", "opening", "words", "whole"]
 MARKS = np.array([0, 0x1111111111111111, 0x2222222222222222, 0x3333333333333333], U)
 
 #: fixed values: words that are a unit behind a number
@@ -60,14 +72,20 @@ BREAKS = np.zeros(256, np.int64)
 BREAKS[list(b".!?:;\n\r\"")] = 1
 
 
-def templates(texts: pa.Array) -> dict[str, np.ndarray]:
-    """Template words of all rows: hash, kind, row, and the bytes each stands for."""
+def words_of(texts: pa.Array) -> dict[str, np.ndarray]:
+    """The words of all rows: hash, kind, row, and the bytes each stands for."""
     data, offsets, original = lowered(texts)
     starts, ends, row = word_spans(data, offsets)
+    return {"hash": span_hashes(data, starts, ends) if len(starts) else np.empty(0, U), "kind": np.zeros(len(starts), np.int8), "row": row,
+            "starts": starts, "ends": ends, "data": data, "original": original}
+
+
+def templates(words: dict[str, np.ndarray], opening: bool = False) -> dict[str, np.ndarray]:
+    """Template words in place of words; with ``opening`` names that open a sentence are names."""
+    own, row, starts, ends, data, original = (words[c] for c in ("hash", "row", "starts", "ends", "data", "original"))
     n = len(starts)
     if not n:
-        return {"hash": np.empty(0, U), "kind": np.empty(0, np.int8), "row": row, "starts": starts, "ends": ends, "data": data}
-    own = span_hashes(data, starts, ends)
+        return words
     first = np.ones(n, bool)
     first[1:] = row[1:] != row[:-1]
     before = np.concatenate([[0], ends[:-1]])
@@ -77,7 +95,11 @@ def templates(texts: pa.Array) -> dict[str, np.ndarray]:
     digit = (data[starts] >= 48) & (data[starts] <= 57)
     after = np.minimum(starts + 1, len(data) - 1)
     capital = (data[starts] != original[starts]) | ((data[starts] >= 0xC0) & (data[after] != original[after]))
-    kind = np.where(digit, NUMBER, np.where(capital & ~opens, NAME, LITERAL)).astype(np.int8)
+    name = capital & ~opens
+    if opening:
+        of_row = mixed(own + row.astype(U) * STEP)
+        name |= capital & np.isin(of_row, of_row[name])
+    kind = np.where(digit, NUMBER, np.where(name, NAME, LITERAL)).astype(np.int8)
     behind_number = np.zeros(n, bool)
     behind_number[1:] = (kind[:-1] == NUMBER) & (gap[1:] <= 2)
     kind[behind_number & ~digit & np.isin(own, UNIT_HASHES)] = UNIT
@@ -92,15 +114,24 @@ def templates(texts: pa.Array) -> dict[str, np.ndarray]:
             "starts": starts[keep], "ends": ends[last], "data": data}
 
 
-def windows(t: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """First template word and hash of each window of ``k`` in one row, without those of which half
-    or more are placeholders."""
+def readings(texts: pa.Array) -> list[tuple[int, dict[str, np.ndarray]]]:
+    words = words_of(texts)
+    return [(TEMPLATE, templates(words)), (OPENING, templates(words, True)), (WORDS, words), (WHOLE, words)]
+
+
+def windows(t: dict[str, np.ndarray], k: int, way: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of each window of ``k`` words in one row. Without those of which half or
+    more are placeholders, and for ``WHOLE`` only rows that have ``k`` words and fewer than ``least``."""
     n = len(t["hash"]) - k + 1
-    if n <= 0:
+    if n <= 0 or (way == WHOLE) != (k < least):
         return np.empty(0, np.int64), np.empty(0, U)
-    slots = np.concatenate([[0], np.cumsum(t["kind"] != LITERAL)])
-    at = np.flatnonzero((t["row"][:n] == t["row"][k - 1:]) & (2 * (slots[k:] - slots[:-k]) < k))
-    h = np.full(len(at), k, U)
+    if way == WHOLE:
+        row, first, counts = np.unique(t["row"], return_index=True, return_counts=True)
+        at = first[counts == k]
+    else:
+        slots = np.concatenate([[0], np.cumsum(t["kind"] != LITERAL)])
+        at = np.flatnonzero((t["row"][:n] == t["row"][k - 1:]) & (2 * (slots[k:] - slots[:-k]) < k))
+    h = np.full(len(at), k + (way << 32), U)
     for j in range(k):
         h = h * STEP + t["hash"][at + j]
     return at, mixed(h)
@@ -123,25 +154,26 @@ TEXTS = pa.list_(pa.string())
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """(item_id, item_pos, size, hash, item_slots, item_windows) of all items."""
+    """(item_id, item_pos, way, size, hash, item_slots, item_windows) of all items."""
+    names = ["item_id", "item_pos", "way", "size", "hash", "item_slots", "item_windows"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["item_id"]
             for lo, hi in slices(batch["text"]):
-                t = templates(batch["text"].slice(lo, hi - lo))
-                counts = np.bincount(t["row"], minlength=hi - lo)
-                first = np.cumsum(counts) - counts
-                for k in {min(window, int(c)) for c in counts if c >= least}:
-                    at, h = windows(t, k)
-                    fits = np.minimum(counts[t["row"][at]], window) == k
-                    row, pos, h, slots = rows_of_windows(t, at[fits], h[fits], k, first)
-                    total = np.bincount(row, minlength=hi - lo)[row]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), pa.array(pos), pa.array(np.full(len(row), k, np.int32)), pa.array(h),
-                                                      pa.array(slots, TEXTS), pa.array(total)], ["item_id", "item_pos", "size", "hash", "item_slots", "item_windows"])
+                for way, t in readings(batch["text"].slice(lo, hi - lo)):
+                    counts = np.bincount(t["row"], minlength=hi - lo)
+                    first = np.cumsum(counts) - counts
+                    for k in {min(window, int(c)) for c in counts if c}:
+                        at, h = windows(t, k, way, least)
+                        fits = np.minimum(counts[t["row"][at]], window) == k
+                        row, pos, h, slots = rows_of_windows(t, at[fits], h[fits], k, first)
+                        total = np.bincount(row, minlength=hi - lo)[row]
+                        same = [pa.array(np.full(len(row), x, np.int32)) for x in (way, k)]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), pa.array(pos), *same, pa.array(h), pa.array(slots, TEXTS), pa.array(total)], names)
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    return items.mapInArrow(cut, "item_id long, item_pos long, size int, hash long, item_slots array<string>, item_windows long")
+    return items.mapInArrow(cut, "item_id long, item_pos long, way int, size int, hash long, item_slots array<string>, item_windows long")
 
 
 def bit_table(hashes: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
@@ -155,12 +187,12 @@ def bit_table(hashes: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, first_word, last_word, reparameterised): the items
-    each document holds, with the place among its template words."""
+    """(doc_id, item_id, n_windows, item_windows, first_word, last_word, reparameterised, found_by): the
+    items each document holds, with the place among its words as read in the way ``found_by``."""
     spark = docs.sparkSession
     small_batches(spark)
     items = stored(benchmark_windows(benchmark, window, least))
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most ``window`` numbers
+    sizes = [(r["way"], r["size"]) for r in items.select("way", "size").distinct().collect()]  # at most four times ``window``
     table = spark.sparkContext.broadcast(bit_table(items.select("hash").distinct()))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,31 +200,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
         for batch in batches:
             ids = batch["doc_id"]
             for lo, hi in slices(batch["text"]):
-                t = templates(batch["text"].slice(lo, hi - lo))
-                first = np.searchsorted(t["row"], np.arange(hi - lo))
-                for k in sizes:
-                    at, h = windows(t, k)
-                    there = bits[(h & low).astype(np.int64)]
-                    at, h = at[there], h[there]
-                    there = bits[(h >> U(TABLE_BITS) & low).astype(np.int64)]
-                    row, pos, h, slots = rows_of_windows(t, at[there], h[there], k, first)
-                    if len(row):
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), pa.array(pos), pa.array(h), pa.array(slots, TEXTS)], ["doc_id", "pos", "hash", "slots"])
+                for way, t in readings(batch["text"].slice(lo, hi - lo)):
+                    first = np.searchsorted(t["row"], np.arange(hi - lo))
+                    for k in (size for of, size in sizes if of == way):
+                        at, h = windows(t, k, way, least)
+                        there = bits[(h & low).astype(np.int64)]
+                        at, h = at[there], h[there]
+                        there = bits[(h >> U(TABLE_BITS) & low).astype(np.int64)]
+                        row, pos, h, slots = rows_of_windows(t, at[there], h[there], k, first)
+                        if len(row):
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + lo)), pa.array(pos), pa.array(h), pa.array(slots, TEXTS)], ["doc_id", "pos", "hash", "slots"])
 
     hits = texts_of(docs).mapInArrow(find, "doc_id long, pos long, hash long, slots array<string>").join(items, "hash")
     pairs = F.explode_outer(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")))
-    key = ["doc_id", "item_id", "way"]
-    aligned = hits.withColumn("way", F.col("pos") - F.col("item_pos"))
+    key = ["doc_id", "item_id", "way", "shift"]
+    aligned = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
     slots = (aligned.where(F.col("item_slots").isNotNull()).select(*key, pairs.alias("slot")).select(*key, "slot.item", "slot.doc")
              .groupBy(*key, "item").agg(F.min("doc").alias("least"), F.max("doc").alias("most")))
     odd = (slots.groupBy(*key).agg(F.max((F.col("least") != F.col("most")).cast("int")).alias("mixed"),
                                    F.max((F.col("least") != F.col("item")).cast("int")).alias("changed")))
-    ways = aligned.groupBy(*key).agg(F.collect_set("item_pos").alias("found"), F.first("item_windows").alias("item_windows"),
-                                     F.min("pos").alias("first_word"), F.max("pos").alias("last_word"))
-    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"o.{c}")) for c in key]
-    judged = (ways.alias("w").join(odd.alias("o"), same[0] & same[1] & same[2], "left").where("o.mixed IS NULL OR o.mixed = 0")
-              .select("w.*", F.coalesce("o.changed", F.lit(0)).alias("changed")))
-    return (judged.groupBy("doc_id", "item_id").agg(
+    places = lambda c: F.struct(F.collect_set(F.when(c, F.col("item_pos"))).alias("found"), F.min(F.when(c, F.col("pos"))).alias("first_word"),
+                                F.max(F.when(c, F.col("pos"))).alias("last_word"))
+    shifts = aligned.groupBy(*key).agg(F.first("item_windows").alias("item_windows"), places(F.lit(True)).alias("all"), places(F.col("item_slots").isNull()).alias("plain"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in key]
+    mixed_up = F.coalesce(F.col("o.mixed") == 1, F.lit(False))
+    judged = (shifts.alias("s").join(odd.alias("o"), same[0] & same[1] & same[2] & same[3], "left")
+              .select(*(f"s.{c}" for c in key), "s.item_windows", F.when(mixed_up, F.col("s.plain")).otherwise(F.col("s.all")).alias("places"),
+                      F.when(mixed_up, 0).otherwise(F.coalesce("o.changed", F.lit(0))).alias("changed"))
+              .select("*", "places.*").where(F.size("found") > 0))
+    held = (judged.groupBy("doc_id", "item_id", "way").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("n_windows"), F.first("item_windows").alias("item_windows"),
         F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), (F.max("changed") == 1).alias("reparameterised"))
         .where(F.col("n_windows") >= F.lit(share) * F.col("item_windows")))
+    best = held.groupBy("doc_id", "item_id").agg(F.min(F.struct("way", "n_windows", "item_windows", "first_word", "last_word", "reparameterised")).alias("best"))
+    return best.select("doc_id", "item_id", "best.*").withColumn("found_by", F.element_at(F.array(*map(F.lit, WAYS)), F.col("way") + 1)).drop("way")

@@ -208,3 +208,57 @@ def test_reparameterised_questions(spark, make_docs):
     assert {k for k in got if k[1] == 1} == {(1, 1), (2, 1), (None, 1)} and (6, 4) in got
     assert got[1, 1]["reparameterised"] and not got[2, 1]["reparameterised"]
     assert contaminated(make_docs([]), items).collect() == [] and contaminated(make_docs(docs), items.limit(0)).collect() == []
+
+
+SHORT_ITEMS = {1: "Calculate 12 + 7 * 3 - 5", 2: "Apollo 11 landed on July 20, 1969 near Tranquility Base", 3: "Solve 3x + 5 = 20",
+               4: "WHAT IS THE CAPITAL OF FRANCE AND OF SPAIN TODAY", 5: "Why not?", 6: "Define osmosis", 7: "+ = ?", 8: "",
+               9: "der Hund und die Katze sahen den Vogel im Garten"}
+
+
+def plain_words(text):
+    return WORD.findall((text or "").lower())
+
+
+def test_items_of_placeholders_capitals_or_few_words_are_found(spark, make_docs):
+    r = random.Random(8)
+    fill = lambda n: " ".join(f"w{r.randint(0, 9999)}" for _ in range(n))
+    docs = [(100 + i, f"{fill(30)}. {t} {fill(30)}") for i, t in SHORT_ITEMS.items()]
+    docs += [(200 + i, t) for i, t in SHORT_ITEMS.items()]
+    docs += [(300, SHORT_ITEMS[4].lower()), (301, "calculate 12 7 3 6"), (302, "Der Hund und die Katze sahen den Vogel im Garten"), (303, fill(20_000) + " solve 3x 5 20"),
+             (304, "why  NOT"), (305, "why not now"), (306, None)]
+    items = spark.createDataFrame(list(SHORT_ITEMS.items()), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in contaminated(make_docs(docs), items).collect()}
+    inside = lambda a, b: any(b[j:j + len(a)] == a for j in range(len(b) - len(a) + 1))
+    want = set()
+    for i, item in ((i, plain_words(t)) for i, t in SHORT_ITEMS.items()):
+        want |= {(d, i) for d, x in docs if item and (item == plain_words(x) if len(item) < 4 else inside(item, plain_words(x)))}
+    assert set(got) == want
+    assert got[304, 5]["found_by"] == "whole" and got[300, 4]["found_by"] == "words" and not any(x["reparameterised"] for x in got.values())
+
+
+def test_names_that_open_sentences_and_odd_slots(spark, make_docs):
+    question = "{0} has {1} red apples. {0} buys {2} more of them. {0} eats one. So how many red apples does {0} have in the end?"
+    steady = "If it rains on the first day then the farmer stays at home and reads a long book until the evening, and pays {0} coins and {0} more"
+    items = spark.createDataFrame([(1, question.format("John", 3, 2)), (2, steady.format(5))], "item_id long, text string")
+    docs = [(1, question.format("Mary", 9, 4)), (2, question.format("John", 3, 2)), (3, steady.replace("{0} more", "8 more").format(5)),
+            (4, "Mary has a bike. She rides it. How many bikes does Mary have in the shed?")]
+    got = {(x["doc_id"], x["item_id"]): x for x in contaminated(make_docs(docs), items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2)}
+    assert got[1, 1]["reparameterised"] and not got[2, 1]["reparameterised"] and not got[3, 2]["reparameterised"]
+
+
+def test_windows_equal_brute_force(spark, make_docs):
+    """Readings by words against sets of word windows, with items and documents of few different words."""
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice(["a", "b", "c1", "7", "Du", "e"]) for _ in range(n))
+    items, docs = {i: text(r.randint(1, 12)) for i in range(40)}, {i: text(r.randint(0, 60)) for i in range(60)}
+    got = {(x["doc_id"], x["item_id"]) for x in contaminated(make_docs(list(docs.items())), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    for i, item in ((i, plain_words(t)) for i, t in items.items()):
+        for d, doc in ((d, plain_words(t)) for d, t in docs.items()):
+            if len(item) < 4:
+                assert ((d, i) in got) == (item == doc)
+            else:
+                k = min(8, len(item))
+                there = {tuple(doc[j:j + k]) for j in range(len(doc) - k + 1)}
+                if 2 * sum(tuple(item[j:j + k]) in there for j in range(len(item) - k + 1)) >= len(item) - k + 1:
+                    assert (d, i) in got
