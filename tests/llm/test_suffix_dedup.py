@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import pytest
 
 from llm_support import SF_DIR, make_docs, worker_path  # noqa: F401 - fixtures
 from nextcover.llm.queries import QUERIES
-from nextcover.llm.suffix_dedup import deduplicated, maximal_repeats, repeat_groups, without_repeats
+from nextcover.llm.suffix_dedup import deduplicated, keyed, maximal_repeats, repeat_groups, without_repeats
 
 
 def brute(rows, length):
@@ -82,3 +83,55 @@ def test_empty_table_and_whole_letters(spark, make_docs):
     rows = [(1, "é" * 300 + "x"), (2, "yé" + "é" * 299)]
     _, removed = without_repeats(make_docs(rows), 401, whole_letters=True)
     assert all(bytes(r["kept"]).decode() is not None for r in removed.collect())
+
+
+def without_shared_words(rows, length):
+    """Texts without each run of ``length`` words that starts at two places or more."""
+    seen, out = defaultdict(int), []
+    found = [(i, t or "", [m.span() for m in re.finditer("[^\x20\x09-\x0D]+", t or "")]) for i, t in rows]
+    for _, t, spans in found:
+        for a in range(len(spans) - length + 1):
+            seen[tuple(t[x:y] for x, y in spans[a:a + length])] += 1
+    for i, t, spans in found:
+        gone = [False] * len(spans)
+        for a in range(len(spans) - length + 1):
+            if seen[tuple(t[x:y] for x, y in spans[a:a + length])] > 1:
+                gone[a:a + length] = [True] * length
+        kept, at = "", 0
+        for a in range(len(spans)):
+            if gone[a] and (a == 0 or not gone[a - 1]):
+                kept += t[at:spans[a][0]]
+            if gone[a]:
+                at = spans[a][1]
+        out.append((i, kept + t[at:]) if any(gone) else (i, t))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed,bucket", [(1, 2000), (2, 3), (3, 1)])
+def test_runs_of_words_equal_brute_force(spark, make_docs, seed, bucket):
+    r = random.Random(seed)
+    parts = [[r.choice(["a", "Ré", "b.", "c"]) for _ in range(r.randint(1, 14))] for _ in range(10)]
+    text = lambda: "".join(w + r.choice([" ", " ", "  ", "\n", "\t "]) for _ in range(r.randint(0, 9)) for w in r.choice(parts)) + "x" * r.randint(0, 3)
+    rows = [(i, text()) for i in range(50)] + [(1, None), (90, ""), (91, " \n "), (92, "tie " * 30), (92, "tie " * 30), (None, "u v w x y z " * 3), (93, "long" * 5000)]
+    all_rows, removed = without_repeats(make_docs(rows), 10, bucket, words=True)
+    kept = {x["row_key"]: bytes(x["kept"]).decode() for x in removed.collect()}
+    keyed_rows = {x["row_key"]: x for x in keyed(make_docs(rows)).collect()}
+    got = sorted(((keyed_rows[x["row_key"]]["doc_id"], kept.get(x["row_key"], keyed_rows[x["row_key"]]["text"])) for x in all_rows.collect()), key=repr)
+    assert got == without_shared_words(rows, 10) and kept
+
+
+def test_a_passage_on_copied_pages_is_one_group_with_all_its_places(spark, make_docs):
+    r = random.Random(5)
+    word = lambda: f"w{r.randint(0, 99999)}"
+    passage = " ".join(word() for _ in range(70))[:450]
+    pages = [" ".join(word() for _ in range(200)) + " " + passage + " " + " ".join(word() for _ in range(200)) for _ in range(2)]
+    docs = [(1, pages[0]), (2, pages[0]), (3, pages[1]), (4, pages[1])]
+    groups = defaultdict(set)
+    for g, i, a, b in collected(repeat_groups(make_docs(docs), 400)):
+        groups[g].add((i, a, b))
+    text = dict(docs)
+    want = {(i, text[i].index(passage), text[i].index(passage) + len(passage)) for i in text}
+    assert any(len(m) == 4 and {i for i, _, _ in m} == {1, 2, 3, 4} and all(b - a >= 400 and (i, a0, b0) in want for i, a, b in m for (j, a0, b0) in want if j == i and a0 - 2 <= a and b <= b0 + 2)
+               for m in groups.values())
+    for m in groups.values():
+        assert len({text[i][a:b] for i, a, b in m}) == 1
