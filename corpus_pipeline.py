@@ -5,8 +5,9 @@ return the columns of documents:
 
 1. toxicity: documents that the Kneser-Ney models reject go.
 2. near_duplicates: of each group linked by the n-gram Jaccard join, the smallest doc_id stays.
-3. repeated_passages: strings of ``PASSAGE_BYTES`` bytes or more that stand at several places are cut
-   from the texts, and n_chars with them; a document of which nothing is left goes.
+3. repeated_passages: runs of ``PASSAGE_WORDS`` words or more that stand at several places, whatever
+   whitespace is between the words, are cut from the texts, and n_chars with them; a document of which
+   nothing is left goes.
 4. decontamination: documents that hold a benchmark item go.
 5. packing: what is left, as pieces of sequences.
 
@@ -28,8 +29,12 @@ from nextcover.llm.suffix_dedup import without_repeats
 from nextcover.llm.toxicity import toxicity_scores
 
 TOXIC = 0.5
-#: a little under fifty words
-PASSAGE_BYTES = 250
+#: a passage has more than fifty words, be they short or long
+PASSAGE_WORDS = 51
+
+
+def quoted(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +45,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
-    return keep_one(docs).select(*docs.columns)
+    return keep_one(docs).select(*quoted(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
-    _, removed = without_repeats(docs, PASSAGE_BYTES, whole_letters=True)
+    _, removed = without_repeats(docs, PASSAGE_WORDS, words=True)
     kept = removed.select("row_key", F.decode("kept", "UTF-8").alias("kept")).dropDuplicates(["row_key"])
     # the row travels as one column: the table may have columns named like those used here
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
@@ -58,7 +63,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
     gone = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(stored(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(stored(gone), "doc_id", "left_anti").select(*quoted(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
