@@ -8,6 +8,7 @@ import pytest
 import corpus_pipeline
 from llm_support import SF_DIR, make_docs, worker_path  # noqa: F401 - fixtures
 from test_search_and_joins import brute_links
+from test_suffix_dedup import without_shared_words
 
 
 @pytest.fixture(scope="module")
@@ -56,23 +57,22 @@ def test_one_of_each_group_stays(stages):
 
 
 def test_passages_are_cut(stages):
-    n = corpus_pipeline.PASSAGE_BYTES
-    before, after = ({i: (t or "").encode() for i, t in texts(df).items()} for df in stages[2:4])
-    count = {}
-    for t in before.values():
-        for a in range(len(t) - n + 1):
-            count[t[a:a + n]] = count.get(t[a:a + n], 0) + 1
-    for i, t in before.items():
-        gone = bytearray(len(t))
-        for a in range(len(t) - n + 1):
-            if count[t[a:a + n]] > 1:
-                gone[a:a + n] = b"\1" * n
-        kept = bytes(c for c, g in zip(t, gone) if not g)
-        if not any(gone):
-            assert after[i] == t
-        elif kept.strip():  # letters cut in half stay whole
-            assert len(kept) <= len(after[i]) <= len(kept) + 8 and after[i].decode() == after[i].decode()
-    assert all(r["n_chars"] == len(r["text"]) for r in stages[3].collect())
+    rows = list(texts(stages[2]).items())
+    want = {i: t for i, t in without_shared_words(rows, corpus_pipeline.PASSAGE_WORDS)}
+    after = texts(stages[3])
+    assert after == {i: t for i, t in want.items() if t.strip(" ") or t == (dict(rows)[i] or "")}
+    assert after != dict(rows) and all(r["n_chars"] == len(r["text"]) for r in stages[3].collect())
+
+
+def test_passages_of_short_words_are_cut(spark, make_docs):
+    r = random.Random(4)
+    short = " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(51))
+    fifty = " ".join(f"longer{r.randint(0, 9999)}" for _ in range(50))
+    tail = lambda: " ".join(f"u{r.randint(0, 99999)}" for _ in range(30))
+    docs = [(1, f"{tail()} {short} {tail()}"), (2, f"{tail()} {short.replace(' ', chr(10))} {tail()}"), (3, f"{tail()} {fifty} {tail()}"), (4, f"{tail()} {fifty} {tail()}")]
+    got = texts(corpus_pipeline.repeated_passages(spark, make_docs(docs), SF_DIR))
+    assert short not in got[1] and short.replace(" ", "\n") not in got[2] and len(got[1].split()) == len(got[2].split()) == 60
+    assert got[3] == docs[2][1] and got[4] == docs[3][1]
 
 
 def test_benchmark_items_are_gone(spark, stages):
@@ -108,6 +108,6 @@ def test_nulls_ties_extra_columns_and_empty_tables(spark, tmp_path):
                 rows_left = found.cache()
         left = {(x["doc_id"], x["text"]) for x in rows_left.collect()}
         if start:
-            assert {(1, None), (2, ""), (None, "no id here"), (3, "a b c d e f g h"), (5, "one two" + tails[0]), (6, "four" + tails[1])} <= left and 4 not in {i for i, _ in left}
+            assert {(1, None), (2, ""), (None, "no id here"), (3, "a b c d e f g h"), (5, "one two  " + tails[0]), (6, "four  " + tails[1])} <= left and 4 not in {i for i, _ in left}
         else:
             assert not left and found.count() == 0
