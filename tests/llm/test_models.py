@@ -1,4 +1,8 @@
-"""Held-out accuracy of the fitted models, and their edges."""
+"""Held-out accuracy of the fitted models, a plain scorer beside them, and their edges."""
+
+import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nextcover.llm.quality import FEATURES, Network, passages, quality_scores
 from nextcover.llm.queries import QUERIES
-from nextcover.llm.toxicity import continuation_counts, logistic_curve, toxicity_scores
+from nextcover.llm.toxicity import DISCOUNT, continuation_counts, logistic_curve, toxicity_scores
 
 LARGER = "/root/testdata/sf0.1"
 
@@ -73,6 +77,51 @@ def test_rows_beyond_the_curve_sample_are_counted(spark, make_docs, monkeypatch)
     assert len(seen) == len(set(seen)) == 57
 
 
+def plain_evidence(texts, marks):
+    """Kneser-Ney by plain Python: the evidence of each text, the counts from those with a mark."""
+    split = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    pairs = {c: set() for c in (0, 1)}
+    for i, c in marks.items():
+        w = split(texts[i])
+        pairs[c] |= set(zip([None, *w], w))
+    n = {c: {} for c in (0, 1, 2)}
+    for c, found in [*pairs.items(), (2, pairs[0] | pairs[1])]:
+        for _, w in found:
+            n[c][w] = n[c].get(w, 0) + 1
+
+    def p(c, w):
+        total, free = sum(n[c].values()), sum(min(v, DISCOUNT) for v in n[c].values())
+        return (max(n[c].get(w, 0) - DISCOUNT, 0) + free * max(n[2].get(w, 0), 0.5) / sum(n[2].values())) / total
+
+    ratio = {w: math.log(p(1, w) / p(0, w)) for t in texts.values() for w in split(t)}
+    out = {}
+    for i, t in texts.items():
+        v = [ratio[w] for w in split(t)]
+        k = min(4, len(v))
+        out[i] = (sum(v) / len(v), max(sum(v[a:a + k]) / k for a in range(len(v) - k + 1)), sum(sorted(v)[-3:]) / min(3, len(v))) if v else (0, 0, 0)
+    return out
+
+
+@pytest.mark.parametrize("front", [1 << 20, 40, 0])
+def test_evidence_equals_a_plain_scorer_wherever_the_list_is_cut(spark, make_docs, monkeypatch, front):
+    import nextcover.llm.toxicity as module
+
+    monkeypatch.setattr(module, "FRONT", front)
+    r = random.Random(3)
+    word = lambda c: f"{'bad' if c and r.random() < .2 else 'w'}{int(r.paretovariate(.6)) % 300}É"
+    texts = {i: " ".join(word(i % 3 == 0) for _ in range(r.randint(0, 60))) for i in range(200)} | {900: None, 901: "", 902: "never seen", 903: "w1 " * 30000}
+    docs = make_docs(list(texts.items()) + [(5, texts[5])])
+    marks = {i: int(i % 3 == 0) for i in range(120)}
+    labelled = module.packed_texts(docs.where("doc_id < 120").dropDuplicates(["doc_id"]).selectExpr("doc_id", "text", "CAST(doc_id % 3 = 0 AS INT) AS toxic"))
+    ratios = module.log_ratios(module.continuation_counts(labelled))
+    assert (ratios.rest is None) == (front > 40) and len(ratios.front.value[0]) <= front
+    got = module.evidence(module.texts_of(docs), ratios).collect()
+    want = plain_evidence(texts, marks)
+    assert sorted(x["doc_id"] for x in got) == sorted([*texts, 5])
+    for x in got:
+        assert np.allclose((x["whole"], x["window"], x["words"]), want[x["doc_id"]], atol=1e-5), x
+
+
 def test_logistic_curve_separates():
     x = np.array([[0.0], [1.0], [2.0], [3.0]])
     w = logistic_curve(x, np.array([0, 0, 1, 1.0]))
