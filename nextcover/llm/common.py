@@ -210,8 +210,9 @@ def shingles(words: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of edges (a, b), by contraction: every node
     takes the smallest name around it, edges are renamed, and this is repeated on what is left.
-    Each round is written to the shared folder; the number of rounds grows with the logarithm
-    of the longest path."""
+    Each round is written to the shared folder. With names in no order along a path, such as hashes,
+    a round leaves a fraction of the nodes; a path in the order of its names takes as many rounds as
+    it has nodes, so name nodes by hashes."""
     left = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     found = stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("root", F.col("node")))
     while not left.isEmpty():
