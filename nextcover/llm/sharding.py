@@ -16,7 +16,8 @@ join their prefix's shard. One such round is enough for 4096 times the limit, tw
 times; a round reads the rows of the buckets that are still too large, and nothing else.
 
 Everything here is DataFrame functions. Nulls: a null key has the hash of an empty text and a
-marker; a null text has no bytes. An empty table gives no row.
+marker; a null text has no bytes. An empty table gives no row. Columns may have any names: a row
+travels as one column, and one named like a result (``RESULTS``) comes back with ``_`` behind it.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from nextcover.llm.common import stored
 LIMIT_BYTES = 16 << 20
 ROUND_BITS = 12
 HASH_BITS = 60
+RESULTS = ("shard", "shard_depth", "row_bytes")
 
 
 def bits_of(text: Column) -> Column:
@@ -41,7 +43,7 @@ def bits_of(text: Column) -> Column:
 
 def key_text(*columns: str) -> Column:
     """A text that tells null from empty."""
-    return F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns))
+    return F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in columns))
 
 
 def prefix(depth: int) -> Column:
@@ -66,11 +68,10 @@ def extendible_shards(df: DataFrame, keys: list[str], size: Column, limit: int =
                       round_bits: int = ROUND_BITS) -> DataFrame:
     """The table with ``shard`` (text: depth and prefix, and a page if there are several),
     ``shard_depth`` and ``row_bytes``."""
-    own = {"hash", "row_hash", "shard", "shard_depth", "row_bytes", "bucket", "low", "page"}
-    if clash := own & set(df.columns):
-        raise ValueError(f"columns in use here: {sorted(clash)}")
-    rows = df.withColumns({"hash": bits_of(key_text(*keys)), "row_hash": bits_of(key_text(*df.columns)),
-                           "row_bytes": F.coalesce(size, F.lit(0)).cast("long")})
+    names = [c + "_" * (c in RESULTS) for c in df.columns]
+    whole_row = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)))
+    rows = df.select(whole_row.alias("row"), bits_of(key_text(*keys)).alias("hash"), bits_of(key_text(*df.columns)).alias("row_hash"),
+                     F.coalesce(size, F.lit(0)).cast("long").alias("row_bytes"))
     sizes = stored(rows.groupBy("hash", "row_hash").agg(F.sum("row_bytes").alias("row_bytes"), F.count("*").alias("n")))
     directories, depth, open_rows = [], 0, sizes
     while True:
@@ -95,7 +96,7 @@ def extendible_shards(df: DataFrame, keys: list[str], size: Column, limit: int =
     depth_of = F.coalesce(*(F.when(F.col(f"depth_{i}") <= end, F.col(f"depth_{i}")) for i, (end, _) in enumerate(directories)), F.lit(last))
     name = reduce(lambda c, d: c.when(F.col("shard_depth") == d, prefix(d)), range(1, last + 1), F.when(F.col("shard_depth") == 0, prefix(0)))
     found = found.withColumn("shard_depth", depth_of).withColumn("shard", F.concat_ws("-", F.col("shard_depth").cast("string"), name))
-    columns = [*df.columns, "shard", "shard_depth", "row_bytes"]
+    columns = ["row.*", *RESULTS]
     if last < 2 * HASH_BITS:
         return found.select(*columns)
     # rows alike in all columns that are too many for a shard: as many to a page as fit
@@ -106,7 +107,7 @@ def extendible_shards(df: DataFrame, keys: list[str], size: Column, limit: int =
     paged = (found.join(pages, alike)
              .withColumn("page", F.floor((F.row_number().over(Window.partitionBy(*alike).orderBy("row_bytes")) - 1) / F.col("per_page")))
              .withColumn("shard", F.concat_ws("-", "shard", F.col("page").cast("string"))))
-    return whole.unionByName(paged.select(*columns))
+    return whole.union(paged.select(*columns))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -182,8 +182,19 @@ def test_rows_alike_get_pages_and_keys_split_by_row(spark):
     size = rows.groupby("shard").b.sum()
     assert size.max() <= 100 and size.sum() == 1500 and (rows[rows.t == "x"].groupby("shard").b.sum() == 100).all()
     assert extendible_shards(same.limit(0), ["k"], F.col("b"), 100).collect() == []
-    with pytest.raises(ValueError):
-        extendible_shards(same.withColumnRenamed("t", "hash"), ["k"], F.col("b"))
+
+
+def test_shards_of_a_table_with_any_names(spark):
+    odd = ["hash", "row_hash", "row", "prefix", "size_0", "depth_0", "bucket", "low", "page", "n", "bytes", "with.dot", "shard", "row_bytes"]
+    df = spark.range(40).selectExpr("id AS k", "10 AS b", *(f"concat('{c}', id) AS `{c}`" for c in odd))
+    got = extendible_shards(df, ["k"], F.col("b"), 100)
+    assert got.columns == ["k", "b", *odd[:-2], "shard_", "row_bytes_", "shard", "shard_depth", "row_bytes"]
+    rows = [r.asDict() for r in got.collect()]
+    assert sorted(r["k"] for r in rows) == list(range(40)) and all(r["row_bytes"] == 10 and r["shard_"] == f"shard{r['k']}" and r["with.dot"] == f"with.dot{r['k']}" for r in rows)
+    sizes = {}
+    for r in rows:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["b"]
+    assert max(sizes.values()) <= 100 and len(sizes) > 3
 
 
 def test_op8_finds_every_planted_item(spark):
