@@ -7,6 +7,7 @@ import pytest
 from nextcover.operators import policies as pol
 from nextcover.plans.next_product import likely_next_products
 from nextcover.plans.training import training_base
+from conftest import SF_DIR, rows
 
 
 def plan_of(df) -> str:
@@ -81,3 +82,20 @@ def test_tables_stored_by_client_join_without_moving_rows(spark):
         assert "Exchange" not in plan_of(got) and got.count() == 100
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_clients_are_dealt_out_before_they_become_many_rows(spark, monkeypatch):
+    from nextcover.operators.explain import top_contributions
+    from workload import views
+
+    whole = views.Tables(spark, SF_DIR).contributions
+    clients = whole.select("party_id").distinct().count()
+    monkeypatch.setattr(views, "CLIENTS_PER_TASK", 10)
+    dealt = views.Tables(spark, SF_DIR).contributions
+    assert dealt.rdd.getNumPartitions() == -(-clients // 10)
+    assert rows(dealt) == rows(whole)
+    # the only shuffle is that of the clients, before any row is sorted
+    lines = plan_of(top_contributions(dealt)).splitlines()
+    shuffles = [i for i, line in enumerate(lines) if "Exchange" in line]
+    assert len(shuffles) == 1
+    assert max(i for i, line in enumerate(lines) if "Sort [" in line) < shuffles[0]

@@ -14,6 +14,7 @@ from workload import sqltext
 AS_OF = "2002-01-01"
 ACTIVITY_AS_OF = "2024-01-31"
 MONTH = 200112
+CLIENTS_PER_TASK = 20_000
 
 BIRTH = (
     "CAST(CONCAT(CAST(1930 + c_custkey % 55 AS VARCHAR(20)), '-0', "
@@ -186,10 +187,17 @@ class Tables:
 
     @cached_property
     def contributions(self) -> DataFrame:
-        pairs = self.raw("customer").selectExpr("c_custkey", "explode(sequence(0, 23)) AS j").selectExpr(
-            "c_custkey", "CAST(j DIV 6 AS INT) AS p", "j % 6 AS f")
+        """Clients are dealt out before each becomes 24 rows: one split of the compact table would
+        otherwise be one task that sorts them all. The rows of a client stay together, so windows
+        and aggregates of a client need no further shuffle, and the number of tasks follows the
+        number of clients, whatever their bytes."""
+        clients = self.raw("customer").selectExpr("c_custkey", "CAST(c_custkey AS STRING) AS party_id")
+        tasks = max(1, -(-clients.count() // CLIENTS_PER_TASK))
+        pairs = clients.repartition(tasks, "party_id").selectExpr(
+            "party_id", "c_custkey", "explode(sequence(0, 23)) AS j").selectExpr(
+            "party_id", "c_custkey", "CAST(j DIV 6 AS INT) AS p", "j % 6 AS f")
         return pairs.selectExpr(
-            "CAST(c_custkey AS STRING) AS party_id",
+            "party_id",
             "get(array('investment', 'retirement', 'life_insurance', 'network_products'), p) AS product",
             "get(array('acct_val_amt', 'client_age', 'aum_segment', 'channel', 'snp_close_lead_6', 'client_tenure_years'), f) AS feature",
             "CAST((c_custkey * 31 + p * 17 + f * 101) % 401 - 200 AS DOUBLE) / 1000 AS contribution",
