@@ -1,4 +1,9 @@
-"""Lists and tables for advisors."""
+"""Lists and tables for advisors.
+
+Joins of tables with a row or more per client ask for a merge join: Spark guesses their size from
+that of the stored files, which says little about texts and lists made on the way, and would
+broadcast whole tables of clients.
+"""
 
 from __future__ import annotations
 
@@ -36,7 +41,7 @@ def smart_list(scores: DataFrame, explanations: DataFrame, threshold: float = MI
     """Recommendations above the threshold with the rank and decile of their product and the
     reasons. Both sides have one row per client and month (and product), so nothing repeats."""
     listed = explanations.filter(F.col("score") > threshold)
-    joined = scores.join(listed, ["party_id", "prediction_month"])
+    joined = scores.join(listed.hint("merge"), ["party_id", "prediction_month"])
     return joined.select(
         "party_id", "product", "score", "best_product", "best_score",
         _by_product("rank").alias("product_rank"), _by_product("decile").alias("product_decile"),
@@ -70,7 +75,7 @@ def bundle_reasons(df: DataFrame, explanations: DataFrame) -> DataFrame:
     per_client = explanations.groupBy("party_id", "prediction_month").agg(*[
         F.max(F.when(F.col("product") == p, texts)).alias(f"_{p}") for p in PRODUCTS
     ])
-    joined = df.join(per_client, ["party_id", "prediction_month"], "left")
+    joined = df.join(per_client.hint("merge"), ["party_id", "prediction_month"], "left")
 
     def reason(product: str, which: str):
         out = F.when(F.lit(False), F.lit(""))
@@ -93,7 +98,7 @@ def final_output(enhanced: DataFrame, explanations: DataFrame) -> DataFrame:
     named = explanations.select(
         "party_id", "prediction_month", F.col("product").alias("best_product"), F.col("score").alias("explanation_score"),
         "top_features", "top_feature_values", "talking_points")
-    return enhanced.join(named, ["party_id", "prediction_month", "best_product"], "left").withColumn(
+    return enhanced.join(named.hint("merge"), ["party_id", "prediction_month", "best_product"], "left").withColumn(
         "explanation_available", F.col("explanation_score").isNotNull().cast("int"))
 
 

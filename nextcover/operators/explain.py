@@ -422,7 +422,7 @@ def explanations(top: DataFrame, scores_long: DataFrame, month: int) -> DataFram
     their contributions and values, and talking points."""
     item = F.struct("rank", "feature", "contribution", "value", "talking_point")
     lists = top.groupBy(*CLIENT_PRODUCT).agg(F.sort_array(F.collect_list(item)).alias("i"))
-    return lists.join(scores_long, CLIENT_PRODUCT).select(
+    return lists.join(scores_long.hint("merge"), CLIENT_PRODUCT).select(
         *CLIENT_PRODUCT, "score", F.col("i.feature").alias("top_features"),
         F.col("i.contribution").alias("top_contributions"), F.col("i.value").alias("top_feature_values"),
         F.col("i.talking_point").alias("talking_points"), F.lit(month).alias("prediction_month"))
@@ -435,7 +435,7 @@ def narrative(predictions: DataFrame, signed_rows: DataFrame, id_names: dict[int
     ``signed_rows`` are the signed contributions of the predicted product.
     """
     rows = signed_rows.join(
-        predictions.select("party_id", "predicted_product", "psn_age", "client_tenure"), "party_id")
+        predictions.select("party_id", "predicted_product", "psn_age", "client_tenure").hint("merge"), "party_id")
     feature, product = F.col("feature"), F.col("predicted_product")
     number = F.col("value").try_cast("double")
 
@@ -500,7 +500,7 @@ def narrative(predictions: DataFrame, signed_rows: DataFrame, id_names: dict[int
     lists = rows.groupBy("party_id").agg(
         in_order("positive", reason).alias("_reasons"), in_order("negative", concern).alias("_concerns"),
         in_order("positive", feature, 3).alias("_for"), in_order("negative", feature, 2).alias("_against"))
-    joined = predictions.join(lists, "party_id", "left")
+    joined = predictions.join(lists.hint("merge"), "party_id", "left")
     return joined.select(
         "party_id", "predicted_product", percent("pred_prob").alias("confidence"),
         F.concat_ws(

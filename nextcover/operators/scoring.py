@@ -78,7 +78,7 @@ def score_ranks(df: DataFrame, columns: list[str] | None = None, key: str = "par
         F.max(F.when(F.col("product") == c.removesuffix("_score"), F.col("rank"))).alias(f"{c.removesuffix('_score')}_rank")
         for c in columns
     ])
-    return df.join(per_key, key, "left")
+    return df.join(per_key.hint("merge"), key, "left")
 
 
 def score_deciles(df: DataFrame, columns: list[str] | None = None, descending: bool = True) -> DataFrame:

@@ -99,3 +99,14 @@ def test_clients_are_dealt_out_before_they_become_many_rows(spark, monkeypatch):
     shuffles = [i for i, line in enumerate(lines) if "Exchange" in line]
     assert len(shuffles) == 1
     assert max(i for i, line in enumerate(lines) if "Sort [" in line) < shuffles[0]
+
+
+def test_tables_of_clients_are_not_broadcast(tables):
+    from workload.catalog import REGISTRY
+
+    plans = {n: plan_of(REGISTRY[n].build(tables)) for n in ("explanation_rows", "multi_product_strategy", "final_output")}
+    assert not [n for n, plan in plans.items() if "BroadcastHashJoin" in plan]
+    # tables of clients merge here too, while small frames beside them may be sent to every task
+    narrative = plan_of(REGISTRY["client_narrative"].build(tables))
+    assert narrative.count("SortMergeJoin") >= 4
+    assert "SortMergeJoin" in plan_of(REGISTRY["advisor_smart_list"].build(tables))

@@ -178,12 +178,13 @@ def pitch(t):
 
 def predictions_with_demographics(t):
     rows = c360.client_snapshot(t.policies).select("party_id", "psn_age", "client_seg", F.lit(None).cast("double").alias("client_tenure"))
-    return confident(t).join(rows, "party_id", "left")
+    return confident(t).join(rows.hint("merge"), "party_id", "left")
 
 
 def of_prediction(t):
     """Contributions of the predicted product of each client."""
-    return t.contributions.join(confident(t).select("party_id", F.col("predicted_product").alias("product")), ["party_id", "product"])
+    predicted = confident(t).select("party_id", F.col("predicted_product").alias("product"))
+    return t.contributions.join(predicted.hint("merge"), ["party_id", "product"])
 
 
 SEGMENT = f"(SELECT c.*, s.client_seg, s.psn_age FROM v_confidence c LEFT JOIN {SNAPSHOT} s ON c.party_id = s.party_id)"
