@@ -27,12 +27,15 @@ def fit_sequence_model(numbered: DataFrame, learn: Column, max_len: int = MAX_LE
     """A weighted forest over the examples of the clients for which ``learn`` holds.
 
     ``numbered`` has the clients' changes of product with ids from 1; a label is an id less one.
-    Examples are cut by client, so no client's history teaches about itself.
+    Examples are cut by client, so no client's history teaches about itself. They are kept for the
+    passes of the fit.
     """
     examples = with_sequence_features(sliding_examples(numbered.filter(learn), max_len), max_len=max_len)
     labelled = examples.withColumn("label", (F.col("label") - 1).cast("double"))
-    kept = labelled.select("party_id", "position", "label", *sequence_features(max_len=max_len))
-    return train_rf(with_weight(kept, class_weights(kept, "label", "sqrt_cap"), "label"), sequence_features(max_len=max_len), weight="weight", **params)
+    kept = labelled.select("party_id", "position", "label", *sequence_features(max_len=max_len)).persist()
+    model = train_rf(with_weight(kept, class_weights(kept, "label", "sqrt_cap"), "label"), sequence_features(max_len=max_len), weight="weight", **params)
+    kept.unpersist()
+    return model
 
 
 def score_sequences(model, numbered: DataFrame, names: list[str], max_len: int = MAX_LEN) -> DataFrame:

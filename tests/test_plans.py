@@ -110,3 +110,26 @@ def test_tables_of_clients_are_not_broadcast(tables):
     narrative = plan_of(REGISTRY["client_narrative"].build(tables))
     assert narrative.count("SortMergeJoin") >= 4
     assert "SortMergeJoin" in plan_of(REGISTRY["advisor_smart_list"].build(tables))
+
+
+@pytest.mark.parametrize("name", ["sequence_model_predictions"])
+def test_a_model_reads_the_policies_once(tables, name):
+    from workload.catalog import REGISTRY
+
+    plan = plan_of(REGISTRY[name].build(tables))  # what is left after the fit
+    assert "FileScan" in plan and "orders.parquet" not in plan and "InMemoryTableScan" not in plan
+
+
+def test_examples_of_sequences_are_kept_for_the_fit(spark, tables, monkeypatch):
+    from pyspark.sql import functions as F
+    from nextcover.plans import sequence_model as sm
+    from workload.sequences import changes
+
+    seen = []
+    monkeypatch.setattr(sm, "train_rf", lambda d, *a, **k: seen.append((plan_of(d), d.count())))
+    numbered = changes(tables)
+    sm.fit_sequence_model(numbered, F.lit(True))
+    (plan, n), = seen
+    assert "InMemoryTableScan" in plan
+    assert n == numbered.filter("position > 1").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()

@@ -13,7 +13,7 @@ from nextcover.sources import readers
 from workload.feature_sets import first_second_rows, training
 from workload.preparation import TRAIN, is_train
 from workload.registry import query
-from workload.sinks import fresh
+from workload.sinks import fresh, stored
 from workload.sqltext import rd
 from workload.views import AS_OF
 
@@ -338,7 +338,8 @@ def sequence_model_predictions(t):
     from nextcover.plans import sequence_model as sm
     from workload.sequences import changes
 
-    numbered = changes(t)
+    # one pass over the policies, whatever the fit and the scores read of it
+    numbered = stored(t, changes(t).select("party_id", "position", "value", "id"), "changes")
     names = [r["value"] for r in sq.vocab_alpha(numbered).orderBy("id").collect()]  # the categories
     model = sm.fit_sequence_model(numbered, F.col("party_id").cast("long") % 5 != 0, numTrees=5, maxDepth=4)
     out = sm.score_sequences(model, numbered, names)

@@ -16,6 +16,13 @@ def fresh(t, name):
     return name, f"{t.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}"
 
 
+def stored(t, rows, name):
+    """``rows`` as a table of its own, so that every later pass reads it and computes nothing again."""
+    name, _ = fresh(t, name)
+    writers.replace_table(rows, name)
+    return readers.read_table(t.spark, name)
+
+
 @query("SRC-1 SNK-1", "SELECT party_id, count(*) AS policies FROM v_policies WHERE policy_status = 'Active' GROUP BY 1")
 def replaced_table(t):
     """All policies, replaced by the active ones."""
