@@ -30,7 +30,9 @@ FEATURES = ["acct_val_amt", "wc_total_assets", "psn_age", "product_idx", "channe
 def model_rows(t):
     """First policies with an index label, filled and encoded; codes and labels are those of the
     training rows, and rows with a label that these lack are left out."""
-    rows = valid_targets(first_second_rows(t, "acct_val_amt", "wc_total_assets", "psn_age", "channel"), "second_product_category")
+    bought = valid_targets(first_second_rows(t, "acct_val_amt", "wc_total_assets", "psn_age", "channel"), "second_product_category")
+    # codes, labels, the fit and the scores all read them
+    rows = stored(t, bought.select("party_id", "policy_no", "acct_val_amt", "wc_total_assets", "psn_age", "product_category", "channel", "second_product_category"), "bought")
     codes = prep.fit_encoder(rows.filter(is_train()), ["product_category", "channel"])
     coded = prep.encode(rows, codes, ["product_category", "channel"]).withColumnRenamed("product_category_idx", "product_idx")
     labels = prep.label_index(rows.filter(is_train()), "second_product_category")
