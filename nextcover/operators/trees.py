@@ -28,6 +28,12 @@ def _stage_folder(model, path: str) -> str:
     return f"{path.rstrip('/')}/stages/{n - 1:0{len(str(n))}d}_{model.stages[-1].uid}"
 
 
+def depth(model) -> int:
+    """Splits on the longest path of a fitted pipeline's trees."""
+    last = model.stages[-1]
+    return max(tree.depth for part in getattr(last, "models", [last]) for tree in part.trees)
+
+
 def _nodes(spark: SparkSession, folder: str) -> DataFrame:
     node = spark.read.parquet(f"{folder}/data").select(F.col("treeID").cast("long").alias("tree"), "nodeData.*")
     return node.select(

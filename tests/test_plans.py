@@ -112,12 +112,14 @@ def test_tables_of_clients_are_not_broadcast(tables):
     assert "SortMergeJoin" in plan_of(REGISTRY["advisor_smart_list"].build(tables))
 
 
-@pytest.mark.parametrize("name", ["sequence_model_predictions", "boosted_trees_predictions"])
+@pytest.mark.parametrize("name", ["sequence_model_predictions", "boosted_trees_predictions", "boosted_contributions_add_up"])
 def test_a_model_reads_the_policies_once(tables, name):
     from workload.catalog import REGISTRY
 
     plan = plan_of(REGISTRY[name].build(tables))  # what is left after the fit
     assert "FileScan" in plan and "orders.parquet" not in plan and "InMemoryTableScan" not in plan
+    if name == "boosted_contributions_add_up":  # rows are dealt out before each becomes many
+        assert "REPARTITION_BY_NUM" in plan
 
 
 def test_examples_of_sequences_are_kept_for_the_fit(spark, tables, monkeypatch):
@@ -133,3 +135,14 @@ def test_examples_of_sequences_are_kept_for_the_fit(spark, tables, monkeypatch):
     assert "InMemoryTableScan" in plan
     assert n == numbered.filter("position > 1").count()
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_depth_of_fitted_trees(spark):
+    from pyspark.sql import functions as F
+    from nextcover.operators import models, trees
+
+    df = spark.range(200).select((F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("label"))
+    forest = models.train_rf(df, ["x"], numTrees=2, maxDepth=3)
+    boosted = models.train_gbt_ovr(df, ["x"], maxIter=2, maxDepth=2)
+    assert trees.depth(forest) == max(t.depth for t in forest.stages[-1].trees) <= 3
+    assert 1 <= trees.depth(boosted) <= 2

@@ -24,6 +24,7 @@ def labelled(t):
     return pairs.select("party_id", "policy_no", F.col("next_product").alias("label"), F.col("product_category").alias("prediction"))
 
 
+ROWS_PER_TASK = 5_000
 FEATURES = ["acct_val_amt", "wc_total_assets", "psn_age", "product_idx", "channel_idx"]
 
 
@@ -81,7 +82,10 @@ def _adds_up(t, train, nodes_of):
     nodes = nodes_of(model, path)
     key = ["party_id", "policy_no"]
     raw = scored.select(*key, F.posexplode(vector_to_array("rawPrediction")).alias("class", "raw"))
-    sums = trees.tree_contributions(scored, key, nodes, FEATURES).groupBy(*key, "class").agg(F.sum("contribution").alias("sum"))
+    # dealt out before each becomes a row per split
+    asked = scored.select(*key, *FEATURES)
+    asked = asked.repartition(max(1, -(-asked.count() // ROWS_PER_TASK)), *key)
+    sums = trees.tree_contributions(asked, key, nodes, FEATURES, trees.depth(model)).groupBy(*key, "class").agg(F.sum("contribution").alias("sum"))
     # a class without trees of its own has a score of nothing
     both = raw.join(sums, [*key, "class"], "left").join(trees.base_scores(nodes), "class", "left")
     gap = F.abs(F.coalesce("sum", F.lit(0.0)) + F.coalesce("base", F.lit(0.0)) - F.col("raw"))
