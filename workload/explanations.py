@@ -9,6 +9,7 @@ from workload.feature_sets import training
 from workload.preparation import is_train
 from workload.registry import query, rounded
 from workload.scoring import SNAPSHOT, explanation_table, of_prediction, pitch, points, predictions_with_demographics
+from workload.sinks import stored
 from workload.sqltext import TEXT, rd
 
 
@@ -29,9 +30,11 @@ def contributions_of_a_fitted_model(t):
     from nextcover.operators.models import train_per_product
 
     features = ["acct_val_amt", "wc_total_assets", "client_age", "client_tenure_years"]
-    table = training(t).select("party_id", "policy_no", *features, "investment_cross_sell").persist()
-    model = train_per_product(table.filter(is_train()), {"investment_cross_sell": features}, maxIter=10)["investment_cross_sell"]
-    table.unpersist()
+    # the fit, the means and the contributions all read it
+    table = stored(t, training(t).select("party_id", "policy_no", *features, "investment_cross_sell"), "training")
+    learnt = table.filter(is_train()).persist()
+    model = train_per_product(learnt, {"investment_cross_sell": features}, maxIter=10)["investment_cross_sell"]
+    learnt.unpersist()
     coefficients = explain.logistic_coefficients(model, features)
     return explain.linear_contributions(table, coefficients, explain.feature_means(table.filter(is_train()), features), "investment")
 
