@@ -112,7 +112,7 @@ def test_tables_of_clients_are_not_broadcast(tables):
     assert "SortMergeJoin" in plan_of(REGISTRY["advisor_smart_list"].build(tables))
 
 
-@pytest.mark.parametrize("name", ["sequence_model_predictions", "boosted_trees_predictions", "boosted_contributions_add_up", "contributions_of_a_fitted_model"])
+@pytest.mark.parametrize("name", ["sequence_model_predictions", "selected_features", "boosted_trees_predictions", "boosted_contributions_add_up", "contributions_of_a_fitted_model"])
 def test_a_model_reads_the_policies_once(tables, name):
     from workload.catalog import REGISTRY
 

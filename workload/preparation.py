@@ -7,6 +7,7 @@ from nextcover.operators import features as fe, prep
 from nextcover.operators.quantiles import exact_quantiles
 from workload.feature_sets import first_second_rows, training
 from workload.registry import query, rounded
+from workload.sinks import stored
 from workload.sqltext import rd
 from workload.views import AS_OF
 
@@ -264,7 +265,10 @@ def selected_features(t):
     from nextcover.operators.features import LABEL_FEATURES
 
     safe = [c for c in exclude_leakage(table.columns, LABEL_FEATURES) if c in set(prep.numeric_columns(table)) | {"channel", "aum_segment"}]
-    return prep.select_features(table.select(*safe, "investment_cross_sell"), "investment_cross_sell", safe)
+    # codes and correlations both read it; of stored codes Spark knows that they are few, and doesn't shuffle the rows
+    rows = stored(t, table.select(*safe, "investment_cross_sell"), "training")
+    codes = stored(t, prep.fit_encoder(rows, [c for c in ("channel", "aum_segment") if c in safe]), "codes")
+    return prep.select_features(rows, "investment_cross_sell", safe, codes)
 
 
 TARGETS = [f"{c.lower()}_cross_sell" for c in CATEGORIES[:-1]]
