@@ -26,11 +26,23 @@ RUN_TEXTS = ["first_product_category", "client_seg", "aum_band", "channel"]
 # ---- end of fixed values ----
 
 
+def classified(policies: DataFrame, *more: str) -> DataFrame:
+    """What a run reads of its policies, and their category. A run reads all policies four times, and the
+    rules of the category are most of that work, so store this once and run on it."""
+    wanted = dict.fromkeys([*FIRST_POLICY_NAMES, "policy_status", "business_month", *more])
+    return classify(policies).select(*wanted)
+
+
+def known_events(policies: DataFrame) -> DataFrame:
+    """Valid policies with their category: of rows of ``classified`` the one they have."""
+    rows = policies if "product_category" in policies.columns else classify(policies)
+    return valid_events(rows).select(*FIRST_POLICY_NAMES)
+
+
 def scoring_population(policies: DataFrame, as_of, branch: str | None = None) -> DataFrame:
     """Single-policy clients of the newest month with the features of their first policy."""
     scope = active(policies if branch is None else policies.filter(F.col("branchoffice_code") == branch))
-    known = valid_events(classify(latest_month(scope))).select(*FIRST_POLICY_NAMES)
-    single = single_policy_clients(known)
+    single = single_policy_clients(known_events(latest_month(scope)))
     gap = F.datediff(date_of(as_of), F.col("first_register_date")) / 365.25
     return first_policy_view(single).withColumns({
         "years_to_second": gap, "season": season("first_register_date")})
@@ -38,8 +50,7 @@ def scoring_population(policies: DataFrame, as_of, branch: str | None = None) ->
 
 def training_population(policies: DataFrame) -> DataFrame:
     """First policies of clients with a second one, whose category is ``next_product``."""
-    known = valid_events(classify(active(latest_month(policies)))).select(*FIRST_POLICY_NAMES)
-    two = first_two(known)
+    two = first_two(known_events(active(latest_month(policies))))
     second = two.filter("_rn = 2").select("party_id", F.col("product_category").alias("next_product"))
     return first_policy_view(two.filter("_rn = 1")).join(second, "party_id")
 
@@ -101,7 +112,8 @@ def predict_run(population: DataFrame, fitted: FittedRun) -> DataFrame:
 def run_month(policies: DataFrame, demographics: DataFrame, table: str, month: int, as_of, version: str = "1",
               branch: str | None = None, **params) -> None:
     """The month's run from policies to the stored table of predictions: fit on clients with a second
-    policy, score those with one, publish. Running it again replaces the month."""
+    policy, score those with one, publish. Running it again replaces the month. Takes policies, or the
+    rows of ``classified``."""
     fitted = fit_run(training_population(policies), **params)
     predictions = predict_run(scoring_population(policies, as_of, branch), fitted)
     published = publish(predictions, demographics, month, version)

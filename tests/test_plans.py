@@ -137,6 +137,22 @@ def test_examples_of_sequences_are_kept_for_the_fit(spark, tables, monkeypatch):
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
 
 
+def test_a_monthly_run_classifies_its_policies_once(tables, monkeypatch):
+    from nextcover.plans import monthly_run as mr
+    from workload import evaluation
+
+    seen = []
+    monkeypatch.setattr(mr, "run_month", lambda policies, people, name, *a, **k: seen.append((policies, people, tables.spark.range(1).createOrReplaceTempView(name))))
+    evaluation.run_of_last_month(tables)
+    (policies, people, _), = seen
+    for rows in (mr.training_population(policies), mr.scoring_population(policies, "2002-01-01"), people):
+        assert "FileScan" in plan_of(rows) and "orders.parquet" not in plan_of(rows)
+    known = tables.policies.filter(evaluation.EARLY)
+    for population in (mr.training_population, lambda p: mr.scoring_population(p, "2002-01-01")):
+        assert sorted(map(str, population(policies).collect())) == sorted(map(str, population(known).collect()))
+    assert not mr.training_population(policies).isEmpty()
+
+
 def test_depth_of_fitted_trees(spark):
     from pyspark.sql import functions as F
     from nextcover.operators import models, trees

@@ -362,9 +362,10 @@ SINGLE = f"""(SELECT party_id, product_category AS first_product_category FROM v
 def run_of_last_month(t):
     """The run of 200111 over the policies known then; its table."""
     name, _ = fresh(t, "published")
-    known = t.policies.filter(EARLY)
-    people = first_by(t.policies, ["party_id"], [F.col("register_date").desc(), F.col("policy_no").desc()]).select("party_id", "psn_age", "branch_name")
-    monthly_run.run_month(known, people, name, 200111, AS_OF, numTrees=3, maxDepth=3)
+    # the fit, the scores and the clients' attributes all read them
+    policies = stored(t, monthly_run.classified(t.policies, "branch_name"), "classified")
+    people = first_by(policies, ["party_id"], [F.col("register_date").desc(), F.col("policy_no").desc()]).select("party_id", "psn_age", "branch_name")
+    monthly_run.run_month(policies.filter(EARLY), people, name, 200111, AS_OF, numTrees=3, maxDepth=3)
     return t.spark.table(name)
 
 
