@@ -11,6 +11,7 @@ leave them alone but for case. A text where this isn't certain goes to the libra
 from __future__ import annotations
 
 import gc
+import os
 import re
 import zlib
 from itertools import chain, islice
@@ -36,9 +37,10 @@ SHOWN = dict(zip((b for b in range(256) if b not in _visible), range(256, 512)))
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of about ``most`` pieces."""
+    """Encodes texts; keeps the ids of about ``most`` pieces. Works in one thread, as a Spark task has one core."""
 
     def __init__(self, path: str, kind: str, most: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # else a thread of the library for each core of the machine
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind, self.most = kind, most

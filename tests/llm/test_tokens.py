@@ -1,5 +1,8 @@
 """Token records and packing against plain Python over the same texts."""
 
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -9,7 +12,7 @@ from tokenizers import Tokenizer
 
 from llm_support import SF_DIR, make_docs, worker_path  # noqa: F401 - fixtures
 from nextcover.llm.packing import best_fit_plan, packed
-from nextcover.llm.queries import QUERIES
+from nextcover.llm.queries import QUERIES, ROOT
 from nextcover.llm.records import frame, masked_crc, read_shuffled, token_records, unframe, write_records
 from nextcover.llm.token_cache import Encoder
 
@@ -34,6 +37,22 @@ def test_same_ids_as_the_library(spark, file, kind):
     assert [x.tolist() for t in texts[:60] for x in few.encode([t])] == want[:60]
 
 
+THREADS = """
+import os, public_tokenizers
+from nextcover.llm.token_cache import Encoder
+enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"), "bytes")
+before = len(os.listdir("/proc/self/task"))
+enc.encode([" ".join(f"{i}x{i}" for i in range(5000))])
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+
+
+def test_encoding_starts_no_threads():
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": ROOT}
+    done = subprocess.run([sys.executable, "-c", THREADS], env=env, capture_output=True, text=True, check=True)
+    assert done.stdout.strip() == "0"
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
