@@ -19,6 +19,7 @@ from nextcover.operators.prep import assemble
 from nextcover.operators.quantiles import value_ranks, with_fitted
 
 # ---- fixed values ----
+ROWS_PER_TASK = 100_000
 THRESHOLD_START, THRESHOLD_STEP, THRESHOLD_COUNT = 0.1, 0.05, 16
 IMBALANCE_HIGH, IMBALANCE_MEDIUM = 5, 2
 MISSING_PERCENT, LOW_IMPORTANCE, LOW_IMPORTANCE_COUNT = 5, 0.001, 5
@@ -26,12 +27,14 @@ MISSING_PERCENT, LOW_IMPORTANCE, LOW_IMPORTANCE_COUNT = 5, 0.001, 5
 
 
 def train_gbt_ovr(train: DataFrame, features: list[str], label: str = "label", weight: str | None = None, **params):
-    """Boosted trees, one model per class."""
-    base = GBTClassifier(**{"maxIter": 20, "maxDepth": 5, "seed": 42, **params})
+    """Boosted trees, one model per class; 50 trees of depth 5 each unless ``params`` say otherwise."""
+    base = GBTClassifier(**{"maxIter": 50, "maxDepth": 5, "seed": 42, **params})
     ovr = OneVsRest(classifier=base, labelCol=label, featuresCol="features", parallelism=4)
     if weight:
         ovr = ovr.setWeightCol(weight)
-    return Pipeline(stages=[assemble(features), ovr]).fit(train)
+    # every level of every tree is a pass over the rows, so few rows in many tasks is mostly their start
+    dealt = train.repartition(max(1, -(-train.count() // ROWS_PER_TASK)))
+    return Pipeline(stages=[assemble(features), ovr]).fit(dealt)
 
 
 def train_rf(train: DataFrame, features: list[str], label: str = "label", weight: str | None = None, **params):

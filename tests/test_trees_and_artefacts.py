@@ -46,6 +46,29 @@ def test_boosted_contributions_add_up_to_the_raw_score(train, tmp_path):
     assert n == 1800 and gap < 1e-9
 
 
+def test_boosted_trees_are_fitted_whole(spark, monkeypatch):
+    from workload import evaluation
+
+    fits = []
+    none = spark.createDataFrame([], "party_id string, label double, prediction double")
+    monkeypatch.setattr(evaluation, "_scored", lambda t, train: (fits.append(train), none))
+    evaluation.boosted_trees_predictions(None)
+    noise = [f"CAST(pmod(xxhash64(id, {i}), 97) AS DOUBLE) AS {f}" for i, f in enumerate(evaluation.FEATURES)]
+    model = fits[0](spark.range(300).selectExpr("CAST(id % 2 AS DOUBLE) AS label", "1 + id % 2 AS weight", *noise))
+    boosted = model.stages[-1].models
+    assert [len(b.trees) for b in boosted] == [50, 50]
+    assert [max(t.depth for t in b.trees) for b in boosted] == [5, 5]
+
+
+def test_rows_of_boosted_trees_are_dealt_out_by_their_number(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())))
+    for n in (0, 100, 250):
+        models.train_gbt_ovr(spark.range(0, n, 1, 7), ["id"])
+    assert seen == [(1, 0), (1, 100), (3, 250)]
+
+
 def test_missing_values_go_right_as_in_the_model(spark, train, tmp_path):
     model = models.train_rf(train, FEATURES, numTrees=3, maxDepth=4)
     odd = spark.createDataFrame([(1, None, 1.0, 2.0), (2, float("nan"), 0.0, 1.0), (3, 5.0, None, None), (3, 5.0, None, None)], "id long, a double, b double, c double")

@@ -173,7 +173,7 @@ def roc_auc_of_fitted_models(t):
 
 @query("ML-1")
 def boosted_trees_predictions(t):
-    _, scored = _scored(t, lambda d: m.train_gbt_ovr(d, FEATURES, weight="weight", maxIter=3, maxDepth=3))
+    _, scored = _scored(t, lambda d: m.train_gbt_ovr(d, FEATURES, weight="weight"))
     return scored.select("party_id", "label", "prediction")
 
 
