@@ -18,6 +18,13 @@ def spark(tmp_path_factory):
     return local_session(shuffle_partitions=4, memory="4g", settings=settings)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_stays_cached(spark):
+    """Frames that a module's tests cache are not there for the next module's."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def tables(spark):
     from workload.views import Tables
